@@ -43,9 +43,8 @@ def _folding() -> tuple[str, str, dict[str, str]]:
 def normalize_text(text: Column) -> Column:
     """Drop accents and lower-case."""
     source, target, longer = _folding()
-    expanded = text
-    for char, folded in longer.items():
-        expanded = F.replace(expanded, F.lit(char), F.lit(folded))
+    unfold = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(f).alias("f")) for c, f in longer.items()])
+    expanded = F.aggregate(unfold, text, lambda acc, p: F.replace(acc, p["c"], p["f"]))
     has_longer = F.rlike(text, F.lit("[" + "".join(longer) + "]"))
     folded = F.translate(F.when(has_longer, expanded).otherwise(text), source, target)
     return F.lower(F.regexp_replace(folded, r"\p{M}+", ""))

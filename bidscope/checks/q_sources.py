@@ -462,21 +462,21 @@ def portal_table_pages(spark, sf):
     return rows.drop("closes_at")
 
 
-_INNER = "regexp_replace(inner_html, '<[^>]*>', '|', 'g')"
-
-
 @query(
     "S17_portal_card_pages",
-    """WITH b AS (SELECT page_id, url, unnest(regexp_extract_all(regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', '', 'g'),
-    '(?s)<p>(.*?)</p>', 1)) AS inner_html FROM pages),
+    """WITH b AS (SELECT page_id, url, unnest(string_split(regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', '', 'g'),
+    '<p>')[2:]) AS piece FROM pages),
+c AS (SELECT page_id, url, string_split(replace(piece, '</p>', ''), '</article>')[1] AS inner_html FROM b),
 t AS (SELECT page_id, url, replace(replace(replace(replace(replace(replace(replace(array_to_string(list_filter(list_transform(
     string_split(regexp_replace(inner_html, '<[^>]*>', chr(1), 'g'), chr(1)), lambda p: trim(regexp_replace(p, '\\s+', ' ', 'g'))), lambda p: p <> ''), ' '),
-    '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&copy;', '©'), '&amp;', '&') AS txt FROM b)
+    '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&copy;', '©'), '&amp;', '&') AS txt FROM c)
 SELECT page_id, md5(txt[1:500]) AS subject, url FROM t WHERE length(txt) >= 20""",
 )
 def portal_card_pages(spark, sf):
+    # every paragraph of the pages becomes a card block
     pages = table(spark, sf, "pages")
-    carded = F.replace(F.replace("html", F.lit("<p>"), F.lit('<div class="card licitacao">')), F.lit("</p>"), F.lit("</div>"))
+    opened = F.replace("html", F.lit("<p>"), F.lit('</div><div class="card licitacao">'))
+    carded = F.replace(opened, F.lit("</p>"), F.lit(""))
     rows = feeds.portal_pages_to_notice(pages.select("page_id", "url", carded.alias("html")), "page_id")
     return rows.select("page_id", F.md5("subject").alias("subject"), "url")
 

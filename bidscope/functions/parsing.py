@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, functions as F
 
 from bidscope.functions import fixed_values as fixed
+from bidscope.functions.literals import pair_array
 
 
 def parse_timestamp(text: Column) -> Column:
@@ -45,9 +46,10 @@ def parse_notice_url(url: Column) -> Column:
 
 
 def detect_modality(text: Column) -> Column:
+    """Procurement form named in a text: the first listed phrase that occurs in it."""
     lowered = F.lower(text)
-    hits = [F.when(F.contains(lowered, F.lit(phrase)), name) for phrase, name in fixed.PORTAL_MODALITIES]
-    return F.coalesce(*hits, F.lit(""))
+    hits = F.filter(pair_array(fixed.PORTAL_MODALITIES), lambda p: F.contains(lowered, p["a"]))
+    return F.coalesce(F.get(hits, F.lit(0))["b"], F.lit(""))
 
 
 def parse_br_date(text: Column) -> Column:
@@ -76,20 +78,21 @@ def process_number(text: Column) -> Column:
     return F.regexp_extract(text, "(?iU)" + fixed.PROCESS_NUMBER_PATTERN, 1)
 
 
+def _fpm_steps() -> Column:
+    rows = ", ".join(
+        f"named_struct('population', {p}, 'coefficient', {c}D)" for p, c in fixed.FPM_STEPS
+    )
+    return F.expr(f"array({rows})")
+
+
 def fpm_coefficient(population: Column) -> Column:
-    chain = None
-    for limit, value in fixed.FPM_STEPS:
-        test = population <= limit
-        chain = F.when(test, value) if chain is None else chain.when(test, value)
-    return chain.otherwise(fixed.FPM_ABOVE)
+    steps = F.filter(_fpm_steps(), lambda s: population <= s["population"])
+    return F.coalesce(F.get(steps, F.lit(0))["coefficient"], F.lit(fixed.FPM_ABOVE))
 
 
 def population_limit(coefficient: Column) -> Column:
-    chain = None
-    for limit, value in fixed.FPM_STEPS:
-        test = coefficient <= value
-        chain = F.when(test, limit) if chain is None else chain.when(test, limit)
-    return chain.otherwise(fixed.POPULATION_UNKNOWN)
+    steps = F.filter(_fpm_steps(), lambda s: coefficient <= s["coefficient"])
+    return F.coalesce(F.get(steps, F.lit(0))["population"], F.lit(fixed.POPULATION_UNKNOWN))
 
 
 def floor_days(later: Column, earlier: Column) -> Column:

@@ -13,6 +13,7 @@ import unicodedata
 from pyspark.sql import Column, functions as F
 
 from bidscope.functions import fixed_values as fixed
+from bidscope.functions.literals import pair_array, text_array, text_map
 
 
 @functools.lru_cache(maxsize=1)
@@ -43,30 +44,32 @@ def _folding() -> tuple[str, str, dict[str, str]]:
 def normalize_text(text: Column) -> Column:
     """Drop accents and lower-case."""
     source, target, longer = _folding()
-    unfold = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(f).alias("f")) for c, f in longer.items()])
-    expanded = F.aggregate(unfold, text, lambda acc, p: F.replace(acc, p["c"], p["f"]))
+    unfold = pair_array(longer.items())
+    expanded = F.aggregate(unfold, text, lambda acc, p: F.replace(acc, p["a"], p["b"]))
     has_longer = F.rlike(text, F.lit("[" + "".join(longer) + "]"))
     folded = F.translate(F.when(has_longer, expanded).otherwise(text), source, target)
     return F.lower(F.regexp_replace(folded, r"\p{M}+", ""))
 
 
+def normalized(value: str) -> str:
+    """``normalize_text`` of a constant."""
+    folded = unicodedata.normalize("NFKD", value)
+    return "".join(c for c in folded if not unicodedata.combining(c)).lower()
+
+
 def normalize_description(text: Column) -> Column:
     """Normalised text with single spaces."""
     return F.trim(F.regexp_replace(normalize_text(text), r"\s+", " "))
 
 
-def words(normalized: Column) -> Column:
+def words(norm: Column) -> Column:
     """Whitespace-separated words of an already normalised text."""
-    return F.regexp_extract_all(normalized, F.lit(r"\S+"), F.lit(0))
-
-
-def _literal_array(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    return F.regexp_extract_all(norm, F.lit(r"\S+"), F.lit(0))
 
 
 def synonym_map(synonyms: dict[str, str] | None = None) -> Column:
     synonyms = fixed.SYNONYMS if synonyms is None else synonyms
-    return F.create_map(*[F.lit(part) for pair in synonyms.items() for part in pair])
+    return text_map(synonyms.items())
 
 
 def apply_synonyms(terms: Column, synonyms: dict[str, str] | None = None) -> Column:
@@ -80,16 +83,16 @@ def extract_terms(
     min_len: int = 2,
     max_terms: int | None = None,
     synonyms: dict[str, str] | None = None,
-    normalized: bool = False,
+    is_normal: bool = False,
 ) -> Column:
     """Sorted distinct significant terms of a text."""
-    normal = text if normalized else normalize_text(text)
+    normal = text if is_normal else normalize_text(text)
     valid = F.regexp_extract_all(
         F.coalesce(normal, F.lit("")), F.lit(r"(?<!\S)(?!\d+(?!\S))[a-z0-9]{2,}(?!\S)"), F.lit(0)
     )
     if min_len > 2:
         valid = F.filter(valid, lambda t: F.length(t) >= min_len)
-    kept = F.array_except(valid, _literal_array(fixed.STOP_WORDS))
+    kept = F.array_except(valid, text_array(fixed.STOP_WORDS))
     terms = F.array_sort(F.array_distinct(apply_synonyms(kept, synonyms)))
     return terms if max_terms is None else F.slice(terms, 1, max_terms)
 
@@ -98,62 +101,60 @@ def lexical_key(terms: Column, size: int = 4) -> Column:
     return F.array_join(F.slice(terms, 1, size), " ")
 
 
-def item_category(normalized: Column) -> Column:
+def item_category(norm: Column) -> Column:
     """First category with a word in the text: service, licence, consumable, else product."""
-    tokens = words(F.coalesce(normalized, F.lit("")))
+    tokens = words(F.coalesce(norm, F.lit("")))
     chain = None
     for name, vocabulary in fixed.CATEGORY_WORDS.items():
-        hit = F.arrays_overlap(tokens, _literal_array(vocabulary))
+        hit = F.arrays_overlap(tokens, text_array(vocabulary))
         chain = F.when(hit, name) if chain is None else chain.when(hit, name)
     return chain.otherwise(fixed.DEFAULT_CATEGORY)
 
 
-def material_or_service(normalized: Column) -> Column:
+def material_or_service(norm: Column) -> Column:
     """'S' or 'M' by which vocabulary has more distinct words in the text; a tie is null."""
-    tokens = words(F.coalesce(normalized, F.lit("")))
-    service = F.size(F.array_intersect(tokens, _literal_array(fixed.SERVICE_WORDS)))
-    material = F.size(F.array_intersect(tokens, _literal_array(fixed.MATERIAL_WORDS)))
+    tokens = words(F.coalesce(norm, F.lit("")))
+    service = F.size(F.array_intersect(tokens, text_array(fixed.SERVICE_WORDS)))
+    material = F.size(F.array_intersect(tokens, text_array(fixed.MATERIAL_WORDS)))
     return F.when(service > material, "S").when(material > service, "M")
 
 
-def keywords_matched(normalized: Column, keywords: list[str]) -> Column:
+def keywords_matched(norm: Column, keywords: list[str]) -> Column:
     """Keywords whose normalised form is a substring of the text, in the given order."""
-    return F.array_compact(
-        F.array(*[
-            F.when(F.contains(normalized, normalize_text(F.lit(k))), F.lit(k)) for k in keywords
-        ])
-    ) if keywords else F.array().cast("array<string>")
+    if not keywords:
+        return text_array([])
+    known = pair_array([(k, normalized(k)) for k in keywords])
+    hits = F.filter(known, lambda k: F.contains(norm, k["b"]))
+    return F.transform(hits, lambda k: k["a"])
 
 
-def any_term_in(normalized: Column, terms: list[str]) -> Column:
+def any_term_in(norm: Column, terms: list[str]) -> Column:
     """Whether any of the (to be normalised) terms occurs in the text."""
-    hit = F.lit(False)
-    for term in terms:
-        hit = hit | F.contains(normalized, normalize_text(F.lit(term)))
+    hit = F.exists(text_array([normalized(t) for t in terms]), lambda t: F.contains(norm, t))
     return F.coalesce(hit, F.lit(False))
 
 
 def relevance_by_terms(
-    normalized: Column, high: list[str] | None = None, medium: list[str] | None = None
+    norm: Column, high: list[str] | None = None, medium: list[str] | None = None
 ) -> Column:
     """ALTA if a high term occurs, else MEDIA if a medium term does, else BAIXA."""
     return (
-        F.when(any_term_in(normalized, high or fixed.HIGH_TERMS), "ALTA")
-        .when(any_term_in(normalized, medium or fixed.MEDIUM_TERMS), "MEDIA")
+        F.when(any_term_in(norm, high or fixed.HIGH_TERMS), "ALTA")
+        .when(any_term_in(norm, medium or fixed.MEDIUM_TERMS), "MEDIA")
         .otherwise("BAIXA")
     )
 
 
 def text_match(tokens: Column, terms: list[str], mode: str = "all") -> Column:
     """Full-text predicate on a token array: every term ('all') or at least one ('any')."""
-    wanted = _literal_array(terms)
+    wanted = text_array(terms)
     if mode == "any":
         return F.arrays_overlap(tokens, wanted)
     return F.size(F.array_except(wanted, tokens)) == 0
 
 
-def substring_match(normalized: Column, term: str) -> Column:
-    return F.contains(normalized, normalize_text(F.lit(term)))
+def substring_match(norm: Column, term: str) -> Column:
+    return F.contains(norm, F.lit(normalized(term)))
 
 
 def trigrams(text: Column) -> Column:

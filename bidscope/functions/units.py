@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from bidscope.functions import fixed_values as fixed
+from bidscope.functions.literals import text_map
 from bidscope.functions.text import normalize_description
 
 
 def _canonical_map() -> Column:
     entries = [(member, min(group)) for group in fixed.UNIT_GROUPS for member in group]
-    return F.create_map(*[F.lit(part) for pair in entries for part in pair])
+    return text_map(entries)
 
 
 def unit_group(unit: Column) -> Column:

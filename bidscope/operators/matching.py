@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from bidscope.functions.text import normalize_text
+from bidscope.functions.text import any_term_in, keywords_matched, normalize_text
+from bidscope.operators.skew import evaluate_once
 
 MAX_BROADCAST_KEYWORDS = 5_000
 
@@ -57,15 +58,15 @@ def match_fields(df: DataFrame, subject: str, extra: str, keywords: list[str], e
     Adds subject_matches, extra_matches, terms_found (ordered, distinct), fields_matched and
     matched; an excluded row has no match.
     """
-    from bidscope.functions.text import any_term_in, keywords_matched
-
-    norm = df.withColumn("_subject", normalize_text(F.coalesce(subject, F.lit("")))).withColumn(
-        "_extra", normalize_text(F.coalesce(extra, F.lit("")))
+    norm = evaluate_once(
+        df,
+        _subject=normalize_text(F.coalesce(subject, F.lit(""))),
+        _extra=normalize_text(F.coalesce(extra, F.lit(""))),
     )
     text = F.concat_ws(" ", "_subject", "_extra")
     empty = F.array().cast("array<string>")
     excluded = any_term_in(text, exclusions)
-    scored = norm.withColumn("excluded", excluded).withColumns({
+    scored = evaluate_once(norm, excluded=excluded).withColumns({
         "subject_matches": F.when(~excluded, keywords_matched(F.col("_subject"), keywords)).otherwise(empty),
         "extra_matches": F.when(~excluded, keywords_matched(F.col("_extra"), keywords)).otherwise(empty),
     })

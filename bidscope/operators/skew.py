@@ -77,3 +77,14 @@ def collect_in_chunks(
         .groupBy(*keys, "chunk")
         .agg(F.array_sort(F.collect_list(value)).alias(name))
     )
+
+
+def evaluate_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds costly columns so that later filters on them use the computed values.
+
+    A plain projection would let Spark push a filter below it and evaluate the whole
+    expression again for the test; filters do not move below a generator.
+    """
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline_outer(F.array(row)))

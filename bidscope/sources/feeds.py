@@ -7,9 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bidscope.functions import fixed_values as fixed
+from bidscope.functions.literals import pair_array
 from bidscope.functions.parsing import detect_modality, parse_br_date, parse_br_money, process_number
 from bidscope.functions.text import keywords_matched, normalize_text, relevance_by_terms
-from bidscope.operators.skew import first_per_key
+from bidscope.operators.skew import evaluate_once, first_per_key
+from bidscope.session import stage
 
 SOURCE_COLUMNS = {
     "municipality": "string", "state": "string", "ibge_code": "string", "org_name": "string",
@@ -86,8 +88,8 @@ def audit_court_to_notice(
     published_at (text day), awarded_at.
     """
     keep = keep or []
-    rows = records.withColumn("_norm", normalize_text(_or_empty("subject")))
-    rows = rows.withColumn("_found", keywords_matched(F.col("_norm"), keywords))
+    rows = evaluate_once(records, _norm=normalize_text(_or_empty("subject")))
+    rows = evaluate_once(rows, _found=keywords_matched(F.col("_norm"), keywords))
     rows = rows.withColumn("_town", F.upper("municipality")).filter(F.size("_found") > 0)
     rows = first_per_key(
         rows, ["_town", "number", "year"], [F.col("published_at").asc_nulls_last(), F.col("subject"), *keep]
@@ -161,7 +163,12 @@ _ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'
 
 
 def _unescape(text: Column) -> Column:
-    return reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), _ENTITIES.items(), text)
+    plain = F.aggregate(pair_array(_ENTITIES.items()), text, lambda acc, e: F.replace(acc, e["a"], e["b"]))
+    return F.when(F.contains(text, F.lit("&")), plain).otherwise(text)
+
+
+_VOID_TAGS = ["br", "hr", "img", "input", "meta", "link", "source", "wbr", "area", "base", "col", "embed"]
+_BLOCK_TAGS = ["div", "article", "section", "main", "body", "html", "ul", "ol", "li", "table", "tr", "td", "header", "footer", "nav"]
 
 
 def _tokens(html: Column) -> Column:
@@ -207,7 +214,7 @@ def table_listings(pages: DataFrame, keep: list[str]) -> DataFrame:
         return _joined_text(_tokens(cell), "")
 
     def any_of(text: Column, vocabulary: list[str]) -> Column:
-        return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in vocabulary])
+        return F.rlike(text, F.lit("|".join(vocabulary)))
 
     def role(text: Column) -> Column:
         chain = None
@@ -218,48 +225,56 @@ def table_listings(pages: DataFrame, keep: list[str]) -> DataFrame:
             chain = F.when(any_of(text, vocabulary), label) if chain is None else chain.when(any_of(text, vocabulary), label)
         return chain.otherwise("")
 
-    headed = rows.withColumn("header", F.transform(cells(F.element_at("rows", 1)), lambda c: F.lower(plain(c))))
+    headed = evaluate_once(rows, header=F.transform(cells(F.element_at("rows", 1)), lambda c: F.lower(plain(c))))
     headed = headed.filter(any_of(F.array_join("header", " "), fixed.LISTING_HEADER_WORDS))
     headed = headed.withColumn("roles", F.transform("header", role))
     body = headed.select(
-        *keep, "url", "table_no", "roles", F.posexplode(F.expr("slice(rows, 2, size(rows))")).alias("row_no", "row")
-    ).withColumn("cells", cells(F.col("row")))
+        *keep, "url", "table_no", "roles",
+        F.posexplode_outer(F.expr("slice(rows, 2, size(rows))")).alias("row_no", "row"),
+    )
+    body = evaluate_once(body, cells=cells(F.col("row")))
+    body = evaluate_once(body, texts=F.transform("cells", plain))
 
-    def cell_html(name: str) -> Column:
+    def place(name: str) -> Column:
         found = F.array_position("roles", name)
         if name != "date":
             found = F.when(found > 0, F.size("roles") + 1 - F.array_position(F.reverse("roles"), name)).otherwise(0)
-        return F.when(found > 0, F.get("cells", (found - 1).cast("int")))
+        return (found - 1).cast("int")
+
+    def cell(name: str) -> Column:
+        return F.coalesce(F.when(place(name) >= 0, F.get("texts", place(name))), F.lit(""))
 
     wanted = [name for name, _ in fixed.LISTING_COLUMNS] + ["opening"]
-    body = body.withColumns({f"_{n}_html": cell_html(n) for n in wanted})
-    body = body.withColumns({f"_{n}": F.coalesce(plain(F.col(f"_{n}_html")), F.lit("")) for n in wanted})
-    body = body.filter(F.col("_subject") != "")
-    return body.select(
+    link_cell = F.when(place("subject") >= 0, F.get("cells", place("subject")))
+    body = body.select(*keep, "url", "table_no", "row_no", link_cell.alias("link_html"), *[cell(n).alias(f"_{n}") for n in wanted])
+    body = evaluate_once(body, date=parse_br_date(F.col("_date")), opening=parse_br_date(F.col("_opening")))
+    rows = body.select(
         *keep,
         "table_no",
         "row_no",
         F.substring("_subject", 1, 500).alias("subject"),
         F.when(F.col("_modality") != "", F.col("_modality")).otherwise(detect_modality(F.col("_subject"))).alias("modality"),
-        _midnight(parse_br_date(F.col("_date"))).alias("published_at"),
-        _midnight(parse_br_date(F.col("_opening"))).alias("opens_at"),
+        _midnight(F.col("date")).alias("published_at"),
+        _midnight(F.col("opening")).alias("opens_at"),
         F.lit("").alias("closes_at"),
         F.when(F.col("_value") != "", parse_br_money(F.col("_value"))).otherwise(0.0).alias("estimate"),
         F.when(F.col("_process") != "", F.col("_process")).otherwise(process_number(F.col("_subject"))).alias("process_number"),
         F.when(F.col("_status") != "", F.col("_status")).otherwise("Publicada").alias("status"),
-        _first_link(F.col("_subject_html"), F.col("url")).alias("url"),
+        _first_link(F.col("link_html"), F.col("url")).alias("url"),
     )
+    return rows.filter(F.col("subject") != "")
 
 
 def _from_text(rows: DataFrame, keep: list[str]) -> DataFrame:
     """Notice fields out of free text blocks (columns text, link)."""
     text = F.col("text")
     money = F.regexp_extract(text, fixed.BR_MONEY_PATTERN, 0)
+    rows = evaluate_once(rows, date=parse_br_date(text))
     return rows.select(
         *keep,
         F.substring(text, 1, 500).alias("subject"),
         detect_modality(text).alias("modality"),
-        _midnight(parse_br_date(text)).alias("published_at"),
+        _midnight(F.col("date")).alias("published_at"),
         F.lit("").alias("opens_at"),
         F.lit("").alias("closes_at"),
         F.when(money != "", parse_br_money(money)).otherwise(0.0).alias("estimate"),
@@ -272,7 +287,8 @@ def _from_text(rows: DataFrame, keep: list[str]) -> DataFrame:
 def card_listings(pages: DataFrame, keep: list[str], class_pattern: str = fixed.CARD_CLASS_PATTERN) -> DataFrame:
     """Notices from card blocks: div, article or li elements whose class looks like a listing.
 
-    An element reaches to its matching end tag, found by counting tags of its own name.
+    An element reaches to its own end tag, or to the end tag of a block around it where its
+    own is missing; unclosed tags inside it end with it.
     """
     start = r"(?is)^<(div|article|li)\b[^>]*\bclass\s*=\s*[\"'][^\"']*(?:" + class_pattern + ")"
     rows = pages.select(*keep, "url", _tokens(F.col("html")).alias("tokens"))
@@ -283,20 +299,26 @@ def card_listings(pages: DataFrame, keep: list[str], class_pattern: str = fixed.
     )
 
     def walk(state: Column, token: Column) -> Column:
-        opens = F.rlike(token, F.concat(F.lit("(?i)^<"), F.col("name"), F.lit(r"\b")))
-        closes = F.rlike(token, F.concat(F.lit("(?i)^</"), F.col("name"), F.lit(r"\b")))
-        depth = state["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
-        alive = state["depth"] > 0
+        stack = state["stack"]
+        name = F.lower(F.regexp_extract(token, r"^</?([a-zA-Z][a-zA-Z0-9]*)", 1))
+        opens = token.startswith("<") & ~token.startswith("</") & (name != "") & ~name.isin(_VOID_TAGS) & ~token.endswith("/>")
+        last = F.size(stack) + 1 - F.array_position(F.reverse(stack), name)
+        inside = F.array_contains(stack, name)
+        closed = F.when(inside, F.slice(stack, F.lit(1), (last - 1).cast("int"))).when(
+            name.isin(_BLOCK_TAGS), F.array().cast("array<string>")
+        ).otherwise(stack)
+        after = F.when(opens, F.array_append(stack, name)).when(token.startswith("</"), closed).otherwise(stack)
+        alive = F.size(stack) > 0
         return F.struct(
-            F.when(alive, depth).otherwise(0).alias("depth"),
+            F.when(alive, after).otherwise(stack).alias("stack"),
             F.when(alive, state["size"] + 1).otherwise(state["size"]).alias("size"),
         )
 
     rest = F.expr("slice(tokens, block_no + 2, size(tokens))")
-    seed = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("size"))
-    cards = cards.withColumn("size", F.aggregate(rest, seed, walk)["size"])
+    seed = F.struct(F.array(F.col("name")).alias("stack"), F.lit(0).alias("size"))
+    cards = evaluate_once(cards, size=F.aggregate(rest, seed, walk)["size"])
     cards = cards.withColumn("inner", F.expr("slice(tokens, block_no + 2, size)"))
-    cards = cards.withColumn("text", _joined_text(F.col("inner"), " ")).filter(F.length("text") >= 20)
+    cards = evaluate_once(cards, text=_joined_text(F.col("inner"), " ")).filter(F.length("text") >= 20)
     cards = cards.withColumn("link", _first_link(F.array_join("inner", ""), F.col("url")))
     return _from_text(cards, [*keep, "block_no"])
 
@@ -307,7 +329,7 @@ def heading_listings(pages: DataFrame, keep: list[str]) -> DataFrame:
     found = pages.select(
         *keep, "url", F.posexplode(F.regexp_extract_all("html", F.lit(pattern), F.lit(0))).alias("block_no", "block")
     )
-    found = found.withColumn("text", _joined_text(_tokens(F.col("block")), ""))
+    found = evaluate_once(found, text=_joined_text(_tokens(F.col("block")), ""))
     named = F.rlike("text", F.lit("(?iU)" + fixed.NOTICE_LINK_PATTERN)) & (F.length("text") > 20)
     found = found.filter(named).withColumn("link", _first_link(F.col("block"), F.col("url")))
     return _from_text(found, [*keep, "block_no"])
@@ -316,8 +338,11 @@ def heading_listings(pages: DataFrame, keep: list[str]) -> DataFrame:
 def portal_pages_to_notice(
     pages: DataFrame, key: str, first_day: str | None = None, last_day: str | None = None
 ) -> DataFrame:
-    """Listing rows of each page: tables, else cards, else headings; optionally by published day."""
-    from_tables = table_listings(pages, [key]).drop("table_no", "row_no")
+    """Listing rows of each page: tables, else cards, else headings; optionally by published day.
+
+    The table rows also decide which pages go on to the cards, so they are staged.
+    """
+    from_tables = stage(table_listings(pages, [key]).drop("table_no", "row_no"), "table-listings")
     has_cards = F.rlike(
         "html",
         F.lit(r"(?is)<(?:div|article|li)\b[^>]*\bclass\s*=\s*[\"'][^\"']*(?:" + fixed.CARD_CLASS_PATTERN + ")"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from bidscope.functions import fixed_values as fixed
 from bidscope.functions.keys import notice_hash
+from bidscope.functions.literals import code_name_map
 from bidscope.functions.parsing import notice_url
 
 NOTICE_PAYLOAD = """
@@ -58,7 +59,7 @@ def unit_ibge_code() -> Column:
 
 
 def modality_name(modality_id: Column) -> Column:
-    names = F.create_map(*[F.lit(p) for pair in fixed.MODALITY_NAMES.items() for p in pair])
+    names = code_name_map(fixed.MODALITY_NAMES)
     return F.coalesce(F.element_at(names, modality_id), modality_id.cast("string"), F.lit(""))
 
 

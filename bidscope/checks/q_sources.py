@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from bidscope.checks.registry import query
 from bidscope.checks.star import (
-    AS_OF, MUNICIPALITY_SQL, NOTICE_SQL, PLAIN_ITEM_SQL, as_of, items, municipalities, notices, r, table,
+    AS_OF, MUNICIPALITY_SQL, NOTICE_SQL, PLAIN_ITEM_SQL, as_of, items, municipalities, notices, r, rsum, table,
 )
 from bidscope.functions import fixed_values as fixed
 from bidscope.functions.keys import notice_hash
+from bidscope.functions.scores import money_sum
 from bidscope.operators import tables
 from bidscope.session import shared_folder
 from bidscope.sources import dims, feeds, payloads
@@ -53,7 +54,7 @@ def payload_rows(spark, sf):
 
 @query(
     "S1_read_notice_payloads",
-    f"""WITH {NOTICE_SQL} SELECT state, modality_id + 3 AS modality_id, count(*) AS payloads, {r('sum(estimate)')} AS estimate,
+    f"""WITH {NOTICE_SQL} SELECT state, modality_id + 3 AS modality_id, count(*) AS payloads, {rsum('estimate')} AS estimate,
   min(subject) AS first_subject FROM notice GROUP BY ALL""",
 )
 def read_notice_payloads(spark, sf):
@@ -64,7 +65,7 @@ def read_notice_payloads(spark, sf):
         F.col("unidadeOrgao.ufSigla").alias("state"), F.col("modalidadeId").alias("modality_id")
     ).agg(
         F.count(F.lit(1)).alias("payloads"),
-        F.expr("cast(round(cast(sum(valorTotalEstimado) as decimal(28,8)), 2) as double)").alias("estimate"),
+        money_sum(F.col("valorTotalEstimado")).alias("estimate"),
         F.min("objetoCompra").alias("first_subject"),
     )
 
@@ -204,14 +205,14 @@ def build_item_rows(spark, sf):
 
 @query(
     "S6_build_award_rows",
-    f"""WITH {PLAIN_ITEM_SQL} SELECT supplier_id, supplier_size, count(*) AS awards, {r('sum(estimate)')} AS unit_awards FROM (
+    f"""WITH {PLAIN_ITEM_SQL} SELECT supplier_id, supplier_size, count(*) AS awards, {rsum('estimate')} AS unit_awards FROM (
   SELECT CAST(supplier_id AS VARCHAR) AS supplier_id, 'ME' AS supplier_size, estimate FROM item WHERE item_no <> 7 AND unit <> 'kg') GROUP BY ALL""",
 )
 def build_award_rows(spark, sf):
     rows = payloads.build_award_rows(payloads.clean_awards(_raw_awards(spark, sf)), as_of())
     return rows.groupBy("supplier_id", "supplier_size").agg(
         F.count(F.lit(1)).alias("awards"),
-        F.expr("cast(round(cast(sum(unit_award) as decimal(28,8)), 2) as double)").alias("unit_awards"),
+        money_sum(F.col("unit_award")).alias("unit_awards"),
     )
 
 
@@ -238,7 +239,7 @@ def upsert_by_key(spark, sf):
 
 @query(
     "S8_replace_partition",
-    f"""SELECT o_orderstatus, count(*) AS notices, {r("sum(CASE WHEN o_orderstatus = 'F' THEN 2 * o_totalprice ELSE o_totalprice END)")} AS total
+    f"""SELECT o_orderstatus, count(*) AS notices, {rsum("CASE WHEN o_orderstatus = 'F' THEN 2 * o_totalprice ELSE o_totalprice END")} AS total
 FROM orders GROUP BY o_orderstatus""",
 )
 def replace_partition(spark, sf):
@@ -249,7 +250,7 @@ def replace_partition(spark, sf):
     tables.replace_partitions(doubled, path, ["o_orderstatus"])
     return spark.read.parquet(path).groupBy("o_orderstatus").agg(
         F.count(F.lit(1)).alias("notices"),
-        F.expr("cast(round(cast(sum(o_totalprice) as decimal(28,8)), 2) as double)").alias("total"),
+        money_sum(F.col("o_totalprice")).alias("total"),
     )
 
 
@@ -483,7 +484,7 @@ def portal_card_pages(spark, sf):
 
 @query(
     "S18_normalize_portal_row",
-    f"""WITH {NOTICE_SQL} SELECT municipality, state, org_name, modality, relevance, source, year, count(*) AS notices, {r('sum(estimate)')} AS estimate FROM (
+    f"""WITH {NOTICE_SQL} SELECT municipality, state, org_name, modality, relevance, source, year, count(*) AS notices, {rsum('estimate')} AS estimate FROM (
   SELECT municipality, state, municipality AS org_name, 'Convite' AS modality, 'BAIXA' AS relevance, 'PORTAL_MUNICIPAL' AS source,
     CAST(year AS VARCHAR) AS year, estimate FROM notice) GROUP BY ALL""",
 )
@@ -494,7 +495,7 @@ def normalize_portal_row(spark, sf):
         "municipality", "state", "org_name", "modality", "relevance", "source", "year"
     ).agg(
         F.count(F.lit(1)).alias("notices"),
-        F.expr("cast(round(cast(sum(estimate) as decimal(28,8)), 2) as double)").alias("estimate"),
+        money_sum(F.col("estimate")).alias("estimate"),
     )
 
 
@@ -502,7 +503,7 @@ def normalize_portal_row(spark, sf):
     "S19_union_sources",
     f"""WITH {NOTICE_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY municipality, sequence % 10, year ORDER BY published_at, subject, notice_id) AS rn
   FROM notice WHERE lower(subject) LIKE '%urgent%' OR lower(subject) LIKE '%build%')
-SELECT 'PNCP' AS source, count(*) AS notices, {r('sum(awarded)')} AS awarded FROM notice UNION ALL
+SELECT 'PNCP' AS source, count(*) AS notices, {rsum('awarded')} AS awarded FROM notice UNION ALL
 SELECT 'TCE_RJ', count(*), 0.0 FROM k WHERE rn = 1 UNION ALL SELECT 'PORTAL_MUNICIPAL', count(*), 0.0 FROM notice""",
 )
 def union_sources(spark, sf):
@@ -512,7 +513,7 @@ def union_sources(spark, sf):
     portal = feeds.normalize_portal_row(pages, municipalities(spark, sf))
     return feeds.union_sources([flat, court, portal]).groupBy("source").agg(
         F.count(F.lit(1)).alias("notices"),
-        F.expr("cast(round(cast(sum(awarded) as decimal(28,8)), 2) as double)").alias("awarded"),
+        money_sum(F.col("awarded")).alias("awarded"),
     )
 
 
@@ -533,7 +534,7 @@ def extract_from_raw(spark, sf):
 @query(
     "S21_report_export",
     f"""WITH {NOTICE_SQL} SELECT relevance AS "Relevância", municipality AS "Município", state AS "UF", count(*) AS notices,
-  {r('sum(estimate)')} AS total FROM notice GROUP BY ALL""",
+  {rsum('estimate')} AS total FROM notice GROUP BY ALL""",
 )
 def report_export(spark, sf):
     from bidscope.plans.insight import report_export as export
@@ -543,7 +544,7 @@ def report_export(spark, sf):
     back = spark.read.csv(path, header=True, escape='"')
     return back.groupBy("Relevância", "Município", "UF").agg(
         F.count(F.lit(1)).alias("notices"),
-        F.expr("cast(round(cast(sum(cast(`Valor Estimado` as double)) as decimal(28,8)), 2) as double)").alias("total"),
+        money_sum(F.col("Valor Estimado").cast("double")).alias("total"),
     )
 
 

@@ -158,6 +158,11 @@ def r(expr: str, digits: int = 2) -> str:
     return f"CAST(round(CAST({expr} AS DECIMAL(28,8)), {digits}) AS DOUBLE)"
 
 
+def rsum(expr: str) -> str:
+    """The engine's exact sum of amounts in SQL."""
+    return r(f"sum(CAST({expr} AS DECIMAL(20,6)))")
+
+
 def stats_sql(source: str, keys: str, value: str, trim: bool = True) -> str:
     """CTE body with the grouped price statistics of the engine, by plain windows."""
     keep = "n < 4 OR v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)" if trim else "TRUE"

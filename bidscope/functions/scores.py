@@ -14,6 +14,11 @@ def round_to(value: Column, digits: int = 2) -> Column:
     return F.round(value.cast("decimal(28,8)"), digits).cast("double")
 
 
+def money_sum(value: Column) -> Column:
+    """Sum of amounts as exact decimals, so the result does not depend on the order of tasks."""
+    return round_to(F.sum(value.cast("decimal(20,6)")))
+
+
 def real_discount(estimate: Column, award: Column, limit: float = 80.0) -> Column:
     """Discount in percent, null unless both prices are positive and it lies in 0..limit."""
     percent = (estimate - award) / F.nullif(estimate, F.lit(0.0)) * 100

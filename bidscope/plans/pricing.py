@@ -9,3 +9,12 @@ def platform_means(items: DataFrame, keys: list[str]) -> DataFrame:
     return items.groupBy(*keys, platform.alias("platform")).agg(
         round_to(F.avg("value")).alias("mean_unit"), F.count(F.lit(1)).alias("items")
     )
+
+
+def best_awards(awards: DataFrame) -> DataFrame:
+    """Smallest and first positive award of each item."""
+    positive = awards.filter(F.col("unit_award") > 0)
+    return positive.groupBy("item_id").agg(
+        F.min("unit_award").alias("best_award"),
+        F.min_by("unit_award", "award_seq").alias("first_award"),
+    )

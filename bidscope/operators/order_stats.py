@@ -111,9 +111,11 @@ def _rank_by_bands(rows: DataFrame, keys: list[str], trim_outliers: bool) -> Dat
 
 
 def _ranked(
-    df: DataFrame, keys: list[str], value: str, trim_outliers: bool, sizes: DataFrame | None, hot_rows: int
+    df: DataFrame, keys: list[str], value: str, trim_outliers: bool, sizes: DataFrame | None, hot_rows: int | None
 ) -> DataFrame:
     rows = _rows(df, keys, value)
+    if hot_rows is None:
+        return _rank_by_window(rows, keys, trim_outliers)
     if sizes is None:
         sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     # at most (all rows / hot_rows) groups, so the list is small whatever the data size
@@ -131,13 +133,14 @@ def price_summary(
     value: str,
     trim_outliers: bool = True,
     sizes: DataFrame | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Statistics of ``value`` per key, after the index-quantile outlier filter.
 
     Result: keys, total_raw, total, minimum, maximum, mean, median, trimmed_mean, stdev, cv,
     p25, p50, p75; amounts rounded to 2. Groups without values have no row. ``sizes``
-    (keys, n) saves the counting pass where the caller already has the counts.
+    (keys, n) saves the counting pass where the caller already has the counts;
+    ``hot_rows=None`` states that every group is small by construction.
     """
     kept = (
         _ranked(df, keys, value, trim_outliers, sizes, hot_rows)
@@ -199,7 +202,7 @@ def price_summary(
     )
 
 
-def fences(df: DataFrame, keys: list[str], value: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def fences(df: DataFrame, keys: list[str], value: str, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Per key: n, the index quartiles q1 and q3, and the outlier fences low and high."""
     quartiles = (
         _ranked(df, keys, value, True, None, hot_rows)
@@ -213,14 +216,14 @@ def fences(df: DataFrame, keys: list[str], value: str, hot_rows: int = HOT_ROWS)
     })
 
 
-def iqr_filter(df: DataFrame, keys: list[str], value: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def iqr_filter(df: DataFrame, keys: list[str], value: str, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Rows within 1.5 quartile ranges of the index quartiles; groups under 4 rows stay whole."""
     limits = fences(df, keys, value, hot_rows).select(F.struct(*keys).alias("_g"), "n", "low", "high")
     keep = (F.col("n") < 4) | F.col(value).between(F.col("low"), F.col("high"))
     return df.withColumn("_g", F.struct(*keys)).join(limits, "_g").filter(keep).select(*df.columns)
 
 
-def upper_median(df: DataFrame, keys: list[str], value: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def upper_median(df: DataFrame, keys: list[str], value: str, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Per key: n and the value at index floor(n/2) of the sorted values."""
     middle = _at_rank(F.floor(F.col("_n") / 2) + 1)
     return (
@@ -231,7 +234,7 @@ def upper_median(df: DataFrame, keys: list[str], value: str, hot_rows: int = HOT
 
 
 def scale_window(
-    df: DataFrame, keys: list[str], value: str, factor: float = 20.0, hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: list[str], value: str, factor: float = 20.0, hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
     """Keep values within [median/factor, median*factor], the upper median of the key being the
     reference; keys with fewer than two values stay whole."""

@@ -1,14 +1,33 @@
-"""Reference prices."""
-from pyspark.sql import DataFrame, functions as F
-from bidscope.functions.scores import round_to
+"""Reference prices: what similar notices and items cost, and how reliable that is.
 
+All pending notices are priced in one job; nothing loops over notices.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from bidscope.functions.scores import predominant_source, real_discount, reliability, round_to
+from bidscope.operators.order_stats import price_summary, scale_window
+from bidscope.operators.similar import (
+    item_questions, prepare_items, prepare_notices, similar_items, similar_notices,
+)
+from bidscope.session import stage
+
+MAX_SCALE = 20.0
+UNKNOWN_RECENCY = 365.0
 
-def platform_means(items: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean unit value and count per key and platform."""
-    platform = F.coalesce(F.nullif("platform", F.lit("")), F.lit("Não identificada"))
-    return items.groupBy(*keys, platform.alias("platform")).agg(
-        round_to(F.avg("value")).alias("mean_unit"), F.count(F.lit(1)).alias("items")
-    )
+
+@dataclass
+class ReferencePrices:
+    """Summary per reference notice and its three detail tables."""
+
+    prices: DataFrame
+    notices: DataFrame
+    items: DataFrame
+    platforms: DataFrame
 
 
 def best_awards(awards: DataFrame) -> DataFrame:
@@ -18,3 +37,103 @@ def best_awards(awards: DataFrame) -> DataFrame:
         F.min("unit_award").alias("best_award"),
         F.min_by("unit_award", "award_seq").alias("first_award"),
     )
+
+
+def platform_means(items: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean unit value and count per key and platform."""
+    platform = F.coalesce(F.nullif("platform", F.lit("")), F.lit("Não identificada"))
+    return items.groupBy(*keys, platform.alias("platform")).agg(
+        round_to(F.avg("value")).alias("mean_unit"), F.count(F.lit(1)).alias("items")
+    )
+
+
+def mean_recency_days(rows: DataFrame, key: str) -> DataFrame:
+    """Mean age in days per key; rows without a date do not count."""
+    return rows.groupBy(key).agg(F.coalesce(F.avg("days"), F.lit(UNKNOWN_RECENCY)).alias("recency_days"))
+
+
+def within_scale(rows: DataFrame, estimate: str) -> DataFrame:
+    """Rows within a factor of twenty of the reference's own estimate, where it has one."""
+    ref = F.coalesce(F.col(estimate), F.lit(0.0))
+    return rows.filter((ref <= 0) | F.col("value").between(ref / MAX_SCALE, ref * MAX_SCALE))
+
+
+def _prefixed(stats: DataFrame, key: str, prefix: str, columns: list[str]) -> DataFrame:
+    return stats.select(key, *[F.col(c).alias(f"{prefix}_{c}") for c in columns])
+
+
+_COLUMNS = ["total", "minimum", "maximum", "mean", "median", "trimmed_mean", "cv", "p25", "p75"]
+
+
+def reference_prices(notices: DataFrame, items: DataFrame, as_of: Column, pending: Column | None = None) -> ReferencePrices:
+    """Prices of the pending notices (default: all open ones).
+
+    notices and items as ``prepare_notices`` and ``prepare_items`` expect them.
+    """
+    known = stage(prepare_notices(notices), "priced-notices")
+    goods = stage(prepare_items(items), "priced-items")
+    refs = known.filter(F.col("is_open") if pending is None else pending)
+    questions = stage(item_questions(refs), "item-questions")
+
+    alike = similar_notices(refs, known, as_of)
+    alike = alike.join(refs.select(F.col("notice_id").alias("ref_id"), F.col("estimate").alias("ref_estimate")), "ref_id")
+    alike = stage(alike, "alike-notices")
+    any_notice = alike.select("ref_id").distinct()
+    scaled = within_scale(alike, "ref_estimate")
+
+    # the similar items depend on the profile only, so they are priced once per profile
+    goods_alike = stage(similar_items(questions, goods, as_of), "alike-items")
+    goods_scaled = scale_window(goods_alike, ["profile"], "value", MAX_SCALE, hot_rows=None)
+
+    subset = F.explode(F.array(F.lit("all"), F.col("price_source")))
+    stacked = scaled.select("ref_id", subset.alias("subset"), "value")
+    stats = price_summary(stacked, ["ref_id", "subset"], "value", hot_rows=None)
+    wide = [
+        _prefixed(stats.filter(F.col("subset") == name), "ref_id", name, _COLUMNS)
+        for name in ("all", "awarded", "estimated")
+    ]
+    item_stats = _prefixed(price_summary(goods_scaled, ["profile"], "value", hot_rows=None), "profile", "item", _COLUMNS)
+    item_more = goods_scaled.groupBy("profile").agg(
+        round_to(F.avg(F.when(F.col("price_source") == "awarded", real_discount(F.col("estimate"), F.col("value"))))).alias("item_mean_discount"),
+        F.sum("similarity").alias("item_score_sum"),
+        F.count(F.lit(1)).alias("item_score_n"),
+    )
+    notice_more = scaled.groupBy("ref_id").agg(
+        F.count_if(F.col("price_source") == "awarded").alias("n_awarded"),
+        F.count_if(F.col("price_source") == "estimated").alias("n_estimated"),
+        F.avg("days").alias("mean_days"),
+        F.sum("similarity").alias("score_sum"),
+        F.count(F.lit(1)).alias("score_n"),
+    )
+
+    any_item = questions.join(goods_alike.select("profile").distinct(), "profile", "left_semi").select("ref_id")
+    row = questions.select("ref_id", "profile").join(any_notice.union(any_item).distinct(), "ref_id", "left_semi")
+    for part in (*wide, notice_more):
+        row = row.join(part, "ref_id", "left")
+    for part in (item_stats, item_more):
+        row = row.join(part, "profile", "left")
+
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    sample = zero("all_total") + zero("item_total")
+    cv = F.coalesce(F.nullif("all_cv", F.lit(0.0)), "item_cv")
+    share = zero("n_awarded") / F.greatest(zero("score_n"), F.lit(1))
+    scores = (F.coalesce("score_sum", F.lit(0.0)) + F.coalesce("item_score_sum", F.lit(0.0))) / F.greatest(
+        zero("score_n") + zero("item_score_n"), F.lit(1)
+    )
+    score = reliability(sample, cv, share, F.coalesce("mean_days", F.lit(UNKNOWN_RECENCY)), scores)
+    counted = {c: zero(c) for c in ("all_total", "awarded_total", "estimated_total", "item_total")}
+    prices = (
+        row.withColumn("_r", score)
+        .withColumns(counted)
+        .withColumns({
+            "enough": F.col("all_total") >= 3,
+            "price_source": predominant_source(zero("n_awarded"), zero("n_estimated")),
+            "reliability": F.col("_r.score"),
+            "reliability_band": F.col("_r.band"),
+        })
+        .withColumnRenamed("ref_id", "notice_id")
+        .drop("_r", "profile", "n_awarded", "n_estimated", "mean_days", "score_sum", "score_n", "item_score_sum", "item_score_n")
+    )
+    item_rows = questions.select("ref_id", "profile").join(goods_scaled, "profile").drop("profile")
+    sold = questions.select("ref_id", "profile").join(platform_means(goods_scaled, ["profile"]), "profile").drop("profile")
+    return ReferencePrices(prices, scaled.drop("ref_estimate"), item_rows, sold)

@@ -13,13 +13,11 @@ MAX_BROADCAST_KEYWORDS = 5_000
 def _anchors(text: Column) -> Column:
     """Distinct pieces of one to three letters starting at each position of a text."""
     starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    return F.array_distinct(
-        F.flatten(
-            F.array(*[
-                F.transform(starts, lambda i, k=k: F.substring(text, i, F.lit(k))) for k in (1, 2, 3)
-            ])
-        )
-    )
+
+    def pieces(size: int) -> Column:
+        return F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))
+
+    return F.array_distinct(F.concat(pieces(1), pieces(2), pieces(3)))
 
 
 def keyword_hits(

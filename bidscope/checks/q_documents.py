@@ -109,7 +109,7 @@ def findings_sql(kind: str) -> str:
     return f"""{kind}_raw AS ({rows}),
 {kind}_cut AS (SELECT notice_id, p, pos, code, trim(regexp_replace(m, '\\s+', ' ', 'g'))[1:200] AS snippet FROM {kind}_raw),
 {kind}_one AS (SELECT *, row_number() OVER (PARTITION BY notice_id, snippet ORDER BY p, pos) AS dup FROM {kind}_cut WHERE length(snippet) > 10),
-{kind} AS (SELECT notice_id, code, snippet, CAST(rn - 1 AS INTEGER) AS position FROM (
+f_{kind} AS (SELECT notice_id, code, snippet, CAST(rn - 1 AS INTEGER) AS position FROM (
   SELECT *, row_number() OVER (PARTITION BY notice_id ORDER BY p, pos) AS rn FROM {kind}_one WHERE dup = 1) WHERE rn <= {limit})"""
 
 
@@ -123,7 +123,7 @@ def _cleaned(spark, sf):
 
 
 def _register_findings(name: str, kind: str) -> None:
-    @query(name, f"WITH {CLEAN_SQL}, {findings_sql(kind)} SELECT notice_id, position, code, snippet, {_CONFIDENCE} AS confidence FROM {kind}")
+    @query(name, f"WITH {CLEAN_SQL}, {findings_sql(kind)} SELECT notice_id, position, code, snippet, {_CONFIDENCE} AS confidence FROM f_{kind}")
     def findings(spark, sf):
         found = ops.with_findings(_cleaned(spark, sf).select("notice_id", "clean"), "clean", [kind])
         return ops.findings_long(found, "notice_id", [kind]).select("notice_id", "position", "code", "snippet", "confidence")
@@ -175,11 +175,14 @@ def find_deadlines(spark, sf):
     )
 
 
-_COUNTS = ", ".join(f"(SELECT count(*) FROM {k} x WHERE x.notice_id = c.notice_id) AS n_{k}" for k in (*ops.FINDINGS, "deadlines"))
+_COUNTS = ", ".join(
+    f"(SELECT count(*) FROM {t} x WHERE x.notice_id = c.notice_id) AS n_{k}"
+    for k, t in [*((k, f"f_{k}") for k in ops.FINDINGS), ("deadlines", "deadlines")]
+)
 _WEIGHT = "CASE code " + " ".join(f"WHEN '{c}' THEN {w}" for c, w in fixed.RISK_WEIGHTS.items()) + " END"
 _ANALYSIS = f"""{CLEAN_SQL}, {', '.join(findings_sql(k) for k in ops.FINDINGS)}, {deadlines_sql()}, {_QUALITY[len(DOCS_SQL) + 2:]},
 cnt AS (SELECT notice_id, c, {_COUNTS},
-  coalesce((SELECT sum(w) FROM (SELECT DISTINCT code, {_WEIGHT} AS w FROM risks y WHERE y.notice_id = c.notice_id)), 0) AS weight,
+  coalesce((SELECT sum(w) FROM (SELECT DISTINCT code, {_WEIGHT} AS w FROM f_risks y WHERE y.notice_id = c.notice_id)), 0) AS weight,
   EXISTS (SELECT 1 FROM deadlines d WHERE d.notice_id = c.notice_id AND d.kind = 'implantacao' AND d.unit = 'dia' AND d.value < 30) AS tight FROM clean c),
 risk AS (SELECT *, CAST(least(weight + CASE WHEN tight THEN 10 ELSE 0 END + CASE WHEN n_documents > 10 THEN 10 ELSE 0 END
   + CASE WHEN n_requirements > 8 THEN 10 ELSE 0 END, 100) AS DOUBLE) AS risk_score FROM cnt)"""

@@ -14,7 +14,7 @@ from bidscope.operators.order_stats import price_summary, scale_window
 from bidscope.operators.similar import (
     item_questions, prepare_items, prepare_notices, similar_items, similar_notices,
 )
-from bidscope.session import stage
+from bidscope.session import spread, stage
 
 MAX_SCALE = 20.0
 UNKNOWN_RECENCY = 365.0
@@ -70,8 +70,8 @@ def reference_prices(notices: DataFrame, items: DataFrame, as_of: Column, pendin
 
     notices and items as ``prepare_notices`` and ``prepare_items`` expect them.
     """
-    known = stage(prepare_notices(notices), "priced-notices")
-    goods = stage(prepare_items(items), "priced-items")
+    known = stage(prepare_notices(spread(notices)), "priced-notices")
+    goods = stage(prepare_items(spread(items)), "priced-items")
     refs = known.filter(F.col("is_open") if pending is None else pending)
     questions = stage(item_questions(refs), "item-questions")
 

@@ -20,7 +20,7 @@ from bidscope.operators.matching import keyword_hits, match_fields
 from bidscope.operators.search import in_target_area
 from bidscope.operators.skew import evaluate_once, first_per_key
 from bidscope.sources.payloads import flatten_notice
-from bidscope.session import stage
+from bidscope.session import spread, stage
 
 CONFIG_FIELDS = [
     "states", "max_population", "keywords", "modalities", "high_terms", "medium_terms", "exclusions",
@@ -86,7 +86,7 @@ def prospect(
     since = as_of - F.make_dt_interval(F.lit(days))
     candidates = stage(org_candidates(notices, municipalities, configs, since), "candidates")
     wanted = candidates.select("notice_id").distinct()
-    texts = notices.join(wanted, "notice_id", "left_semi")
+    texts = spread(notices.join(wanted, "notice_id", "left_semi"))
     texts = evaluate_once(
         texts.select("notice_id", "subject", "extra_info"),
         subject=normalize_text(F.coalesce("subject", F.lit(""))),
@@ -105,7 +105,7 @@ def prospect(
     eligible = stage(candidates.join(barred.select("org_id", "notice_id"), ["org_id", "notice_id"], "left_anti"), "eligible")
 
     text_hits = keyword_hits(texts.select("notice_id", fields.alias("f")).select("notice_id", "f.*"), org_keywords, ["notice_id", "field"])
-    goods = items.join(wanted, "notice_id", "left_semi")
+    goods = spread(items.join(wanted, "notice_id", "left_semi"))
     goods = evaluate_once(goods, norm=normalize_text(F.coalesce("description", F.lit(""))))
     item_hits = keyword_hits(goods, org_keywords, ["notice_id", "item_id", "item_no"])
 

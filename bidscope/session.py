@@ -52,3 +52,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/bidscope/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores ahead of per-row text work, where the input has too few files.
+
+    A few large unsplittable files would otherwise keep the work in a few tasks. An input with
+    at least as many files as the cluster has cores is left alone, so large data never moves.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)

@@ -182,8 +182,8 @@ _R2_SCORE = f"""least(CASE WHEN len(sm) > 0 THEN 30 * least(len(sm) / 3 * 3, 1.0
 sc AS (SELECT *, {r(_R2_SCORE, 1)} AS score FROM m WHERE len(sm) > 0 AND NOT contains(s, 'high machinery'))
 SELECT notice_id, score, CASE WHEN score >= 65 THEN 'ALTA' WHEN score >= 35 THEN 'MEDIA' ELSE 'BAIXA' END AS relevance, array_to_string(sm, ',') AS terms_found FROM sc""",
 )
-def search_pipeline(spark, sf):
-    rows = prospect.search_pipeline(
+def generic_search(spark, sf):
+    rows = prospect.generic_search(
         _payloads(spark, sf), _targets(spark, sf), F.lit("1998-01-01").cast("timestamp"), ["Machinery", "HIGH", "build"],
         ["high machinery"], ["urgent"], ["medium"], keep=["notice_id"],
     )

@@ -6,7 +6,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from bidscope.functions import fixed_values as fixed
 from bidscope.functions.keys import relevance_rank
 from bidscope.functions.text import normalize_text, text_match, words
 from bidscope.sources.payloads import unit_ibge_code
@@ -227,6 +226,3 @@ def open_notices(notices: DataFrame, municipalities: DataFrame) -> DataFrame:
 
 def active_watches(watches: DataFrame) -> DataFrame:
     return watches.filter("active")
-
-
-RELEVANCE_LEVELS = fixed.RELEVANCE_ORDER

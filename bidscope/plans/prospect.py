@@ -226,7 +226,7 @@ def collection_drops(payloads: DataFrame, targets: DataFrame, as_of: Column) ->
     )
 
 
-def search_pipeline(
+def generic_search(
     payloads: DataFrame, targets: DataFrame, as_of: Column, keywords: list[str], exclusions: list[str] | None = None,
     high: list[str] | None = None, medium: list[str] | None = None, keep: list[str] | None = None,
 ) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from bidscope.llm import bpe
+from bidscope.llm import bpe, robust_rules, warc, wrappers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query(
+    "op2_zip_warc",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+    d AS (
+        SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha1(h) AS x,
+               min(page_id) OVER (PARTITION BY sha1(h)) AS first
+        FROM p
+    )
+    SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+           array_to_string(list_transform(range(32), lambda i: substr(
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               CAST(1 + ((CAST('0x' || substr(x, CAST(1 + (5 * i) // 4 AS INT), 2) AS INT) >> CAST(3 - (5 * i) % 4 AS INT)) & 31) AS INT), 1
+           )), '') AS payload_digest,
+           CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first THEN first END AS refers_to
+    FROM d
+    """,
+)
+def zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
+@query("op6_robust_rules")
+def robust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return robust_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
 @query("op9_bpe_round_trip")
 def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op10_host_wrappers")
+def host_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_text(table(spark, sf_dir, "pages"))

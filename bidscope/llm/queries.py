@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from bidscope.llm import bpe, robust_rules, warc, wrappers
+from bidscope.llm import bpe, extendible, robust_rules, site_posteriors, warc, wrappers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,11 +52,21 @@ def zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+@query("op5_extendible_shards")
+def extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extendible.shard(table(spark, sf_dir, "documents"), keys=["doc_id"], keep=["doc_id"])
+
+
 @query("op6_robust_rules")
 def robust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robust_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+@query("op8_site_posteriors")
+def site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_posteriors.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op9_bpe_round_trip")
 def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

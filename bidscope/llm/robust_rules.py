@@ -33,8 +33,9 @@ REWEIGHT, SUBSET_FACTOR, REWEIGHT_FACTOR = 11.143, 1.488, 1.064
 MAX_BROADCAST_GROUPS = 10_000
 
 
-def text_statistics(docs: DataFrame) -> DataFrame:
-    """``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` of every whole text (null: empty).
+def text_statistics(docs: DataFrame, *others: str) -> DataFrame:
+    """``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` of every whole text (null: empty),
+    beside ``doc_id, lang, source`` and the columns ``others``.
 
     A repeated word stands in a three-word window found twice or more. Windows are hashed to 64 bits and
     sorted with their places inside the row, so the work is n log n in a text's words and needs no shuffle.
@@ -42,7 +43,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     has_word = lambda x: F.length(F.translate(x, SPACES, "")) > 0
     rows = evaluate_once(
-        docs.select("doc_id", "lang", "source", text.alias("text")),
+        docs.select("doc_id", "lang", "source", *others, text.alias("text")),
         words=F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != ""),
         lines=F.filter(F.split("text", "\n"), has_word),
     )
@@ -50,6 +51,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
         "doc_id",
         "lang",
         "source",
+        *others,
         "words",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),

@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from bidscope.llm import bpe, extendible, robust_rules, site_posteriors, warc, wrappers
+from bidscope.llm import automata, bpe, extendible, robust_rules, site_posteriors, suffix_sort, templates, warc, wrappers
+from bidscope.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,9 +27,15 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_template_contamination")
+def template_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query(
     "op2_zip_warc",
     """
@@ -52,6 +59,11 @@ def zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+@query("op3_suffix_automata")
+def suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automata.digests(table(spark, sf_dir, "documents"))
+
+
 @query("op5_extendible_shards")
 def extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extendible.shard(table(spark, sf_dir, "documents"), keys=["doc_id"], keep=["doc_id"])
@@ -62,6 +74,11 @@ def robust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robust_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+@query("op7_suffix_sort")
+def sorted_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_sort.digests(table(spark, sf_dir, "documents"))
+
+
 @query("op8_site_posteriors")
 def site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_posteriors.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

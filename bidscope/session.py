@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import pathlib
+import shutil
 import tempfile
 import uuid
 
@@ -62,3 +65,19 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives the Python workers this package, once per application, unless their path already has it."""
+    context = spark.sparkContext
+    package = pathlib.Path(__file__).resolve().parent
+    on_path = {pathlib.Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if package.parent in on_path or context.applicationId in _SHIPPED:
+        return
+    folder = tempfile.mkdtemp(prefix="bidscope-package-")  # the driver's own; the engine sends the file on
+    archive = shutil.make_archive(f"{folder}/bidscope", "zip", package.parent, package.name)
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+
+
+_SHIPPED: set[str] = set()

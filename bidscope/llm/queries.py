@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from bidscope.llm import automata, bpe, extendible, robust_rules, site_posteriors, suffix_sort, templates, warc, wrappers
+from bidscope.llm import automata, bpe, extendible, robust_rules, set_join, site_posteriors, suffix_sort, templates, warc, wrappers
 from bidscope.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,11 @@ def suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automata.digests(table(spark, sf_dir, "documents"))
 
 
+@query("op4_divide_skip")
+def divide_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 @query("op5_extendible_shards")
 def extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extendible.shard(table(spark, sf_dir, "documents"), keys=["doc_id"], keep=["doc_id"])

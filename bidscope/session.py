@@ -7,7 +7,9 @@ import pathlib
 import shutil
 import tempfile
 import uuid
+import weakref
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 # Scale settings: adaptive execution sizes shuffles and splits skewed join partitions at
@@ -45,16 +47,35 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, replaces: tuple[DataFrame, ...] = ()) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
     Used where several later steps read the same costly rows: the text work runs once, the
-    lineage is cut durably, and each reader still prunes columns and pushes filters.
+    lineage is cut durably, and each reader still prunes columns and pushes filters. The write's own
+    shuffle files go when it ends; so do the staged tables in ``replaces``, which nothing reads after it.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/bidscope/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_TIDY, None)
+    spark.conf.set(_TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_TIDY) if before is None else spark.conf.set(_TIDY, before)
+    for old in replaces:
+        _remove(_STAGED.pop(old))
+    out = spark.read.schema(df.schema).parquet(path)
+    _STAGED[out] = path
+    return out
+
+
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_STAGED: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def _remove(path: str) -> None:
+    store, folder = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    store.delete_dir(folder)
 
 
 def spread(df: DataFrame) -> DataFrame:

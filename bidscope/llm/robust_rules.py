@@ -166,15 +166,15 @@ def _concentrate(rows: DataFrame, small: bool, estimate: DataFrame) -> DataFrame
     return _estimate(sums, SUBSET_FACTOR)
 
 
-def quality_rules(docs: DataFrame) -> DataFrame:
+def quality_rules(docs: DataFrame, *others: str) -> DataFrame:
     """Statistics and verdict per document: ``base_failed`` by the plain rules, ``kept`` unless that or an outlier.
 
     Documents that pass the plain rules are judged within their language and source (small groups are
     pooled); null languages and sources form groups of their own. A null or empty text has no words and
-    fails the plain rules. Repeated rows count as often as they stand there and get equal verdicts. Other
-    columns are left out. An empty table gives an empty result.
+    fails the plain rules. Repeated rows count as often as they stand there and get equal verdicts. Columns
+    but those named in ``others`` are left out. An empty table gives an empty result.
     """
-    rows = vectors(text_statistics(docs))
+    rows = vectors(text_statistics(docs, *others))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     null = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))
     rows = rows.select("*", failed.alias("base_failed"), null("lang").alias("_lang"), null("source").alias("_source"))
@@ -192,4 +192,13 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     distance = F.when(~F.col("base_failed"), _distance())
     kept = ~F.col("base_failed") & F.coalesce(distance <= MAX_DISTANCE, F.lit(True))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return judged.select("doc_id", *counts, "base_failed", kept.alias("kept"), F.round(distance, 3).alias("distance"))
+    return judged.select("doc_id", *others, *counts, "base_failed", kept.alias("kept"), F.round(distance, 3).alias("distance"))
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The documents, all columns kept, that the rules keep; rows of one id are told apart by their text."""
+    mark = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    texts = docs.select("doc_id", "lang", "source", "text", mark.alias("_mark"))
+    rejected = quality_rules(texts, "_mark").filter("not kept").select(F.col("doc_id").alias("_rejected"), "_mark").distinct()
+    same = docs["doc_id"].eqNullSafe(F.col("_rejected")) & (mark == F.col("_mark"))
+    return docs.join(rejected, same, "left_anti")

@@ -315,9 +315,10 @@ def _large_blocks(members: DataFrame, sizes: DataFrame, texts: DataFrame, edges:
     rows = members.join(sizes.filter(F.col("size") > BLOCK), "block")
     rows = rows.withColumn("parts", F.ceil(F.col("size") / half).cast("int"))
     rows = stage(rows.withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")), "large-blocks")
-    part = lambda *c: F.xxhash64("block", *c).alias("block")
-    first = rows.filter("doc = block").select(part(F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), "doc")
-    dealt = rows.select(part("part"), "doc").unionByName(first).distinct()
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("_each")
+    first = rows.filter("doc = block").select("block", each("parts"), "doc")
+    dealt = rows.select("block", F.col("part").alias("_each"), "doc").unionByName(first)
+    dealt = dealt.select(F.xxhash64("block", "_each").alias("block"), "doc").distinct()
     near = stage(_search(dealt.withColumn("settled", F.lit(False)), texts), "part-edges")
     found = components(edges.unionByName(near))
     rows = _with_component(rows, found)
@@ -327,12 +328,12 @@ def _large_blocks(members: DataFrame, sizes: DataFrame, texts: DataFrame, edges:
     if left.isEmpty():
         return near
     pieces = left.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / half).cast("int").alias("pieces"))
-    cell = lambda i, j: F.xxhash64("block", i, j, F.lit(1)).alias("block")
     rows = rows.join(pieces, "block")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("_each")
-    parts = rows.select("block", "part", "doc", "settled", every("pieces")).select(cell("_each", "part"), "doc", "settled")
-    rest = rows.filter(~F.col("settled")).select("block", "doc", "settled", F.pmod(F.xxhash64("doc", F.lit(7)), F.col("pieces")).cast("int").alias("piece"), every("parts"))
-    cells = parts.unionByName(rest.select(cell("piece", "_each"), "doc", "settled")).distinct()
+    piece = F.pmod(F.xxhash64("doc", F.lit(7)), F.col("pieces")).cast("int")
+    parts = rows.select("block", each("pieces"), "part", "doc", "settled")
+    rest = rows.filter(~F.col("settled")).select("block", piece.alias("_piece"), each("parts"), "doc", "settled")
+    cells = parts.unionByName(rest.select("block", F.col("_piece").alias("_each"), F.col("_each").alias("part"), "doc", "settled"))
+    cells = cells.select(F.xxhash64("block", "_each", "part", F.lit(1)).alias("block"), "doc", "settled").distinct()
     return near.unionByName(stage(_search(cells, texts), "cell-edges"))
 
 

@@ -1,22 +1,53 @@
-"""Corpus preparation: each stage works on what its predecessor kept."""
+"""Corpus preparation: each stage works on all that its predecessor kept, and its decisions take effect."""
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bidscope.llm import bpe
-from bidscope.session import stage
+from bidscope.llm import bpe, robust_rules, set_join, suffix_sort, templates
+from bidscope.session import ship_package, stage
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the quality rules go."""
+    ship_package(spark)
+    return robust_rules.keep_good(docs)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
+    ship_package(spark)
+    return set_join.one_of_each(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Long passages that stand elsewhere too are cut out of the texts."""
+    ship_package(spark)
+    return suffix_sort.without_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark questions, as they are or with other values, go."""
+    ship_package(spark)
+    return templates.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what is kept."""
+    ship_package(spark)
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("bpe encoding and decoding", encode)]
+STAGES = [
+    ("quality rules", keep_good),
+    ("n-gram Jaccard join", one_of_each),
+    ("suffix-array dedup", cut_repeats),
+    ("benchmark decontamination", drop_leaks),
+    ("BPE encoding and decoding", encode),
+]
 
-# Later stages cannot be said in SQL; tests/llm holds the pipeline against a brute-force version.
+# The robust estimates and the encoding cannot be said in SQL; tests/llm holds the run against plain versions.
 ORACLE_SQL = None
 
 

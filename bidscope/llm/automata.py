@@ -149,9 +149,9 @@ def remove_repeats(docs: DataFrame, windows: Windows = WORDS) -> DataFrame:
     that repeat or are missing: see ``repeats.identified``. A null or empty text has no words; a table
     without documents gives an empty result.
     """
-    docs = identified(docs)
+    rows, texts = identified(docs)
     method = lambda shard: earlier_windows(shard, windows.size)
-    return with_spans(docs, repeated_spans(docs, windows, method)).drop("_doc", "_copy")
+    return with_spans(rows, repeated_spans(texts, windows, method)).drop("_doc", "_copy")
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -68,8 +68,9 @@ class Shard:
 # --- documents
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """``_doc, _copy, _text``: the number a document goes by, 0, and its text (null: empty).
+def identified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows with ``_doc, _copy, _text``: the number a document goes by, 0, and its text (null: empty);
+    and each document's text once.
 
     Where ids repeat or are missing, ``_copy`` is the text's hash: rows equal in both are one document,
     others with the same id are documents that follow each other in the order of that hash; a missing
@@ -77,10 +78,12 @@ def identified(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    ids = docs.select(doc.alias("_doc"))
-    unclear = not ids.groupBy("_doc").agg(F.count(F.lit(1)).alias("_n")).filter((F.col("_n") > 1) | (F.col("_doc") == NO_ID)).isEmpty()
+    counts = docs.select(doc.alias("_doc")).groupBy("_doc").agg(F.count(F.lit(1)).alias("_n"))
+    unclear = not counts.filter((F.col("_n") > 1) | (F.col("_doc") == NO_ID)).isEmpty()
     copy = F.xxhash64(text) if unclear else F.lit(0).cast("long")
-    return docs.select("*", doc.alias("_doc"), copy.alias("_copy"), text.alias("_text"))
+    rows = docs.select("*", doc.alias("_doc"), copy.alias("_copy"), text.alias("_text"))
+    texts = rows.select("_doc", "_copy", "_text")
+    return rows, texts.dropDuplicates(["_doc", "_copy"]) if unclear else texts
 
 
 def units_of(unit: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -290,8 +293,7 @@ def _with_bodies(contexts: DataFrame, docs: DataFrame, w: Windows) -> DataFrame:
     """Contexts with their text, cut out of the documents by one join on the document."""
     fields = [x for x in _OPEN if x not in ("doc", "copy", "body")]
     wanted = contexts.groupBy(F.col("doc").alias("_doc"), F.col("copy").alias("_copy")).agg(F.collect_list(F.struct(*fields)).alias("_wanted"))
-    # Rows that repeat a whole document would give its contexts twice; they share (_doc, _copy) and one is enough.
-    joined = docs.select("_doc", "_copy", "_text").join(wanted, ["_doc", "_copy"])
+    joined = docs.join(wanted, ["_doc", "_copy"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -363,8 +365,8 @@ def _sharded(w: Windows, method: Method) -> Callable[[Iterator[pa.RecordBatch]],
 
 
 def repeated_spans(docs: DataFrame, w: Windows, method: Method) -> DataFrame:
-    """``_doc, _copy, spans`` of the documents (see ``identified``) that hold repeats; ranges of units."""
-    contexts = docs.select("_doc", "_copy", "_text").mapInArrow(_contexts(w), _schema(_SLIM))
+    """``_doc, _copy, spans`` of the texts (see ``identified``) that hold repeats; ranges of units."""
+    contexts = docs.mapInArrow(_contexts(w), _schema(_SLIM))
     rows = stage(_grouped(contexts).mapInArrow(_settle(w), _schema(_OPEN)), "contexts")
     spans = [rows.filter("key is null")]
     open_rows = rows.filter("key is not null")

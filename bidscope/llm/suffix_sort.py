@@ -157,9 +157,9 @@ def find_repeats(docs: DataFrame, windows: Windows = BYTES) -> DataFrame:
     missing: see ``repeats.identified``. A null or empty text has no bytes; a table without documents
     gives an empty result.
     """
-    docs = identified(docs)
+    rows, texts = identified(docs)
     method = lambda shard: shared_windows(shard, windows.size)
-    return with_spans(docs, repeated_spans(docs, windows, method)).drop("_doc", "_copy")
+    return with_spans(rows, repeated_spans(texts, windows, method)).drop("_doc", "_copy")
 
 
 def kept_bytes(raw: bytes, spans: list[dict] | None) -> tuple[bytes, int]:

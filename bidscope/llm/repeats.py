@@ -229,6 +229,9 @@ def _settle(w: Windows) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             if last:
                 yield from settled(rows.slice(0, last), several)
                 rows, several = rows.slice(last), False
+            elif len(key) > OPEN_ROWS and (n == 0).any():  # settled ranges of one document
+                yield from settled(rows.filter(pa.array(n == 0)), False)
+                rows = rows.filter(pa.array(n > 0))
             elif len(key) > OPEN_ROWS:
                 turn = np.flatnonzero((np.diff(content) != 0) & (n[1:] > 0) & (n[:-1] > 0))
                 if len(turn):  # whole runs go, the last one stays

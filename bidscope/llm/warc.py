@@ -157,8 +157,9 @@ def members_of(file: pa.NativeFile) -> list[Member]:
     total = file.size()
     tail_at = max(0, total - 22 - MAX_COMMENT - 20)
     tail = read_range(file, tail_at, total - tail_at)
+    whole = lambda i: i + 22 <= len(tail) and i + 22 + struct.unpack_from("<H", tail, i + 20)[0] == len(tail)
     end = tail.rfind(END)
-    while end >= 0 and end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail):
+    while end >= 0 and not whole(end):  # the signature may also stand in the comment
         end = tail.rfind(END, 0, end)
     if end < 0:
         raise ValueError("no ZIP directory")
@@ -289,8 +290,8 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    cores = archives.sparkSession.sparkContext.defaultParallelism
-    dealt = archives.select("archive").repartition(max(cores, archives.rdd.getNumPartitions()))
+    tasks = min(max(1, archives.count()), 32 * archives.sparkSession.sparkContext.defaultParallelism)
+    dealt = archives.select("archive").repartition(tasks)
     return dealt.mapInArrow(
         run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
     )

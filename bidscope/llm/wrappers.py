@@ -305,7 +305,7 @@ def _slots(judged: str | None) -> dict[str, int]:
 
 
 def _host() -> F.Column:
-    return F.lower(F.coalesce(F.parse_url(F.col("url"), F.lit("HOST")), F.lit("")))
+    return F.lower(F.coalesce(F.try_parse_url(F.col("url"), F.lit("HOST")), F.lit("")))
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:

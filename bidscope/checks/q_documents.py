@@ -100,17 +100,17 @@ def _re2(pattern: str) -> str:
 
 
 def findings_sql(kind: str) -> str:
-    patterns, limit = ops.FINDINGS[kind]
+    patterns = ops.FINDINGS[kind]
     rows = " UNION ALL ".join(
         f"SELECT notice_id, {i} AS p, '{code}' AS code, m, pos FROM (SELECT notice_id, unnest(l) AS m, generate_subscripts(l, 1) AS pos FROM "
         f"(SELECT notice_id, regexp_extract_all(c, {_sql_string(_re2(pattern))}) AS l FROM clean))"
         for i, (code, _, pattern) in enumerate(patterns)
     )
     return f"""{kind}_raw AS ({rows}),
-{kind}_cut AS (SELECT notice_id, p, pos, code, trim(regexp_replace(m, '\\s+', ' ', 'g'))[1:200] AS snippet FROM {kind}_raw),
+{kind}_cut AS (SELECT notice_id, p, pos, code, trim(regexp_replace(m, '\\s+', ' ', 'g')) AS snippet FROM {kind}_raw),
 {kind}_one AS (SELECT *, row_number() OVER (PARTITION BY notice_id, snippet ORDER BY p, pos) AS dup FROM {kind}_cut WHERE length(snippet) > 10),
 f_{kind} AS (SELECT notice_id, code, snippet, CAST(rn - 1 AS INTEGER) AS position FROM (
-  SELECT *, row_number() OVER (PARTITION BY notice_id ORDER BY p, pos) AS rn FROM {kind}_one WHERE dup = 1) WHERE rn <= {limit})"""
+  SELECT *, row_number() OVER (PARTITION BY notice_id ORDER BY p, pos) AS rn FROM {kind}_one WHERE dup = 1))"""
 
 
 _CONFIDENCE = "CAST(CASE WHEN length(snippet) >= 50 THEN 0.9 WHEN length(snippet) >= 30 THEN 0.8 WHEN length(snippet) >= 15 THEN 0.7 ELSE 0.5 END AS DOUBLE)"
@@ -137,12 +137,12 @@ _register_findings("T7_find_qualifications", "qualifications")
 
 @query(
     "T8_finding_confidence",
-    f"SELECT doc_id, {_CONFIDENCE} AS confidence FROM (SELECT doc_id, string_split(text, '.')[1] AS snippet FROM documents)",
+    f"""SELECT doc_id, position, {_CONFIDENCE} AS confidence FROM (SELECT doc_id, unnest(l) AS snippet,
+  CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS position FROM (SELECT doc_id, string_split(text, '.') AS l FROM documents))""",
 )
 def finding_confidence(spark, sf):
-    return table(spark, sf, "documents").select(
-        "doc_id", ops.finding_confidence(F.substring_index("text", ".", 1)).alias("confidence")
-    )
+    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "[.]")).alias("position", "snippet"))
+    return rows.select("doc_id", "position", ops.finding_confidence(F.col("snippet")).alias("confidence"))
 
 
 _KIND = "CASE " + " ".join(
@@ -160,11 +160,11 @@ FROM (SELECT *, unnest(generate_series(1, len(m))) AS i FROM (SELECT notice_id,
     )
     return f"""dl_raw AS ({rows}),
 dl_ctx AS (SELECT *, CAST(amount AS BIGINT) AS value, CASE WHEN regexp_replace(lower(unit), 's+$', '') LIKE 'mese%' THEN 'mes' ELSE regexp_replace(lower(unit), 's+$', '') END AS un,
-  lower(trim(regexp_replace(substr(c, greatest(start - 50, 0) + 1, least(start + length(whole) + 100, length(c)) - greatest(start - 50, 0)), '\\s+', ' ', 'g'))[1:250]) AS ctx,
-  trim(regexp_replace(whole, '\\s+', ' ', 'g'))[1:150] AS context FROM dl_raw),
+  lower(trim(regexp_replace(substr(c, greatest(start - 50, 0) + 1, least(start + length(whole) + 100, length(c)) - greatest(start - 50, 0)), '\\s+', ' ', 'g'))) AS ctx,
+  trim(regexp_replace(whole, '\\s+', ' ', 'g')) AS context FROM dl_raw),
 dl_one AS (SELECT *, row_number() OVER (PARTITION BY notice_id, value, un ORDER BY p, pos) AS dup FROM dl_ctx),
 deadlines AS (SELECT notice_id, value, un AS unit, {_KIND} AS kind, context, CAST(rn - 1 AS INTEGER) AS position FROM (
-  SELECT *, row_number() OVER (PARTITION BY notice_id ORDER BY p, pos) AS rn FROM dl_one WHERE dup = 1) WHERE rn <= 15)"""
+  SELECT *, row_number() OVER (PARTITION BY notice_id ORDER BY p, pos) AS rn FROM dl_one WHERE dup = 1))"""
 
 
 @query("T9_find_deadlines", f"WITH {CLEAN_SQL}, {deadlines_sql()} SELECT * FROM deadlines")
@@ -239,7 +239,7 @@ _CONF = f"""{_ANALYSIS}, {_FILES}, conf AS (SELECT k.*, q3.quality, q3.n AS raw_
 _BAND = "CASE WHEN confidence >= 70 THEN 'alta' WHEN confidence >= 40 THEN 'media' ELSE 'baixa' END"
 
 
-@query("T11_doc_confidence", f"WITH {_CONF} SELECT notice_id, confidence, {_BAND} AS confidence_band FROM conf WHERE raw_n >= 100")
+@query("T11_doc_confidence", f"WITH {_CONF} SELECT notice_id, confidence, {_BAND} AS confidence_band FROM conf")
 def doc_confidence(spark, sf):
     return analyze_documents(tender_docs(spark, sf), candidate_files(spark, sf)).select("notice_id", "confidence", "confidence_band")
 
@@ -248,7 +248,7 @@ def doc_confidence(spark, sf):
     "T13_analyze_documents",
     f"""WITH {_CONF} SELECT notice_id, quality, CAST(n_documents AS INTEGER) AS documents, CAST(n_requirements AS INTEGER) AS requirements, CAST(n_risks AS INTEGER) AS risks,
   CAST(n_qualifications AS INTEGER) AS qualifications, CAST(n_deadlines AS INTEGER) AS deadlines, risk_score, confidence, {_BAND} AS confidence_band
-FROM conf WHERE raw_n >= 100 AND notice_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
+FROM conf WHERE notice_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
 )
 def analyzed_documents(spark, sf):
     done = table(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").alias("notice_id"))

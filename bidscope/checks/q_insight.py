@@ -325,7 +325,7 @@ def high_opportunity_digest(spark, sf):
 @query(
     "D35_synonym_candidates",
     """SELECT DISTINCT lower(array_to_string(string_split_regex(trim(text), '\\s+')[1:6], ' ')) AS description FROM documents
-WHERE length(trim(text)) > 5 ORDER BY 1 LIMIT 300""",
+WHERE length(trim(text)) > 5""",
 )
 def synonym_candidates(spark, sf):
     rows = table(spark, sf, "documents").select(F.col("text").alias("description"), F.lit(1.0).alias("estimate"))
@@ -420,7 +420,7 @@ def session_counts(spark, sf):
   FROM rk WHERE n >= 2 GROUP BY key)
 SELECT key, best_platform, best_price, CASE WHEN (dearest - best_price) / greatest(best_price, 1) * 100 > 10
   THEN 'Diferença de ' || CAST(round((dearest - best_price) / greatest(best_price, 1) * 100, 0) AS BIGINT) || '% entre plataformas.' ELSE 'Preços convergentes.' END AS advice
-FROM g ORDER BY obs DESC, key LIMIT 15""",
+FROM g""",
 )
 def insight_rows(spark, sf):
     return session.item_insights(_item_view(spark, sf)).select("key", "best_platform", "best_price", "advice")

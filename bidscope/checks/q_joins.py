@@ -145,15 +145,11 @@ def pending_awards(spark, sf):
 
 @query(
     "J12_pending_prices",
-    f"""WITH {NOTICE_SQL} SELECT notice_id, relevance FROM notice WHERE is_open AND notice_id NOT IN (SELECT event_id FROM events)
-ORDER BY CASE relevance WHEN 'ALTA' THEN 0 WHEN 'MEDIA' THEN 1 ELSE 2 END, published_at DESC, notice_id LIMIT 100""",
+    f"""WITH {NOTICE_SQL} SELECT notice_id, relevance FROM notice WHERE is_open AND notice_id NOT IN (SELECT event_id FROM events)""",
 )
 def pending_prices(spark, sf):
-    from bidscope.operators.search import order_columns
-
     done = table(spark, sf, "events").select(F.col("event_id").alias("notice_id"))
-    rows = joins.pending(notices(spark, sf), done)
-    return joins.newest(rows, 100, order_columns("relevance")).select("notice_id", "relevance")
+    return joins.pending(notices(spark, sf), done).select("notice_id", "relevance")
 
 
 @query(

@@ -365,10 +365,10 @@ def gazettes(spark, sf):
     f"""WITH {MUNICIPALITY_SQL}, e AS (SELECT doc_id, CAST(doc_id % 97 AS VARCHAR) AS territory_id,
     strftime(DATE '2024-01-01' + CAST(doc_id % 5 AS INTEGER), '%Y-%m-%d') AS day, lang || ' edital' AS q, source,
     unnest(string_split_regex(text, '; |\\. ')) AS ex FROM documents),
-f AS (SELECT *, row_number() OVER (PARTITION BY territory_id, day, ex[1:50] ORDER BY q, ex, doc_id) AS rn
+f AS (SELECT *, row_number() OVER (PARTITION BY territory_id, day, ex ORDER BY q, doc_id) AS rn
   FROM e JOIN municipality ON ibge_code = territory_id)
-SELECT doc_id, name AS municipality, source AS org_name, md5(trim(replace(ex, chr(10), ' '))[1:500]) AS subject, day || 'T00:00:00' AS published_at,
-  q AS keywords, day[1:4] AS year FROM f WHERE rn = 1 AND length(trim(replace(ex, chr(10), ' '))) >= 50""",
+SELECT doc_id, name AS municipality, source AS org_name, md5(trim(replace(ex, chr(10), ' '))) AS subject, day || 'T00:00:00' AS published_at,
+  q AS keywords, day[1:4] AS year FROM f WHERE rn = 1 AND length(trim(replace(ex, chr(10), ' '))) >= 1""",
 )
 def gazette_to_notice(spark, sf):
     rows = feeds.gazette_to_notice(gazettes(spark, sf), municipalities(spark, sf), keep=["doc_id"])
@@ -471,7 +471,7 @@ c AS (SELECT page_id, url, string_split(replace(piece, '</p>', ''), '</article>'
 t AS (SELECT page_id, url, replace(replace(replace(replace(replace(replace(replace(array_to_string(list_filter(list_transform(
     string_split(regexp_replace(inner_html, '<[^>]*>', chr(1), 'g'), chr(1)), lambda p: trim(regexp_replace(p, '\\s+', ' ', 'g'))), lambda p: p <> ''), ' '),
     '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&copy;', '©'), '&amp;', '&') AS txt FROM c)
-SELECT page_id, md5(txt[1:500]) AS subject, url FROM t WHERE length(txt) >= 20""",
+SELECT page_id, md5(txt) AS subject, url FROM t WHERE length(txt) >= 20""",
 )
 def portal_card_pages(spark, sf):
     # every paragraph of the pages becomes a card block

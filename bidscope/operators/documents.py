@@ -1,8 +1,8 @@
 """Tender-document text: cleaning, quality, findings, deadlines, scores.
 
 A document is one row, and everything about it is computed inside that row with array
-functions, so these jobs need no shuffle. Whole texts are read; only the number of findings
-kept per document is limited.
+functions, so these jobs need no shuffle. Whole texts are read, and all findings are kept unless
+a caller asks for the first few.
 """
 
 from __future__ import annotations
@@ -86,8 +86,8 @@ def doc_quality(docs: DataFrame, text: str) -> DataFrame:
     return scored.drop("_length", "_letters", "_legal", "_lines", "_short")
 
 
-def _squeeze(text: Column, limit: int) -> Column:
-    return F.substring(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), 1, limit)
+def _squeeze(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
 def finding_confidence(snippet: Column) -> Column:
@@ -95,51 +95,55 @@ def finding_confidence(snippet: Column) -> Column:
     return F.when(size >= 50, 0.9).when(size >= 30, 0.8).when(size >= 15, 0.7).otherwise(0.5)
 
 
-def find_patterns(text: Column, patterns: list[tuple[str, str, str]], limit: int) -> Column:
-    """Findings of a text as array<struct<code, label, snippet, confidence>>.
-
-    In taxonomy order; a snippet counts once and only if longer than ten characters.
-    """
+def _candidates(text: Column, patterns: list[tuple[str, str, str]]) -> Column:
+    """All matches in taxonomy order whose snippet is longer than ten characters."""
     def tagged(code: str, label: str, pattern: str) -> Column:
         matches = F.regexp_extract_all(text, F.lit("(?iU)" + pattern), F.lit(0))
         return F.transform(
             matches,
-            lambda m: F.struct(
-                F.lit(code).alias("code"), F.lit(label).alias("label"), _squeeze(m, 200).alias("snippet")
-            ),
+            lambda m: F.struct(F.lit(code).alias("code"), F.lit(label).alias("label"), _squeeze(m).alias("snippet")),
         )
 
-    found = [tagged(*entry) for entry in patterns]
-    candidates = F.filter(F.concat(*found), lambda f: F.length(f["snippet"]) > 10)
-    none = F.expr("cast(array() as array<struct<code: string, label: string, snippet: string>>)")
-
-    def keep_first(kept: Column, finding: Column) -> Column:
-        known = F.exists(kept, lambda k: k["snippet"] == finding["snippet"])
-        return F.when((F.size(kept) >= limit) | known, kept).otherwise(F.array_append(kept, finding))
-
-    return F.transform(
-        F.aggregate(candidates, none, keep_first),
-        lambda f: F.struct(
-            f["code"].alias("code"), f["label"].alias("label"), f["snippet"].alias("snippet"),
-            finding_confidence(f["snippet"]).alias("confidence"),
-        ),
-    )
+    return F.filter(F.concat(*[tagged(*entry) for entry in patterns]), lambda f: F.length(f["snippet"]) > 10)
 
 
 FINDINGS = {
-    "documents": (fixed.DOCUMENT_PATTERNS, 20),
-    "requirements": (fixed.REQUIREMENT_PATTERNS, 15),
-    "risks": (fixed.RISK_PATTERNS, 15),
-    "qualifications": (fixed.QUALIFICATION_PATTERNS, 15),
+    "documents": fixed.DOCUMENT_PATTERNS,
+    "requirements": fixed.REQUIREMENT_PATTERNS,
+    "risks": fixed.RISK_PATTERNS,
+    "qualifications": fixed.QUALIFICATION_PATTERNS,
 }
 
 
-def with_findings(docs: DataFrame, text: str, kinds: list[str] | None = None) -> DataFrame:
-    """Adds one array column per kind of finding."""
+def with_findings(
+    docs: DataFrame, text: str, kinds: list[str] | None = None, limits: dict[str, int] | None = None
+) -> DataFrame:
+    """Adds one array column of findings (code, label, snippet, confidence) per kind.
+
+    In taxonomy order; a snippet counts once. ``limits`` keeps the first findings of a kind; without
+    it all are kept. Equal snippets are found by sorting, so long lists cost no more than n log n.
+    """
     rows = docs
     for kind in kinds or list(FINDINGS):
-        patterns, limit = FINDINGS[kind]
-        rows = evaluate_once(rows, **{kind: find_patterns(F.col(text), patterns, limit)})
+        rows = evaluate_once(rows, _found=_candidates(F.coalesce(F.col(text), F.lit("")), FINDINGS[kind]))
+        placed = F.transform(
+            "_found", lambda f, i: F.struct(f["snippet"].alias("snippet"), i.alias("i"), f["code"].alias("code"), f["label"].alias("label"))
+        )
+        rows = evaluate_once(rows, _found=F.sort_array(placed))
+        first = F.filter("_found", lambda f, i: (i == 0) | (F.get("_found", i - 1)["snippet"] != f["snippet"]))
+        in_order = F.sort_array(
+            F.transform(first, lambda f: F.struct(f["i"].alias("i"), f["code"].alias("code"), f["label"].alias("label"), f["snippet"].alias("snippet")))
+        )
+        if limits and kind in limits:
+            in_order = F.slice(in_order, 1, limits[kind])
+        found = F.transform(
+            in_order,
+            lambda f: F.struct(
+                f["code"].alias("code"), f["label"].alias("label"), f["snippet"].alias("snippet"),
+                finding_confidence(f["snippet"]).alias("confidence"),
+            ),
+        )
+        rows = evaluate_once(rows, **{kind: found}).drop("_found")
     return rows
 
 
@@ -159,7 +163,7 @@ def deadline_kind(context: Column) -> Column:
     return F.coalesce(hit["a"], F.lit("outros"))
 
 
-def find_deadlines(text: Column, limit: int = 15) -> Column:
+def find_deadlines(text: Column, limit: int | None = None) -> Column:
     """Deadlines as array<struct<value, unit, kind, context, confidence>>.
 
     The start of the i-th match is the length of the i + 1 pieces before it and the i matches
@@ -189,12 +193,12 @@ def find_deadlines(text: Column, limit: int = 15) -> Column:
         unit = F.regexp_replace(F.lower(m["unit"]), "s+$", "")
         first = F.greatest(m["start"] - 50, F.lit(0))
         last = F.least(m["start"] + F.length(m["whole"]) + 100, F.length(text))
-        around = _squeeze(F.substring(text, first + 1, last - first), 250)
+        around = _squeeze(F.substring(text, first + 1, last - first))
         return F.struct(
             m["amount"].try_cast("bigint").alias("value"),
             F.when(unit.startswith("mese"), "mes").otherwise(unit).alias("unit"),
             deadline_kind(around).alias("kind"),
-            _squeeze(m["whole"], 150).alias("context"),
+            _squeeze(m["whole"]).alias("context"),
         )
 
     candidates = F.filter(F.transform(F.concat(*found), describe), lambda d: d["value"].isNotNull())
@@ -202,7 +206,8 @@ def find_deadlines(text: Column, limit: int = 15) -> Column:
 
     def keep_first(kept: Column, d: Column) -> Column:
         known = F.exists(kept, lambda k: (k["value"] == d["value"]) & (k["unit"] == d["unit"]))
-        return F.when((F.size(kept) >= limit) | known, kept).otherwise(F.array_append(kept, d))
+        full = known if limit is None else (F.size(kept) >= limit) | known
+        return F.when(full, kept).otherwise(F.array_append(kept, d))
 
     return F.transform(
         F.aggregate(candidates, none, keep_first),

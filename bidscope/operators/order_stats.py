@@ -118,8 +118,8 @@ def _ranked(
         return _rank_by_window(rows, keys, trim_outliers)
     if sizes is None:
         sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    # at most (all rows / hot_rows) groups, so the list is small whatever the data size
-    hot = F.broadcast(sizes.filter(F.col("n") > hot_rows).select(*keys))
+    # At most (all rows / hot_rows) groups; whether to send the list around is the planner's choice.
+    hot = sizes.filter(F.col("n") > hot_rows).select(*keys)
     test = _same_key(rows, hot, keys)
     columns = [*keys, "_v", "_copies", "_rank", "_n", "_q1", "_q3", "_kept", "_m", "_below"]
     ordinary = _rank_by_window(rows.join(hot, test, "left_anti"), keys, trim_outliers)
@@ -217,10 +217,13 @@ def fences(df: DataFrame, keys: list[str], value: str, hot_rows: int | None = HO
 
 
 def iqr_filter(df: DataFrame, keys: list[str], value: str, hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """Rows within 1.5 quartile ranges of the index quartiles; groups under 4 rows stay whole."""
+    """Rows within 1.5 quartile ranges of the index quartiles; groups under 4 rows stay whole.
+
+    A row without a value is no outlier and stays, whatever its group's size.
+    """
     limits = fences(df, keys, value, hot_rows).select(F.struct(*keys).alias("_g"), "n", "low", "high")
-    keep = (F.col("n") < 4) | F.col(value).between(F.col("low"), F.col("high"))
-    return df.withColumn("_g", F.struct(*keys)).join(limits, "_g").filter(keep).select(*df.columns)
+    keep = F.col(value).isNull() | (F.col("n") < 4) | F.col(value).between(F.col("low"), F.col("high"))
+    return df.withColumn("_g", F.struct(*keys)).join(limits, "_g", "left").filter(keep).select(*df.columns)
 
 
 def upper_median(df: DataFrame, keys: list[str], value: str, hot_rows: int | None = HOT_ROWS) -> DataFrame:

@@ -46,7 +46,9 @@ def previous_values(
         .withColumn("_carried", F.lag("_max._last").over(Window.partitionBy(*keys).orderBy("_bucket")))
         .select(*keys, "_bucket", "_carried")
     )
-    joined = rows.join(last, [*keys, "_bucket"])
+    # Null keys and null times are values like any others.
+    last = last.select(F.struct(*keys, "_bucket").alias("_at"), "_carried")
+    joined = rows.join(last, F.struct(*[rows[c] for c in [*keys, "_bucket"]]).eqNullSafe(last["_at"]), "left")
     previous = F.coalesce("_previous", "_carried")
     return joined.select(
         *df.columns,

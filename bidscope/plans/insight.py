@@ -259,18 +259,17 @@ def filter_facets(notices: DataFrame, configs: DataFrame, domains: DataFrame) ->
 
 def merged_collect_config(configs: DataFrame, domains: DataFrame) -> DataFrame:
     """Union of what all organisations want collected, and the largest population."""
-    def all_of(column: str) -> Column:
-        return F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce(column, F.array())))))
+    def all_of(column: str) -> DataFrame:
+        """Distinct values first, which tasks do by themselves; only those meet in one place."""
+        return configs.select(F.explode(column).alias("value")).distinct().agg(F.array_sort(F.collect_list("value")))
 
     codes = configs.select(F.explode("modalities").alias("code")).union(
         domains.filter("domain = 'modalidade_contratacao'").select(F.explode("codes"))
     )
-    merged = configs.agg(
-        all_of("states").alias("states"),
-        all_of("sources").alias("sources"),
-        F.max("max_population").alias("max_population"),
+    merged = configs.agg(F.max("max_population").alias("max_population")).select(
+        all_of("states").scalar().alias("states"), all_of("sources").scalar().alias("sources"), "max_population"
     )
-    return merged.withColumn("modalities", codes.agg(F.array_sort(F.collect_set("code"))).scalar())
+    return merged.withColumn("modalities", codes.distinct().agg(F.array_sort(F.collect_list("code"))).scalar())
 
 
 def org_prospect_stats(opportunities: DataFrame) -> DataFrame:
@@ -350,12 +349,13 @@ def high_opportunity_digest(opportunities: DataFrame, notices: DataFrame, keep:
     return counts.join(lines, "org_id")
 
 
-def synonym_candidates(items: DataFrame, limit: int = 300) -> DataFrame:
-    """Distinct first six words of item descriptions, to be reviewed for synonyms."""
+def synonym_candidates(items: DataFrame, first_words: int = 6, limit: int | None = None) -> DataFrame:
+    """Distinct first words of item descriptions, to be reviewed for synonyms: all, or the first in order."""
     text = F.trim("description")
-    start = F.lower(F.array_join(F.slice(F.split(text, r"\s+"), 1, 6), " "))
+    start = F.lower(F.array_join(F.slice(F.split(text, r"\s+"), 1, first_words), " "))
     rows = items.filter((F.col("estimate") > 0) & (F.length(text) > 5))
-    return rows.select(start.alias("description")).distinct().orderBy("description").limit(limit)
+    found = rows.select(start.alias("description")).distinct()
+    return found if limit is None else found.orderBy("description").limit(limit)
 
 
 def merge_synonyms(existing: DataFrame, proposed: DataFrame) -> DataFrame:

@@ -85,8 +85,8 @@ def session_counts(notices: DataFrame, session_notices: DataFrame) -> DataFrame:
     return totals.withColumn("selected", F.col("total") - F.col("excluded"))
 
 
-def item_insights(view: DataFrame, limit: int = 15) -> DataFrame:
-    """Best platform and price gap of each group, as text. The most observed groups come first."""
+def item_insights(view: DataFrame, limit: int | None = None) -> DataFrame:
+    """Best platform and price gap of each group, as text; with a limit, of the most observed groups."""
     per_group = view.groupBy("key", "description").agg(
         F.min_by("platform", "rank").alias("best_platform"),
         F.min_by("mean", "rank").alias("best_price"),
@@ -101,7 +101,7 @@ def item_insights(view: DataFrame, limit: int = 15) -> DataFrame:
         .otherwise("Preços convergentes.")
     )
     rows = per_group.withColumn("advice", advice)
-    return rows.orderBy(F.col("total_observations").desc(), "key").limit(limit)
+    return rows if limit is None else rows.orderBy(F.col("total_observations").desc(), "key").limit(limit)
 
 
 def notice_insights(view: DataFrame) -> DataFrame:

@@ -41,12 +41,14 @@ def _midnight(day: Column) -> Column:
     return F.when(day != "", F.concat(day, F.lit("T00:00:00"))).otherwise("")
 
 
-def gazette_to_notice(gazettes: DataFrame, targets: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def gazette_to_notice(
+    gazettes: DataFrame, targets: DataFrame, keep: list[str] | None = None, min_chars: int = 1
+) -> DataFrame:
     """One notice per distinct gazette excerpt of a target municipality.
 
     gazettes: territory_id, territory_name, date, url, query, excerpts. targets: ibge_code,
-    name, state. Excerpts are distinct by territory, date and first 50 characters; the
-    shortest query, then excerpt, wins.
+    name, state. Excerpts are distinct by territory, date and whole text; the smallest query
+    wins. Excerpts of fewer than ``min_chars`` characters are left out.
     """
     keep = keep or []
     places = targets.select(F.col("ibge_code").alias("territory_id"), "name", "state")
@@ -54,10 +56,9 @@ def gazette_to_notice(gazettes: DataFrame, targets: DataFrame, keep: list[str] |
         *keep, "territory_id", "territory_name", "date", "url", "query", F.explode_outer("excerpts").alias("excerpt")
     )
     rows = rows.filter(F.col("excerpt").isNotNull()).join(places, "territory_id")
-    rows = rows.withColumn("_start", F.substring("excerpt", 1, 50))
-    rows = first_per_key(rows, ["territory_id", "date", "_start"], [F.col("query"), F.col("excerpt"), *keep])
+    rows = first_per_key(rows, ["territory_id", "date", "excerpt"], [F.col("query"), *keep])
     rows = rows.withColumn("_clean", F.trim(F.replace("excerpt", F.lit("\n"), F.lit(" "))))
-    rows = rows.filter(F.length("_clean") >= 50)
+    rows = rows.filter(F.length("_clean") >= min_chars)
     return _source_row(
         rows,
         keep,
@@ -65,7 +66,7 @@ def gazette_to_notice(gazettes: DataFrame, targets: DataFrame, keep: list[str] |
         state=F.col("state"),
         ibge_code=F.col("territory_id"),
         org_name=F.coalesce("territory_name", "name"),
-        subject=F.substring("_clean", 1, 500),
+        subject=F.col("_clean"),
         modality=F.lit("Diário Oficial"),
         status=F.lit("Publicado no DO"),
         published_at=_midnight(F.col("date")),
@@ -106,7 +107,7 @@ def audit_court_to_notice(
         estimate=F.coalesce("estimate", F.lit(0.0)),
         status=F.when(_or_empty("awarded_at") != "", "Homologada").otherwise("Publicada"),
         published_at=_midnight(_or_empty("published_at")),
-        keywords=F.array_join(F.slice("_found", 1, 3), ", "),
+        keywords=F.array_join("_found", ", "),
         relevance=relevance_by_terms(F.col("_norm"), high, medium),
         source=F.lit(source),
         year=_or_empty("year"),
@@ -140,7 +141,7 @@ def portal_api_to_notice(replies: DataFrame, body: str, keep: list[str]) -> Data
     amounts = [F.col(f"r.{n}").try_cast("double") for n in ("valor_estimado", "valor", "valor_total")]
     raw = rows.select(
         *keep,
-        F.substring(first("objeto", "descricao", "description"), 1, 500).alias("subject"),
+        first("objeto", "descricao", "description").alias("subject"),
         first("modalidade").alias("modality"),
         F.coalesce(published, day).alias("published_at"),
         first("data_abertura").alias("opens_at"),
@@ -252,7 +253,7 @@ def table_listings(pages: DataFrame, keep: list[str]) -> DataFrame:
         *keep,
         "table_no",
         "row_no",
-        F.substring("_subject", 1, 500).alias("subject"),
+        F.col("_subject").alias("subject"),
         F.when(F.col("_modality") != "", F.col("_modality")).otherwise(detect_modality(F.col("_subject"))).alias("modality"),
         _midnight(F.col("date")).alias("published_at"),
         _midnight(F.col("opening")).alias("opens_at"),
@@ -272,7 +273,7 @@ def _from_text(rows: DataFrame, keep: list[str]) -> DataFrame:
     rows = evaluate_once(rows, date=parse_br_date(text))
     return rows.select(
         *keep,
-        F.substring(text, 1, 500).alias("subject"),
+        text.alias("subject"),
         detect_modality(text).alias("modality"),
         _midnight(F.col("date")).alias("published_at"),
         F.lit("").alias("opens_at"),

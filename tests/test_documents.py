@@ -12,9 +12,8 @@ Prazo de implantação: 20 (vinte) dias corridos. Prazo de vigência: 12 meses.
 """
 
 
-def found(one, text, kind):
-    patterns, limit = ops.FINDINGS[kind]
-    return one(ops.find_patterns(F.lit(text), patterns, limit))
+def found(spark, text, kind, limits=None):
+    return ops.with_findings(spark.createDataFrame([(text,)], "text string"), "text", [kind], limits).first()[kind]
 
 
 def test_clean_text(one):
@@ -22,16 +21,17 @@ def test_clean_text(one):
     assert one(ops.clean_doc_text(F.lit(raw))) == "contratação de serviços\n\nFim."
 
 
-def test_documents_found_in_accented_capitals(one):
-    codes = [f["code"] for f in found(one, "CERTIDÃO NEGATIVA DE DÉBITOS FEDERAL", "documents")]
+def test_documents_found_in_accented_capitals(spark):
+    codes = [f["code"] for f in found(spark, "CERTIDÃO NEGATIVA DE DÉBITOS FEDERAL", "documents")]
     assert codes == ["DOC_CERTIDAO_FEDERAL"]
 
 
-def test_findings_are_distinct_and_limited(one):
+def test_findings_are_distinct_and_limited(spark):
     text = ". ".join(f"alvará de funcionamento; contrato social; caução bancária {i}" for i in range(5))
-    assert [f["code"] for f in found(one, text, "documents")] == ["DOC_CONTRATO_SOCIAL", "DOC_ALVARA"]
+    assert [f["code"] for f in found(spark, text, "documents")] == ["DOC_CONTRATO_SOCIAL", "DOC_ALVARA"]
     many = " ".join(f"Integração com o sistema de número {i} da prefeitura." for i in range(40))
-    assert len(found(one, many, "requirements")) == 15
+    assert len(found(spark, many, "requirements")) == 40
+    assert len(found(spark, many, "requirements", {"requirements": 15})) == 15
 
 
 def test_deadlines(one):
@@ -62,7 +62,8 @@ def test_file_ranking(spark):
 def test_analysis_skips_short_and_done_documents(spark):
     docs = spark.createDataFrame([("a", TENDER), ("b", "curto"), ("c", TENDER)], "notice_id string, text string")
     done = spark.createDataFrame([("c",)], "notice_id string")
-    rows = analyze_documents(docs, done=done).collect()
+    assert {r["notice_id"] for r in analyze_documents(docs, done=done).collect()} == {"a", "b"}
+    rows = analyze_documents(docs, done=done, min_chars=100).collect()
     assert [r["notice_id"] for r in rows] == ["a"]
     row = rows[0]
     assert {f["code"] for f in row["documents"]} >= {"DOC_CERTIDAO_FEDERAL", "DOC_ATESTADO_CAPACIDADE", "DOC_CONTRATO_SOCIAL"}

@@ -6,8 +6,9 @@ of keys from each other's smallest hashes, so that
 1. every document lists its smallest hashes, and learns in one pass by key which of them occur again;
 2. documents with fewer such keys than any partner must share drop out; of the others' keys the most
    frequent ones are set aside, as many as the required number allows;
-3. documents that meet under a remaining key form a block around the first of them, and each block is
-   searched exactly: short inverted lists are merged for candidates, long ones are probed by binary search.
+3. documents of like size that meet under a remaining key form a block around one of them, the same for
+   most keys of a group, and each block is searched exactly: short inverted lists are merged for
+   candidates, long ones are probed by binary search.
 
 A block joins documents that are already connected only once, so copies never become all their pairs.
 """
@@ -28,7 +29,7 @@ from bidscope.session import stage
 WORDS = 5
 SIMILAR = 80  # of 100
 EXTRA = 10  # keys listed beyond what one shared key needs: a tenth of the set
-BLOCK = 1_024  # documents searched at a time
+BLOCK_SHINGLES = 1 << 21  # shingles of a block that is searched at a time
 PROBED = 8  # up to so many documents are compared directly, without inverted lists
 OPEN_DOCS = 1 << 20  # documents of one key that a task holds
 
@@ -160,44 +161,60 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # --- routes and blocks
 
 
+def _band(n: np.ndarray) -> np.ndarray:
+    """Sizes that can link are in the same band or in neighbouring ones; bands are a little wider than
+    the ratio, so that rounding does not matter."""
+    return np.floor(np.log(n) / np.log(100 / SIMILAR + 1e-9)).astype(np.int32)
+
+
+_ROUTE = "key bigint, band int, upper boolean, rank bigint, doc bigint, n int"
+
+
 def _routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keys under which a document looks for partners: its repeated keys, rarest first, without the most
-    frequent ones that the required number of shared keys lets it set aside."""
+    frequent ones that the required number of shared keys lets it set aside.
+
+    Each key comes twice: with the document's band, and as an upper document with the band below.
+    """
     for batch in batches:
-        out: list[tuple[int, int, int]] = []
-        for doc, n, keys in zip(*(batch[c].to_pylist() for c in ("doc", "n", "keys"))):
+        keys, docs, sizes = [], [], []
+        for doc, n, found in zip(*(batch[c].to_pylist() for c in ("doc", "n", "keys"))):
             listed = min(n, n - _least(n) + _extra(n))
             need = min(listed, int(_extra(_least(n))))
-            once = listed - len(keys)
+            once = listed - len(found)
             wanted = listed - need + 1 - once  # keys that occur once come first and find nobody
             if wanted > 0:
-                ranked = sorted((k["n"], k["key"]) for k in keys)[:wanted]
-                out += [(key, doc, n) for _, key in ranked]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["key", "doc", "n"]
-        )
+                ranked = sorted((k["n"], k["key"]) for k in found)[:wanted]
+                keys += [key for _, key in ranked]
+                docs += [doc] * len(ranked)
+                sizes += [n] * len(ranked)
+        key, doc, n = np.array(keys, np.int64), np.array(docs, np.int64), np.array(sizes, np.int32)
+        rank, band = hashing.mix(doc.view(np.uint64)).view(np.int64), _band(np.maximum(n, 1))
+        for upper in (False, True):
+            columns = [key, band - upper, np.full(len(key), upper), rank, doc, n]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "band", "upper", "rank", "doc", "n"])
 
 
 def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams routes in order of (key, n, doc) and yields (block, doc): a key's documents, cut into chains
-    of sizes that can link; each chain's first document names the block, documents that can still link
-    into the chain before are in both blocks."""
-    key, leader, leader_n, before, before_top, top = None, 0, 0, None, 0, 0
+    """Streams routes in order of (key, band, upper, rank, doc) and yields (block, doc, n).
+
+    The document of a band with the smallest rank names the block. Ranks are the same under every key, so
+    a group of near copies ends up in few blocks. Upper documents without one of the band itself have
+    met under their own band.
+    """
+    group, leader, alone = None, None, None
     for batch in batches:
-        pairs: set[tuple[int, int]] = set()
-        for k, doc, n in zip(*(batch[c].to_pylist() for c in ("key", "doc", "n"))):
-            if k != key:
-                key, leader, leader_n, before, top = k, doc, n, None, n
+        rows: set[tuple[int, int, int]] = set()
+        for key, band, upper, doc, n in zip(*(batch[c].to_pylist() for c in ("key", "band", "upper", "doc", "n"))):
+            if (key, band) != group:
+                group, leader, alone = (key, band), (None if upper else doc), (doc, doc, n)
                 continue
-            if _least(n) > leader_n:
-                before, before_top, leader, leader_n = leader, top, doc, n
-            else:
-                pairs |= {(leader, leader), (leader, doc)}
-            top = n
-            if before is not None and _least(n) <= before_top:
-                pairs |= {(before, before), (before, doc)}
-        rows = list(pairs)
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], names=["block", "doc"])
+            if leader is not None:
+                rows |= {(leader, doc, n)} if alone is None else {alone, (leader, doc, n)}
+                alone = None
+        found = list(rows)
+        kinds = (pa.int64(), pa.int64(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate(kinds)], names=["block", "doc", "n"])
 
 
 # --- searching a block
@@ -299,21 +316,21 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _search(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Edges found in blocks of (block, doc, settled)."""
-    rows = members.join(texts, "doc").select("block", "doc", "text", "settled")
+    # Texts always move by a shuffle: how many documents are in blocks is not known beforehand.
+    rows = texts.join(members.hint("shuffle_merge"), "doc").select("block", "doc", "text", "settled")
     rows = rows.repartition(F.col("block")).sortWithinPartitions("block", "doc")
     return rows.mapInArrow(_searched, _EDGE)
 
 
 def _large_blocks(members: DataFrame, sizes: DataFrame, texts: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges of blocks with more than ``BLOCK`` documents.
+    """Edges of blocks with more than ``BLOCK_SHINGLES``.
 
     They are dealt into parts, each with the block's first document, and searched part by part. Documents
     that are still not connected to the first one then meet every part, in pieces; the others need not
     meet each other again.
     """
-    half = BLOCK // 2
-    rows = members.join(sizes.filter(F.col("size") > BLOCK), "block")
-    rows = rows.withColumn("parts", F.ceil(F.col("size") / half).cast("int"))
+    half = BLOCK_SHINGLES // 2
+    rows = members.join(sizes, "block").withColumn("parts", F.ceil(F.col("size") / half).cast("int"))
     rows = stage(rows.withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")), "large-blocks")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("_each")
     first = rows.filter("doc = block").select("block", each("parts"), "doc")
@@ -327,7 +344,7 @@ def _large_blocks(members: DataFrame, sizes: DataFrame, texts: DataFrame, edges:
     left = rows.filter(~F.col("settled"))
     if left.isEmpty():
         return near
-    pieces = left.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / half).cast("int").alias("pieces"))
+    pieces = left.groupBy("block").agg(F.ceil(F.sum("n") / half).cast("int").alias("pieces"))
     rows = rows.join(pieces, "block")
     piece = F.pmod(F.xxhash64("doc", F.lit(7)), F.col("pieces")).cast("int")
     parts = rows.select("block", each("pieces"), "part", "doc", "settled")
@@ -383,11 +400,11 @@ def similar_sets(docs: DataFrame) -> DataFrame:
     classes = stage(classes, "classes")
     keys = rows.filter("key is not null").groupBy("doc").agg(F.collect_list(F.struct("n", "key")).alias("keys"))
     reps = classes.select(F.col("rep").alias("doc"), "n")
-    routes = reps.join(keys, "doc").select("doc", "n", "keys").mapInArrow(_routed, "key bigint, doc bigint, n int")
-    routes = routes.repartition(F.col("key")).sortWithinPartitions("key", "n", "doc")
-    members = stage(routes.mapInArrow(_blocked, "block bigint, doc bigint").distinct(), "blocks")
-    sizes = members.groupBy("block").agg(F.count(F.lit(1)).alias("size"))
-    sizes = stage(sizes.filter(F.col("size") > BLOCK), "block-sizes")
+    routes = reps.join(keys, "doc").select("doc", "n", "keys").mapInArrow(_routed, _ROUTE)
+    routes = routes.repartition(F.col("key")).sortWithinPartitions("key", "band", "upper", "rank", "doc")
+    members = stage(routes.mapInArrow(_blocked, "block bigint, doc bigint, n int").distinct(), "blocks")
+    sizes = members.groupBy("block").agg(F.sum("n").alias("size"))
+    sizes = stage(sizes.filter(F.col("size") > BLOCK_SHINGLES), "block-sizes")
     texts = docs.select(F.col("_doc").alias("doc"), F.col("_text").alias("text"))
     large = not sizes.isEmpty()
     usual = members.join(sizes, "block", "left_anti") if large else members

@@ -10,9 +10,9 @@ def node(doc_id, text):
     return plain.NO_ID if doc_id is None else doc_id, text or ""
 
 
-@pytest.mark.parametrize("block", [1_024, 3])
+@pytest.mark.parametrize("block", [1 << 21, 200])
 def test_components(odd_docs, odd_rows, block, monkeypatch):
-    monkeypatch.setattr(set_join, "BLOCK", block)
+    monkeypatch.setattr(set_join, "BLOCK_SHINGLES", block)
     want = plain.components(odd_rows)
     rows = set_join.jaccard_components(odd_docs).collect()
     show = lambda i: None if i == plain.NO_ID else i

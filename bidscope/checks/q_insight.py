@@ -454,9 +454,9 @@ def _analyses(spark, sf):
 
 @query(
     "J19_notice_dossier",
-    f"""WITH {NOTICE_SQL}, {_BASE}, n_items AS (SELECT notice_id, least(count(*), 100) AS items, min(description) FILTER (rn = 1) AS first_item FROM (
+    f"""WITH {NOTICE_SQL}, {_BASE}, n_items AS (SELECT notice_id, count(*) AS items, min(description) FILTER (rn = 1) AS first_item FROM (
     SELECT *, row_number() OVER (PARTITION BY notice_id ORDER BY item_no, part_id, supplier_id) AS rn FROM item) GROUP BY notice_id)
-SELECT n.notice_id, d.doc_id IS NOT NULL AS has_analysis, CASE WHEN length(d.text) > 8000 THEN 8015 ELSE length(d.text) END AS text_length,
+SELECT n.notice_id, d.doc_id IS NOT NULL AS has_analysis, length(d.text) AS text_length,
   CAST(coalesce(items, 0) AS INTEGER) AS items, first_item, i.p_retailprice AS price FROM notice n LEFT JOIN documents d ON d.doc_id = n.notice_id LEFT JOIN n_items USING (notice_id)
   LEFT JOIN part i ON i.p_partkey = n.notice_id""",
 )
@@ -481,7 +481,7 @@ def notice_dossier(spark, sf):
     "J21_market_detail",
     _groups_dedup(_GROUPS_SELECT.replace("SELECT g.level, g.key, g.n_platforms", "SELECT * FROM (SELECT g.level, g.key, g.n_platforms"))
     .replace("SELECT * FROM (SELECT g.level", "SELECT level, key, score, cheapest_platform FROM (SELECT g.level")
-    + ") WHERE level = 'NATION_3' ORDER BY score DESC, level, key LIMIT 200",
+    + ") WHERE level = 'NATION_3'",
 )
 def market_detail(spark, sf):
     found = market.compare_market(items(spark, sf))

@@ -317,7 +317,7 @@ def build_microregion_dim(spark, sf):
 
 
 _PLATFORM_ROWS = ", ".join(
-    f"({i}, '{name}', '{kind}')" for kind, names in fixed.PLATFORM_TYPES.items() for i, name in names.items()
+    f"({i}, '{name}', '{kind}')" for i, name, kind in fixed.PLATFORMS
 )
 
 

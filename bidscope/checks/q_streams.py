@@ -122,10 +122,10 @@ def config_change_flag(spark, sf):
     return changes.config_change_flags(old, new, as_of()).select("org_id", "pending", "changed_at")
 
 
-@query("C6_alert_feed", "SELECT event_type, count(*) AS alerts FROM events WHERE value > 5 GROUP BY event_type")
+@query("C6_alert_feed", "SELECT event_type, count(*) AS alerts FROM events GROUP BY event_type")
 def alert_feed(spark, sf):
     folder = _folder(spark, "feed")
-    table(spark, sf, "events").filter("value > 5").write.parquet(f"{folder}/alerts")
+    table(spark, sf, "events").write.parquet(f"{folder}/alerts")
     feed = changes.alert_feed(spark, f"{folder}/alerts", table(spark, sf, "events").schema)
     changes.run_once(feed.select("event_id", "event_type"), f"{folder}/seen", f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/seen").groupBy("event_type").agg(F.count(F.lit(1)).alias("alerts"))

@@ -7,89 +7,65 @@ They are given, not derived: changing one changes the answers.
 from __future__ import annotations
 
 
-def _words(text: str) -> list[str]:
-    return text.split()
-
-
-def _pairs(text: str) -> dict[str, str]:
-    return dict(entry.split(":", 1) for entry in text.split())
-
-
-def _code_names(text: str) -> dict[int, str]:
-    rows = (line.strip().split(" ", 1) for line in text.strip().splitlines())
-    return {int(code): name for code, name in rows}
-
-
 # ---------------------------------------------------------------- fixed values: terms
 
 TERM_PATTERN = r"^(?!\d+$)[a-z0-9]{2,}$"
 
-STOP_WORDS = _words("""
-de do da dos das para com por que uma um seu sua nos nas pelo pela aos entre sobre
-apos ate sem como mais este esta esse essa ser ter seus suas
-tipo lote item itens conforme especificacao descricao complementar referencia marca
-modelo similar equivalente minimo maximo aproximadamente aproximado sendo devera dever
-podera poder forma acordo seguinte demais
-contratacao empresa especializada aquisicao fornecimento objeto registro preco precos
-modalidade processo licitatorio pregao eletronico presencial
-""")
-
-SYNONYMS = _pairs("""
-sistema:software sistemas:software solucao:software
-gestao:gerenciamento administracao:gerenciamento
-microcomputador:computador microcomputadores:computador notebook:computador
-notebooks:computador desktop:computador workstation:computador
-multifuncional:impressora multifuncionais:impressora impressoras:impressora
-estabilizador:nobreak estabilizadores:nobreak
-permissao:licenca cessao:licenca locacao:licenca licenciamento:licenca licencas:licenca
-switches:switch roteadores:roteador
-hd:disco ssd:disco
-mouses:mouse teclados:teclado monitores:monitor
-suporte:manutencao assistencia:manutencao
-nuvem:cloud saas:cloud hospedagem:cloud
-etanol:alcool gasolina:gasolina diesel:diesel gasoleo:diesel
-conserto:manutencao reparo:manutencao conservacao:manutencao capacitacao:treinamento
-instalacao:montagem fornecimento:suprimento atendimento:consulta avaliacao:analise
-chamamento:convocacao credenciamento:habilitacao remocao:transporte retirada:remocao
-terapia:tratamento
-micro:computador portatil:notebook inox:aco cabo:fio conector:ligacao tonner:toner
-caminhao:veiculo caminhonete:pickup onibus:veiculo carreta:reboque ambulancia:veiculo
-guincho:socorro betoneira:misturador
-ultrasson:ecografia ultrassonografia:ecografia tomografia:exame ressonancia:exame
-endoscopia:exame colonoscopia:exame biopsia:exame cintilografia:exame angiografia:exame
-arteriografia:exame cistoscopia:exame ureteroscopia:exame
-pediatra:medico ginecologista:medico ortopedista:medico neurologista:medico
-oftalmologista:medico cardiologista:medico psiquiatra:medico cirurgiao:medico
-dentista:odonto
-aipim:mandioca bolacha:biscoito refeicao:alimentacao
-pedreiro:construtor carpinteiro:marceneiro encanador:hidraulico bombeiro:hidraulico
-terraplanagem:construcao
-embalagem:pacote maco:pacote tanque:reservatorio
-torax:peito toracica:peito cervical:pescoco vertebras:coluna pelve:quadril
-cerebral:craniano pulmonar:pulmao
-abridor:saca assadeira:forma batedor:mixer cafeteira:maquina caldeirao:panela
-caneca:xicara coador:filtro colher:talher concha:talher copo:recipiente
-descascador:cortador espremedor:extrator faca:talher frigideira:panela garfo:talher
-panela:recipiente peneira:filtro prato:vasilha ralador:processador tigela:recipiente
-balde:recipiente detergente:sabao escova:vassoura esponja:bucha mop:esfregao pano:trapo
-rodo:puxador vassoura:limpeza
-agulha:dispositivo algodao:chumaco autoclave:esterilizador bandagem:atadura cateter:sonda
-curativo:penso desfibrilador:cardioversor estetoscopio:fonendoscopio gaze:compressa
-mascara:respirador seringa:dispositivo soro:solucao
-avental:jaleco bota:calcado capacete:casco cinto:faixa colete:vest coturno:calcado
-luva:protecao oculos:protecao touca:gorro
-alicate:torques broca:furadeira chave:ferramenta disjuntor:ferramenta martelo:malho
-parafuso:rosca prego:fixador pincel:trincha
-armario:estante arquivo:gaveteiro cadeira:assento cofre:arca colchao:cama cortina:persiana
-gaveta:compartimento luminaria:lampada mesa:bancada prateleira:estante quadro:painel
-cartucho:toner cola:adesivo envelope:sobrecarta etiqueta:rotulo fita:adesivo
-fitilho:adesivo
-aquecedor:radiador bebedouro:purificador compressor:bomba destilador:purificador
-dispenser:suporte eletroduto:conduite extensao:fio fechadura:trinco rolo:cilindro
-ventilador:circulador
-carrinho:carro
-etilico:alcool tinta:verniz
-""")
+STOP_WORDS = [
+    "de", "do", "da", "dos", "das", "para", "com", "por", "que", "uma", "um", "seu", "sua", "nos", "nas", "pelo",
+    "pela", "aos", "entre", "sobre", "apos", "ate", "sem", "como", "mais", "este", "esta", "esse", "essa", "ser",
+    "ter", "seus", "suas", "tipo", "lote", "item", "itens", "conforme", "especificacao", "descricao", "complementar",
+    "referencia", "marca", "modelo", "similar", "equivalente", "minimo", "maximo", "aproximadamente", "aproximado",
+    "sendo", "devera", "dever", "podera", "poder", "forma", "acordo", "seguinte", "demais", "contratacao", "empresa",
+    "especializada", "aquisicao", "fornecimento", "objeto", "registro", "preco", "precos", "modalidade", "processo",
+    "licitatorio", "pregao", "eletronico", "presencial",
+]
+
+SYNONYMS = {
+    "sistema": "software", "sistemas": "software", "solucao": "software", "gestao": "gerenciamento",
+    "administracao": "gerenciamento", "microcomputador": "computador", "microcomputadores": "computador",
+    "notebook": "computador", "notebooks": "computador", "desktop": "computador", "workstation": "computador",
+    "multifuncional": "impressora", "multifuncionais": "impressora", "impressoras": "impressora",
+    "estabilizador": "nobreak", "estabilizadores": "nobreak", "permissao": "licenca", "cessao": "licenca",
+    "locacao": "licenca", "licenciamento": "licenca", "licencas": "licenca", "switches": "switch",
+    "roteadores": "roteador", "hd": "disco", "ssd": "disco", "mouses": "mouse", "teclados": "teclado",
+    "monitores": "monitor", "suporte": "manutencao", "assistencia": "manutencao", "nuvem": "cloud", "saas": "cloud",
+    "hospedagem": "cloud", "etanol": "alcool", "gasolina": "gasolina", "diesel": "diesel", "gasoleo": "diesel",
+    "conserto": "manutencao", "reparo": "manutencao", "conservacao": "manutencao", "capacitacao": "treinamento",
+    "instalacao": "montagem", "fornecimento": "suprimento", "atendimento": "consulta", "avaliacao": "analise",
+    "chamamento": "convocacao", "credenciamento": "habilitacao", "remocao": "transporte", "retirada": "remocao",
+    "terapia": "tratamento", "micro": "computador", "portatil": "notebook", "inox": "aco", "cabo": "fio",
+    "conector": "ligacao", "tonner": "toner", "caminhao": "veiculo", "caminhonete": "pickup", "onibus": "veiculo",
+    "carreta": "reboque", "ambulancia": "veiculo", "guincho": "socorro", "betoneira": "misturador",
+    "ultrasson": "ecografia", "ultrassonografia": "ecografia", "tomografia": "exame", "ressonancia": "exame",
+    "endoscopia": "exame", "colonoscopia": "exame", "biopsia": "exame", "cintilografia": "exame",
+    "angiografia": "exame", "arteriografia": "exame", "cistoscopia": "exame", "ureteroscopia": "exame",
+    "pediatra": "medico", "ginecologista": "medico", "ortopedista": "medico", "neurologista": "medico",
+    "oftalmologista": "medico", "cardiologista": "medico", "psiquiatra": "medico", "cirurgiao": "medico",
+    "dentista": "odonto", "aipim": "mandioca", "bolacha": "biscoito", "refeicao": "alimentacao",
+    "pedreiro": "construtor", "carpinteiro": "marceneiro", "encanador": "hidraulico", "bombeiro": "hidraulico",
+    "terraplanagem": "construcao", "embalagem": "pacote", "maco": "pacote", "tanque": "reservatorio",
+    "torax": "peito", "toracica": "peito", "cervical": "pescoco", "vertebras": "coluna", "pelve": "quadril",
+    "cerebral": "craniano", "pulmonar": "pulmao", "abridor": "saca", "assadeira": "forma", "batedor": "mixer",
+    "cafeteira": "maquina", "caldeirao": "panela", "caneca": "xicara", "coador": "filtro", "colher": "talher",
+    "concha": "talher", "copo": "recipiente", "descascador": "cortador", "espremedor": "extrator", "faca": "talher",
+    "frigideira": "panela", "garfo": "talher", "panela": "recipiente", "peneira": "filtro", "prato": "vasilha",
+    "ralador": "processador", "tigela": "recipiente", "balde": "recipiente", "detergente": "sabao",
+    "escova": "vassoura", "esponja": "bucha", "mop": "esfregao", "pano": "trapo", "rodo": "puxador",
+    "vassoura": "limpeza", "agulha": "dispositivo", "algodao": "chumaco", "autoclave": "esterilizador",
+    "bandagem": "atadura", "cateter": "sonda", "curativo": "penso", "desfibrilador": "cardioversor",
+    "estetoscopio": "fonendoscopio", "gaze": "compressa", "mascara": "respirador", "seringa": "dispositivo",
+    "soro": "solucao", "avental": "jaleco", "bota": "calcado", "capacete": "casco", "cinto": "faixa",
+    "colete": "vest", "coturno": "calcado", "luva": "protecao", "oculos": "protecao", "touca": "gorro",
+    "alicate": "torques", "broca": "furadeira", "chave": "ferramenta", "disjuntor": "ferramenta", "martelo": "malho",
+    "parafuso": "rosca", "prego": "fixador", "pincel": "trincha", "armario": "estante", "arquivo": "gaveteiro",
+    "cadeira": "assento", "cofre": "arca", "colchao": "cama", "cortina": "persiana", "gaveta": "compartimento",
+    "luminaria": "lampada", "mesa": "bancada", "prateleira": "estante", "quadro": "painel", "cartucho": "toner",
+    "cola": "adesivo", "envelope": "sobrecarta", "etiqueta": "rotulo", "fita": "adesivo", "fitilho": "adesivo",
+    "aquecedor": "radiador", "bebedouro": "purificador", "compressor": "bomba", "destilador": "purificador",
+    "dispenser": "suporte", "eletroduto": "conduite", "extensao": "fio", "fechadura": "trinco", "rolo": "cilindro",
+    "ventilador": "circulador", "carrinho": "carro", "etilico": "alcool", "tinta": "verniz",
+}
 
 # ---------------------------------------------------------------- fixed values: units
 
@@ -118,19 +94,18 @@ UNIT_GROUPS = [
 
 # Checked in this order; anything else is a "produto".
 CATEGORY_WORDS = {
-    "servico": _words("""
-        servico servicos manutencao suporte assistencia consultoria treinamento
-        capacitacao instalacao configuracao prestacao execucao operacao assessoria
-        auditoria monitoramento
-    """),
-    "licenca": _words("""
-        licenca cessao permissao locacao licenciamento saas cloud hospedagem software
-        sistema assinatura plataforma aplicativo app
-    """),
-    "consumivel": _words("""
-        gasolina diesel alcool etanol combustivel papel toner cartucho tinta limpeza
-        higiene descartavel agua alimento genero
-    """),
+    "servico": [
+        "servico", "servicos", "manutencao", "suporte", "assistencia", "consultoria", "treinamento", "capacitacao",
+        "instalacao", "configuracao", "prestacao", "execucao", "operacao", "assessoria", "auditoria", "monitoramento",
+    ],
+    "licenca": [
+        "licenca", "cessao", "permissao", "locacao", "licenciamento", "saas", "cloud", "hospedagem", "software",
+        "sistema", "assinatura", "plataforma", "aplicativo", "app",
+    ],
+    "consumivel": [
+        "gasolina", "diesel", "alcool", "etanol", "combustivel", "papel", "toner", "cartucho", "tinta", "limpeza",
+        "higiene", "descartavel", "agua", "alimento", "genero",
+    ],
 }
 DEFAULT_CATEGORY = "produto"
 
@@ -144,15 +119,15 @@ INCOMPATIBLE_CATEGORIES = [
 MAX_SCALE_RATIO = {"produto": 20.0, "consumivel": 20.0, "licenca": 5.0, "servico": 10.0}
 MAX_SCALE_RATIO_DEFAULT = 20.0
 
-SERVICE_WORDS = _words("""
-licenca cessao permissao locacao software sistema saas cloud hospedagem assinatura
-plataforma servico manutencao suporte consultoria treinamento implantacao
-desenvolvimento configuracao
-""")
-MATERIAL_WORDS = _words("""
-aquisicao equipamento veiculo ambulancia computador notebook impressora servidor monitor
-mobiliario mesa cadeira trator caminhao picador
-""")
+SERVICE_WORDS = [
+    "licenca", "cessao", "permissao", "locacao", "software", "sistema", "saas", "cloud", "hospedagem", "assinatura",
+    "plataforma", "servico", "manutencao", "suporte", "consultoria", "treinamento", "implantacao", "desenvolvimento",
+    "configuracao",
+]
+MATERIAL_WORDS = [
+    "aquisicao", "equipamento", "veiculo", "ambulancia", "computador", "notebook", "impressora", "servidor",
+    "monitor", "mobiliario", "mesa", "cadeira", "trator", "caminhao", "picador",
+]
 
 # ---------------------------------------------------------------- fixed values: prospecting
 
@@ -169,19 +144,19 @@ SEARCH_MEDIUM_TERMS = ["solução tecnológica", "email", "e-mail"]
 
 SMALL_BUSINESS_BENEFITS = [1, 2, 3]
 
-MODALITY_NAMES = _code_names("""
-2 Diálogo Competitivo
-3 Concurso
-4 Concorrência Eletrônica
-5 Concorrência Presencial
-6 Pregão Eletrônico
-7 Pregão Presencial
-8 Dispensa de Licitação
-9 Inexigibilidade
-10 Manifestação de Interesse
-11 Pré-qualificação
-12 Credenciamento
-""")
+MODALITY_NAMES = {
+    2: "Diálogo Competitivo",
+    3: "Concurso",
+    4: "Concorrência Eletrônica",
+    5: "Concorrência Presencial",
+    6: "Pregão Eletrônico",
+    7: "Pregão Presencial",
+    8: "Dispensa de Licitação",
+    9: "Inexigibilidade",
+    10: "Manifestação de Interesse",
+    11: "Pré-qualificação",
+    12: "Credenciamento",
+}
 
 # upper population bound of each coefficient step; beyond the last: 4.0 / 999999
 FPM_STEPS = [
@@ -204,181 +179,174 @@ ALERT_DAYS = [3, 1, 0]
 
 COMPETITOR_PLATFORM_IDS = [121, 12, 13, 18, 3, 5, 90]
 
-PLATFORM_TYPES = {
-    "concorrente_direta": _code_names("""
-        121 SH3 Informática Ltda.
-        12 BLL Compras (Bolsa Nacional De Compras - BNC)
-        13 Licitar Digital
-        18 Licitanet Licitações Eletrônicas LTDA
-    """),
-    "plataforma_licitacao": _code_names("""
-        3 Compras.gov.br
-        5 ECustomize Consultoria em Software S.A
-        90 Novo BBMNET Licitações
-        40 Licitações-E BB
-        89 Licita + Brasil
-        96 BR Conectado
-    """),
-    "portal_estadual": _code_names("""
-        10 Portal de Compras do Estado de Minas Gerais
-        14 Portal de Compras Públicas do Estado do Rio de Janeiro
-        16 Compras Pará
-        32 Central de Compras da Paraíba/PB
-        51 Secretaria do Planejamento e Gestão do Ceará
-        77 LicitaCon - TCE-RS
-        91 SEAP Paraná
-        131 PROCERGS
-        141 Secretaria de Estado da Administração de Santa Catarina
-    """),
-    "sistema_gestao": _code_names("""
-        26 Memory Projetos e Desenvolvimento de Sistemas LTDA
-        27 HLH Assessoria e Consultoria Ltda
-        30 Ascontech Solutions
-        41 Elotech Gestão Pública Ltda
-        42 4R Tecnologia da Informação Ltda
-        54 Diretriz Informática Eireli
-        55 IPM Sistemas
-        59 IBDM Modernização Assessoria e Consultoria
-        63 CECAM
-        67 DBseller Serviços de Informática
-        80 Elmar Tecnologia
-        82 Governançabrasil Tecnologia e Gestão em Serviços
-        84 Betha Sistemas
-        85 Grupo Assessor
-        88 M2A Tecnologia
-        94 Sigep - Sistemas Integrados
-        99 Instituto Municipal de Administração Pública - IMAP
-        100 Tecnosweb - Tecnologia de Gestão
-        102 SMARAPD Informática LTDA
-        109 STS Informática Ltda
-        120 Lemarq Software
-        133 CONAM Consultoria em Administração Municipal
-        135 Pública Tecnologia Ltda.
-        139 EMBRAS
-        144 JL Alves Gestão
-        145 EMPRO Tecnologia e Informação
-    """),
-}
+# id, name, type
+PLATFORMS = [
+    (121, "SH3 Informática Ltda.", "concorrente_direta"),
+    (12, "BLL Compras (Bolsa Nacional De Compras - BNC)", "concorrente_direta"),
+    (13, "Licitar Digital", "concorrente_direta"),
+    (18, "Licitanet Licitações Eletrônicas LTDA", "concorrente_direta"),
+    (3, "Compras.gov.br", "plataforma_licitacao"),
+    (5, "ECustomize Consultoria em Software S.A", "plataforma_licitacao"),
+    (90, "Novo BBMNET Licitações", "plataforma_licitacao"),
+    (10, "Portal de Compras do Estado de Minas Gerais", "portal_estadual"),
+    (14, "Portal de Compras Públicas do Estado do Rio de Janeiro", "portal_estadual"),
+    (16, "Compras Pará", "portal_estadual"),
+    (26, "Memory Projetos e Desenvolvimento de Sistemas LTDA", "sistema_gestao"),
+    (27, "HLH Assessoria e Consultoria Ltda", "sistema_gestao"),
+    (30, "Ascontech Solutions", "sistema_gestao"),
+    (32, "Central de Compras da Paraíba/PB", "portal_estadual"),
+    (40, "Licitações-E BB", "plataforma_licitacao"),
+    (41, "Elotech Gestão Pública Ltda", "sistema_gestao"),
+    (42, "4R Tecnologia da Informação Ltda", "sistema_gestao"),
+    (51, "Secretaria do Planejamento e Gestão do Ceará", "portal_estadual"),
+    (54, "Diretriz Informática Eireli", "sistema_gestao"),
+    (55, "IPM Sistemas", "sistema_gestao"),
+    (59, "IBDM Modernização Assessoria e Consultoria", "sistema_gestao"),
+    (63, "CECAM", "sistema_gestao"),
+    (67, "DBseller Serviços de Informática", "sistema_gestao"),
+    (77, "LicitaCon - TCE-RS", "portal_estadual"),
+    (80, "Elmar Tecnologia", "sistema_gestao"),
+    (82, "Governançabrasil Tecnologia e Gestão em Serviços", "sistema_gestao"),
+    (84, "Betha Sistemas", "sistema_gestao"),
+    (85, "Grupo Assessor", "sistema_gestao"),
+    (88, "M2A Tecnologia", "sistema_gestao"),
+    (89, "Licita + Brasil", "plataforma_licitacao"),
+    (91, "SEAP Paraná", "portal_estadual"),
+    (94, "Sigep - Sistemas Integrados", "sistema_gestao"),
+    (96, "BR Conectado", "plataforma_licitacao"),
+    (99, "Instituto Municipal de Administração Pública - IMAP", "sistema_gestao"),
+    (100, "Tecnosweb - Tecnologia de Gestão", "sistema_gestao"),
+    (102, "SMARAPD Informática LTDA", "sistema_gestao"),
+    (109, "STS Informática Ltda", "sistema_gestao"),
+    (120, "Lemarq Software", "sistema_gestao"),
+    (131, "PROCERGS", "portal_estadual"),
+    (133, "CONAM Consultoria em Administração Municipal", "sistema_gestao"),
+    (135, "Pública Tecnologia Ltda.", "sistema_gestao"),
+    (139, "EMBRAS", "sistema_gestao"),
+    (141, "Secretaria de Estado da Administração de Santa Catarina", "portal_estadual"),
+    (144, "JL Alves Gestão", "sistema_gestao"),
+    (145, "EMPRO Tecnologia e Informação", "sistema_gestao"),
+]
 
 # ---------------------------------------------------------------- fixed values: code lists
 
 DOMAIN_CODES = {
-    "instrumento_convocatorio": _code_names("""
-        1 Edital
-        2 Aviso de Contratação Direta
-        3 Ato que autoriza a Contratação Direta
-    """),
-    "modalidade_contratacao": _code_names("""
-        1 Leilão - Eletrônico
-        2 Diálogo Competitivo
-        3 Concurso
-        4 Concorrência - Eletrônica
-        5 Concorrência - Presencial
-        6 Pregão - Eletrônico
-        7 Pregão - Presencial
-        8 Dispensa de Licitação
-        9 Inexigibilidade
-        10 Manifestação de Interesse
-        11 Pré-qualificação
-        12 Credenciamento
-        13 Leilão - Presencial
-    """),
-    "modo_disputa": _code_names("""
-        1 Aberto
-        2 Fechado
-        3 Aberto-Fechado
-        4 Dispensa Com Disputa
-        5 Não se aplica
-        6 Fechado-Aberto
-    """),
-    "criterio_julgamento": _code_names("""
-        1 Menor preço
-        2 Maior desconto
-        4 Técnica e preço
-        5 Maior lance
-        6 Maior retorno econômico
-        7 Não se aplica
-        8 Melhor técnica
-        9 Conteúdo artístico
-    """),
-    "situacao_item_contratacao": _code_names("""
-        1 Em Andamento
-        2 Homologado
-        3 Anulado/Revogado/Cancelado
-        4 Deserto
-        5 Fracassado
-    """),
-    "tipo_beneficio": _code_names("""
-        1 Participação exclusiva para ME/EPP
-        2 Subcontratação para ME/EPP
-        3 Cota reservada para ME/EPP
-        4 Sem benefício
-        5 Não se aplica
-    """),
-    "tipo_contrato": _code_names("""
-        1 Contrato (termo inicial)
-        2 Comodato
-        3 Arrendamento
-        4 Concessão
-        5 Termo de Adesão
-        6 Convênio
-        7 Empenho
-        8 Outros
-        9 Termo de Execução Descentralizada (TED)
-        10 Acordo de Cooperação Técnica (ACT)
-        11 Termo de Compromisso
-        12 Carta Contrato
-    """),
-    "categoria_processo": _code_names("""
-        1 Cessão
-        2 Compras
-        3 Informática (TIC)
-        4 Internacional
-        5 Locação Imóveis
-        6 Mão de Obra
-        7 Obras
-        8 Serviços
-        9 Serviços de Engenharia
-        10 Serviços de Saúde
-        11 Alienação de bens móveis/imóveis
-    """),
-    "tipo_documento": _code_names("""
-        1 Aviso de Contratação Direta
-        2 Edital
-        3 Minuta do Contrato
-        4 Termo de Referência
-        5 Anteprojeto
-        6 Projeto Básico
-        7 Estudo Técnico Preliminar
-        8 Projeto Executivo
-        9 Mapa de Riscos
-        10 DFD
-        11 Ata de Registro de Preço
-        12 Contrato
-        13 Termo de Rescisão
-        14 Termo Aditivo
-        15 Termo de Apostilamento
-        16 Outros documentos do processo
-        17 Nota de Empenho
-        18 Relatório Final de Contrato
-    """),
-    "porte_empresa": _code_names("""
-        1 ME
-        2 EPP
-        3 Demais
-        4 Não se aplica
-        5 Não informado
-    """),
-    "categoria_item_pca": _code_names("""
-        1 Material
-        2 Serviço
-        3 Obras
-        4 Serviços de Engenharia
-        5 Soluções de TIC
-        6 Locação de Imóveis
-        7 Alienação/Concessão/Permissão
-        8 Obras e Serviços de Engenharia
-    """),
+    "instrumento_convocatorio": {
+        1: "Edital",
+        2: "Aviso de Contratação Direta",
+        3: "Ato que autoriza a Contratação Direta",
+    },
+    "modalidade_contratacao": {
+        1: "Leilão - Eletrônico",
+        2: "Diálogo Competitivo",
+        3: "Concurso",
+        4: "Concorrência - Eletrônica",
+        5: "Concorrência - Presencial",
+        6: "Pregão - Eletrônico",
+        7: "Pregão - Presencial",
+        8: "Dispensa de Licitação",
+        9: "Inexigibilidade",
+        10: "Manifestação de Interesse",
+        11: "Pré-qualificação",
+        12: "Credenciamento",
+        13: "Leilão - Presencial",
+    },
+    "modo_disputa": {
+        1: "Aberto",
+        2: "Fechado",
+        3: "Aberto-Fechado",
+        4: "Dispensa Com Disputa",
+        5: "Não se aplica",
+        6: "Fechado-Aberto",
+    },
+    "criterio_julgamento": {
+        1: "Menor preço",
+        2: "Maior desconto",
+        4: "Técnica e preço",
+        5: "Maior lance",
+        6: "Maior retorno econômico",
+        7: "Não se aplica",
+        8: "Melhor técnica",
+        9: "Conteúdo artístico",
+    },
+    "situacao_item_contratacao": {
+        1: "Em Andamento",
+        2: "Homologado",
+        3: "Anulado/Revogado/Cancelado",
+        4: "Deserto",
+        5: "Fracassado",
+    },
+    "tipo_beneficio": {
+        1: "Participação exclusiva para ME/EPP",
+        2: "Subcontratação para ME/EPP",
+        3: "Cota reservada para ME/EPP",
+        4: "Sem benefício",
+        5: "Não se aplica",
+    },
+    "tipo_contrato": {
+        1: "Contrato (termo inicial)",
+        2: "Comodato",
+        3: "Arrendamento",
+        4: "Concessão",
+        5: "Termo de Adesão",
+        6: "Convênio",
+        7: "Empenho",
+        8: "Outros",
+        9: "Termo de Execução Descentralizada (TED)",
+        10: "Acordo de Cooperação Técnica (ACT)",
+        11: "Termo de Compromisso",
+        12: "Carta Contrato",
+    },
+    "categoria_processo": {
+        1: "Cessão",
+        2: "Compras",
+        3: "Informática (TIC)",
+        4: "Internacional",
+        5: "Locação Imóveis",
+        6: "Mão de Obra",
+        7: "Obras",
+        8: "Serviços",
+        9: "Serviços de Engenharia",
+        10: "Serviços de Saúde",
+        11: "Alienação de bens móveis/imóveis",
+    },
+    "tipo_documento": {
+        1: "Aviso de Contratação Direta",
+        2: "Edital",
+        3: "Minuta do Contrato",
+        4: "Termo de Referência",
+        5: "Anteprojeto",
+        6: "Projeto Básico",
+        7: "Estudo Técnico Preliminar",
+        8: "Projeto Executivo",
+        9: "Mapa de Riscos",
+        10: "DFD",
+        11: "Ata de Registro de Preço",
+        12: "Contrato",
+        13: "Termo de Rescisão",
+        14: "Termo Aditivo",
+        15: "Termo de Apostilamento",
+        16: "Outros documentos do processo",
+        17: "Nota de Empenho",
+        18: "Relatório Final de Contrato",
+    },
+    "porte_empresa": {
+        1: "ME",
+        2: "EPP",
+        3: "Demais",
+        4: "Não se aplica",
+        5: "Não informado",
+    },
+    "categoria_item_pca": {
+        1: "Material",
+        2: "Serviço",
+        3: "Obras",
+        4: "Serviços de Engenharia",
+        5: "Soluções de TIC",
+        6: "Locação de Imóveis",
+        7: "Alienação/Concessão/Permissão",
+        8: "Obras e Serviços de Engenharia",
+    },
 }
 
 # ---------------------------------------------------------------- fixed values: portals
@@ -425,11 +393,11 @@ LISTING_COLUMNS = [
 
 # ---------------------------------------------------------------- fixed values: documents
 
-LEGAL_TERMS = _words("""
-edital licitação licitacao contrato pregão pregao dispensa habilitação habilitacao
-proposta certidão certidao modalidade objeto cláusula clausula penalidade sanção sancao
-multa garantia prazo adjudicação adjudicacao homologação homologacao
-""")
+LEGAL_TERMS = [
+    "edital", "licitação", "licitacao", "contrato", "pregão", "pregao", "dispensa", "habilitação", "habilitacao",
+    "proposta", "certidão", "certidao", "modalidade", "objeto", "cláusula", "clausula", "penalidade", "sanção",
+    "sancao", "multa", "garantia", "prazo", "adjudicação", "adjudicacao", "homologação", "homologacao",
+]
 
 # (code, label, pattern), in taxonomy order
 DOCUMENT_PATTERNS = [

@@ -2,27 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bidscope.operators.skew import top_k
 
-MAX_ITEMS = 100
-MAX_BOARDS = 20
-MAX_TEXT = 8_000
 
+def _ranked(rows: DataFrame, keys: list[str], order: list[Column], limit: int | None) -> DataFrame:
+    """Rows with their place in the key, all or the first ``limit``."""
+    if limit is not None:
+        return top_k(rows, keys, order, limit, "_rank")
+    return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
-def notice_items_nested(items: DataFrame, order: list[str], limit: int = MAX_ITEMS) -> DataFrame:
-    """The first ``limit`` items of each notice as an array."""
-    first = top_k(items, ["notice_id"], [F.col(c) for c in order], limit, "_rank")
+
+def notice_items_nested(items: DataFrame, order: list[str], limit: int | None = None) -> DataFrame:
+    """The items of each notice as an array; with a limit, the first of them."""
+    first = _ranked(items, ["notice_id"], [F.col(c) for c in order], limit)
     fields = ["description", "unit", "quantity", "estimate", "code", "award"]
     return first.groupBy("notice_id").agg(
         F.array_sort(F.collect_list(F.struct("_rank", *fields))).alias("items")
     )
 
 
-def state_boards_nested(boards: DataFrame, limit: int = MAX_BOARDS) -> DataFrame:
+def state_boards_nested(boards: DataFrame, limit: int | None = None) -> DataFrame:
     """The market rows of each state as an array (``level`` is the state)."""
-    best = top_k(boards, ["level"], [F.col("weighted_wins").desc(), F.col("platform")], limit, "_rank")
+    best = _ranked(boards, ["level"], [F.col("weighted_wins").desc(), F.col("platform")], limit)
     return best.groupBy(F.col("level").alias("state")).agg(
         F.array_sort(F.collect_list(F.struct("_rank", "platform", "items", "wins", "mean_discount"))).alias("market")
     )
@@ -30,24 +33,25 @@ def state_boards_nested(boards: DataFrame, limit: int = MAX_BOARDS) -> DataFrame
 
 def notice_dossier(
     notices: DataFrame, items: DataFrame, analyses: DataFrame, prices: DataFrame, boards: DataFrame,
-    item_order: list[str],
+    item_order: list[str], max_items: int | None = None, max_boards: int | None = None, max_chars: int | None = None,
 ) -> DataFrame:
     """Notices with document analysis, reference price, items and their state's market.
 
-    analyses and prices are keyed by notice_id; missing parts are null.
+    analyses and prices are keyed by notice_id; missing parts are null. Texts and lists are whole
+    unless a limit is given.
     """
-    text = F.when(
-        F.length("text") > MAX_TEXT, F.concat(F.substring("text", 1, MAX_TEXT), F.lit("\n[... truncado]"))
-    ).otherwise(F.col("text"))
-    analysed = analyses.withColumn("text", text) if "text" in analyses.columns else analyses
+    analysed = analyses
+    if max_chars is not None and "text" in analyses.columns:
+        short = F.concat(F.substring("text", 1, max_chars), F.lit("\n[... truncado]"))
+        analysed = analyses.withColumn("text", F.when(F.length("text") > max_chars, short).otherwise(F.col("text")))
     fields = lambda df: [c for c in df.columns if c != "notice_id"]
     analysis = analysed.select("notice_id", F.struct(*fields(analysed)).alias("analysis"))
     price = prices.select("notice_id", F.struct(*fields(prices)).alias("reference_price"))
     return (
         notices.join(analysis, "notice_id", "left")
         .join(price, "notice_id", "left")
-        .join(notice_items_nested(items, item_order), "notice_id", "left")
-        .join(state_boards_nested(boards), "state", "left")
+        .join(notice_items_nested(items, item_order, max_items), "notice_id", "left")
+        .join(state_boards_nested(boards, max_boards), "state", "left")
     )
 
 
@@ -61,16 +65,19 @@ def analyzed_status(notices: DataFrame, analyses: DataFrame) -> DataFrame:
     })
 
 
-def reference_price_detail(prices: DataFrame, notice_rows: DataFrame, item_rows: DataFrame, platforms: DataFrame) -> DataFrame:
-    """Reference prices with their 50 most similar notices, 100 most similar items, and platforms.
+def reference_price_detail(
+    prices: DataFrame, notice_rows: DataFrame, item_rows: DataFrame, platforms: DataFrame,
+    max_notices: int | None = None, max_items: int | None = None,
+) -> DataFrame:
+    """Reference prices with their similar notices, similar items (best first), and platforms.
 
     notice_rows, item_rows: ref_id, similarity, ...; platforms: ref_id, platform, mean_unit, items.
     """
     by_score = [F.col("similarity").desc()]
-    similar = top_k(notice_rows, ["ref_id"], [*by_score, F.col("notice_id")], 50, "_rank").groupBy("ref_id").agg(
+    similar = _ranked(notice_rows, ["ref_id"], [*by_score, F.col("notice_id")], max_notices).groupBy("ref_id").agg(
         F.array_sort(F.collect_list(F.struct("_rank", "notice_id", "value", "price_source", "similarity"))).alias("notices")
     )
-    alike = top_k(item_rows, ["ref_id"], [*by_score, F.col("item_id")], 100, "_rank").groupBy("ref_id").agg(
+    alike = _ranked(item_rows, ["ref_id"], [*by_score, F.col("item_id")], max_items).groupBy("ref_id").agg(
         F.array_sort(F.collect_list(F.struct("_rank", "item_id", "value", "price_source", "similarity"))).alias("items")
     )
     sold = platforms.groupBy("ref_id").agg(
@@ -82,11 +89,14 @@ def reference_price_detail(prices: DataFrame, notice_rows: DataFrame, item_rows:
     )
 
 
-def market_detail(boards: DataFrame, groups: DataFrame, state: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Up to 50 platform rows and 200 groups, optionally of one state."""
+def market_detail(
+    boards: DataFrame, groups: DataFrame, state: str | None = None, max_boards: int | None = None, max_groups: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Platform rows and groups, optionally of one state; with limits, the first and best of them."""
     if state is not None:
         boards, groups = boards.filter(F.col("level") == state), groups.filter(F.col("level") == state)
-    return (
-        boards.orderBy("level", F.col("weighted_wins").desc(), "platform").limit(50),
-        groups.orderBy(F.col("score").desc(), "level", "key").limit(200),
-    )
+    if max_boards is not None:
+        boards = boards.orderBy("level", F.col("weighted_wins").desc(), "platform").limit(max_boards)
+    if max_groups is not None:
+        groups = groups.orderBy(F.col("score").desc(), "level", "key").limit(max_groups)
+    return boards, groups

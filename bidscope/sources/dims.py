@@ -40,8 +40,7 @@ def build_microregion_dim(municipalities: DataFrame, names: DataFrame, states: l
 
 
 def platform_dim(spark: SparkSession) -> DataFrame:
-    rows = [(i, name, kind) for kind, names in fixed.PLATFORM_TYPES.items() for i, name in names.items()]
-    return spark.createDataFrame(rows, "platform_id INT, platform STRING, platform_type STRING")
+    return spark.createDataFrame(fixed.PLATFORMS, "platform_id INT, platform STRING, platform_type STRING")
 
 
 def with_platform_name(df: DataFrame, spark: SparkSession) -> DataFrame:

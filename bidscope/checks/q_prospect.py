@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from bidscope.checks.q_pricing import priced_items, priced_notices
 from bidscope.checks.q_documents import tender_docs
 from bidscope.checks.q_sources import payload_rows
-from bidscope.checks.registry import query
+from bidscope.checks.registry import ORACLES, query
 from bidscope.checks.star import AS_OF, MUNICIPALITY_SQL, NOTICE_SQL, PLAIN_ITEM_SQL, as_of, municipalities, notices, r, table
 from bidscope.checks.q_joins import item_rows
+from bidscope.checks import q_market  # noqa: F401  registers SQL that R6 is made of
 from bidscope.functions.scores import round_to
 from bidscope.plans import insight, prospect
 from bidscope.plans.daily import daily_run
@@ -190,9 +191,22 @@ def generic_search(spark, sf):
     return prospect.prospect_order(rows).select("notice_id", "score", "relevance", F.array_join("terms_found", ",").alias("terms_found"))
 
 
-@query("R6_daily_results")
+@query(
+    "R6_daily_results",
+    f"""SELECT 'document' AS part, CAST(notice_id AS VARCHAR) AS row_key, CAST(risk_score AS DOUBLE) AS value FROM ({ORACLES["T10_doc_risk"]})
+UNION ALL SELECT 'market group', level || '|' || key, CAST(score AS DOUBLE) FROM ({ORACLES["D15_market_groups"]})
+UNION ALL SELECT 'reference price', CAST(notice_id AS VARCHAR), CAST(reliability AS DOUBLE) FROM ({ORACLES["D9_reference_price"]})""",
+)
 def daily(spark, sf):
     n = priced_notices(spark, sf)
     goods = priced_items(spark, sf).withColumn("total_estimate", F.col("estimate"))
     results = daily_run(n, goods, tender_docs(spark, sf), municipalities(spark, sf), org_configs(spark, sf), as_of(), DAYS)
-    return insight.table_counts(results)
+
+    def part(name, table_name, key, value):
+        return results[table_name].select(F.lit(name).alias("part"), key.cast("string").alias("row_key"), F.col(value).cast("double").alias("value"))
+
+    return (
+        part("document", "document_analysis", F.col("notice_id"), "risk_score")
+        .unionByName(part("market group", "market_groups", F.concat_ws("|", "level", "key"), "score"))
+        .unionByName(part("reference price", "reference_prices", F.col("notice_id"), "reliability"))
+    )

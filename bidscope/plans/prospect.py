@@ -58,20 +58,23 @@ def _org_keywords(configs: DataFrame) -> DataFrame:
     )
 
 
-def org_candidates(
-    notices: DataFrame, municipalities: DataFrame, configs: DataFrame, since: Column
-) -> DataFrame:
-    """(org_id, notice_id) of recent notices in each organisation's area."""
-    recent = notices.filter(F.col("created_at") >= since).select("notice_id", "state", "municipality_id")
-    places = municipalities.select("municipality_id", "population", "microregion_id")
-    area = configs.filter(F.size(F.coalesce("keywords", F.array())) > 0).select(
-        "org_id", F.explode("states").alias("state"), "max_population", F.coalesce("microregions", F.array()).alias("microregions")
+def _areas(configs: DataFrame) -> DataFrame:
+    """(org_id, state, ...) of organisations that look for something."""
+    return configs.filter(F.size(F.coalesce("keywords", F.array())) > 0).select(
+        "org_id", F.explode(F.array_distinct("states")).alias("state"), "max_population",
+        F.coalesce("microregions", F.array()).alias("microregions"),
     )
-    located = recent.join(places, "municipality_id")
-    in_area = (F.col("population") <= F.col("max_population")) & (
+
+
+def in_own_area(pairs: DataFrame, located: DataFrame, areas: DataFrame) -> DataFrame:
+    """The (org_id, notice_id) whose notice lies in the organisation's area.
+
+    Takes pairs that a keyword has found, so organisations and notices never meet by state alone.
+    """
+    inside = (F.col("population") <= F.col("max_population")) & (
         (F.size("microregions") == 0) | F.array_contains("microregions", F.col("microregion_id"))
     )
-    return located.join(area, "state").filter(in_area).select("org_id", "notice_id")
+    return pairs.join(located, "notice_id").join(areas, ["org_id", "state"]).filter(inside).select("org_id", "notice_id")
 
 
 def prospect(
@@ -84,8 +87,14 @@ def prospect(
     total_estimate. configs: org_id and CONFIG_FIELDS.
     """
     since = as_of - F.make_dt_interval(F.lit(days))
-    candidates = stage(org_candidates(notices, municipalities, configs, since), "candidates")
-    wanted = candidates.select("notice_id").distinct()
+    areas = _areas(configs)
+    places = municipalities.select("municipality_id", "population", "microregion_id")
+    located = (
+        notices.filter(F.col("created_at") >= since).select("notice_id", "state", "municipality_id")
+        .join(places, "municipality_id").join(areas.select("state").distinct(), "state", "left_semi")
+        .select("notice_id", "state", "population", "microregion_id")
+    )
+    wanted = located.select("notice_id").distinct()
     texts = spread(notices.join(wanted, "notice_id", "left_semi"))
     texts = evaluate_once(
         texts.select("notice_id", "subject", "extra_info"),
@@ -100,19 +109,21 @@ def prospect(
     )
     org_keywords = _org_keywords(configs)
     exclusions = _terms(configs, "exclusions")
-    whole = texts.select("notice_id", F.concat_ws(" ", "subject", "extra_info").alias("norm"))
-    barred = keyword_hits(whole, exclusions, ["notice_id"]).join(exclusions.select("org_id", "keyword"), "keyword")
-    eligible = stage(candidates.join(barred.select("org_id", "notice_id"), ["org_id", "notice_id"], "left_anti"), "eligible")
-
     text_hits = keyword_hits(texts.select("notice_id", fields.alias("f")).select("notice_id", "f.*"), org_keywords, ["notice_id", "field"])
-    goods = spread(items.join(wanted, "notice_id", "left_semi"))
+    own_items = items.join(wanted, "notice_id", "left_semi")
+    goods = spread(own_items.select("notice_id", "item_id", "item_no", "description"))
     goods = evaluate_once(goods, norm=normalize_text(F.coalesce("description", F.lit(""))))
     item_hits = keyword_hits(goods, org_keywords, ["notice_id", "item_id", "item_no"])
 
     asked = org_keywords.select("org_id", "keyword", "term", "position", "is_high", "is_medium")
-    own = lambda hits: hits.join(asked, "keyword").join(eligible, ["org_id", "notice_id"], "left_semi")
-    text_found = stage(own(text_hits), "text-hits")
-    item_found = stage(own(item_hits), "item-hits")
+    text_found = stage(text_hits.join(asked, "keyword"), "text-hits")
+    item_found = stage(item_hits.join(asked, "keyword"), "item-hits")
+    pair = ["org_id", "notice_id"]
+    pairs = text_found.select(*pair).unionByName(item_found.select(*pair)).distinct()
+    whole = texts.select("notice_id", F.concat_ws(" ", "subject", "extra_info").alias("norm"))
+    barred = keyword_hits(whole, exclusions, ["notice_id"]).join(exclusions.select("org_id", "keyword"), "keyword").select(*pair)
+    eligible = stage(in_own_area(pairs, located, areas).join(barred, pair, "left_anti"), "eligible")
+    text_found, item_found = (found.join(eligible, pair, "left_semi") for found in (text_found, item_found))
 
     rank = F.when(F.col("field") == "objeto", 0).when(F.col("field") == "complementar", 1).otherwise(2)
     # a term is listed where it was found first: subject, extra text, then items
@@ -142,9 +153,9 @@ def prospect(
         F.count(F.lit(1)).alias("relevant_items"),
         F.sum(F.col("total_estimate").cast("decimal(20,6)")).cast("double").alias("relevant_value"),
     )
-    totals = goods.groupBy("notice_id").agg(F.count(F.lit(1)).alias("total_items"))
+    totals = own_items.groupBy("notice_id").agg(F.count(F.lit(1)).alias("total_items"))
     targets = configs.select("org_id", F.explode("target_codes").alias("target")).filter("target <> ''")
-    codes = goods.select("notice_id", "code").filter("code IS NOT NULL").distinct()
+    codes = own_items.select("notice_id", "code").filter("code IS NOT NULL").distinct()
     # every prefix of a code, so that "code starts with target" becomes an equality join
     prefixes = codes.select(
         "notice_id",

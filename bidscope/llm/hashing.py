@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21  # texts are taken together up to this many bytes; a longer text is a slice of its own
+SLICE_BYTES = 1 << 20  # texts are taken together up to this many bytes; a longer text is a slice of its own
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True

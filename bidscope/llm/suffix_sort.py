@@ -18,7 +18,7 @@ from bidscope.llm import hashing
 from bidscope.llm.repeats import Shard, Windows, identified, removed_mask, repeated_spans, with_spans
 from bidscope.llm.rows import packed, unpacked
 
-BYTES = Windows(unit="bytes", size=400, gram=256, keep_first=False, shard_units=2 << 20)
+BYTES = Windows(unit="bytes", size=400, gram=256, keep_first=False, shard_units=1 << 20)
 
 
 class Suffixes:

@@ -390,7 +390,8 @@ def _with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def similar_sets(docs: DataFrame) -> DataFrame:
-    """``_doc, _id, n_shingles, component_id`` per row of documents with ``_doc, _id, _text``."""
+    """``_doc, _id, n_shingles, component_id, _component`` per row of documents with ``_doc, _id, _text``;
+    the last tells components apart whose smallest documents have the same id."""
     posted = docs.select("_id", "_doc", "_text").mapInArrow(_listed, _POSTED)
     rows = stage(posted.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_repeated, _POSTED), "postings")
     facts = rows.filter("key is null")
@@ -413,13 +414,14 @@ def similar_sets(docs: DataFrame) -> DataFrame:
         edges = edges.unionByName(_large_blocks(members, sizes, texts, edges))
     found = _with_component(classes.select(F.col("rep").alias("doc"), *same, "least"), components(edges))
     whole = found.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = found.join(whole, "component").select(*same, "component_id")
+    labels = found.join(whole, "component").select(*same, "component_id", "component")
     joined = facts.select("doc", "id", *same).join(labels, same, "left")
     return joined.select(
         F.col("doc").alias("_doc"),
         F.col("id").alias("_id"),
         F.col("n").cast("long").alias("n_shingles"),
         F.coalesce("component_id", "id").alias("component_id"),
+        F.coalesce("component", "doc").alias("_component"),
     )
 
 
@@ -447,10 +449,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     keep = ["doc_id", "text"]
     rows = _documents(packed(docs, keep))
     found = similar_sets(rows)
-    # Documents of one id and other texts are told apart by number, so that exactly one stays.
     best = F.min(F.struct("_id", "_doc")).alias("_best")
-    group = F.struct(F.col("component_id"), F.when(F.col("n_shingles") == 0, F.col("_doc")).alias("alone"))
-    chosen = found.withColumn("_group", group).groupBy("_group").agg(best).select(F.col("_best._doc").alias("_doc"))
+    chosen = found.groupBy("_component").agg(best).select(F.col("_best._doc").alias("_doc"))
     kept = rows.join(chosen, "_doc", "left_semi")
     if not found.groupBy("_doc").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").isEmpty():
         kept = kept.dropDuplicates(["_doc"])

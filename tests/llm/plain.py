@@ -50,7 +50,7 @@ def shingles(text):
 
 
 def components(rows):
-    """Per (doc_id, text): set size and the smallest id reachable over links."""
+    """Per (doc_id, text): set size, the smallest id reachable over links, and the component's number."""
     nodes = order(rows)
     sets = [shingles(t) for _, t in nodes]
     parent = list(range(len(nodes)))
@@ -69,7 +69,7 @@ def components(rows):
             if 100 * n >= 80 * (len(s) + len(sets[j]) - n):
                 a, b = root(i), root(j)
                 parent[max(a, b)] = min(a, b)
-    return {node: (len(sets[i]), nodes[root(i)][0]) for i, node in enumerate(nodes)}
+    return {node: (len(sets[i]), nodes[root(i)][0], root(i)) for i, node in enumerate(nodes)}
 
 
 def statistics(text):

@@ -41,7 +41,7 @@ def test_quality_rules(steps):
 def test_one_of_each_group(steps):
     before = rows_of(steps[1])
     want = plain.components([(i, r["text"]) for i, r in before.items()])
-    assert rows_of(steps[2]) == {i: before[i] for (i, _), (n, c) in want.items() if not n or c == i}
+    assert rows_of(steps[2]) == {i: before[i] for (i, _), (n, c, _) in want.items() if not n or c == i}
 
 
 def test_repeats_are_cut_out(steps):

@@ -147,7 +147,9 @@ def stream_changes(
 
     Every micro-batch reads the state of the batch before and writes its own alerts and state
     under its number, so a repeated batch replaces its own output and nothing else. The state
-    holds one row per key.
+    holds one row per key. A row older than the last one seen of its key would need a
+    predecessor that is no longer known: it is kept under ``late``, raises no alert and leaves
+    the state as it is; the batch job over all observations places it.
     """
     spark = stream.sparkSession
     columns = [key, time, tie, *fields]
@@ -159,6 +161,11 @@ def stream_changes(
             last = spark.read.schema(schema).parquet(f"{folder}/state/batch={number - 1}")
         else:
             last = rows.limit(0)
+        seen = last.select(F.col(key).alias("_key"), F.struct(time, tie).alias("_last"))
+        placed = rows.join(seen, rows[key].eqNullSafe(seen["_key"]), "left")
+        is_late = F.coalesce(F.struct(time, tie) < F.col("_last"), F.lit(False))
+        placed.filter(is_late).select(*columns).write.mode("overwrite").parquet(f"{folder}/late/batch={number}")
+        rows = placed.filter(~is_late).select(*columns)
         marked = rows.withColumn("_new", F.lit(True)).unionByName(last.withColumn("_new", F.lit(False)))
         compared = previous_values(marked, [key], F.date_trunc("day", F.col(time)), [time, tie], fields)
         fresh = _alerts(compared.filter("_new"), [key, time, tie], fields)

@@ -86,6 +86,22 @@ def test_stream_of_many_batches_equals_the_batch_job(spark, tmp_path):
     assert streamed == batch
 
 
+def test_rows_older_than_the_last_seen_are_kept_apart(spark, tmp_path):
+    at = lambda hour: dt.datetime(2024, 1, 1, hour)
+    source = tmp_path / "in"
+    parts = [[(1, at(10), 1, "x"), (None, at(9), 2, "a")], [(1, at(5), 3, "y"), (1, at(12), 4, "z"), (None, at(11), 5, "b")]]
+    for part in parts:
+        spark.createDataFrame(part, "k int, t timestamp, i int, status string").coalesce(1).write.mode("append").parquet(str(source))
+    schema = "k int, t timestamp, i int, status string"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+    folder = str(tmp_path / "out")
+    changes.stream_changes(stream, "k", "t", "i", ["status"], folder).awaitTermination()
+    late = spark.read.parquet(f"{folder}/late/batch=1")
+    assert [tuple(r) for r in late.collect()] == [(1, at(5), 3, "y")]
+    alerts = {(r["k"], r["i"], r["old_value"] or "", r["new_value"]) for r in changes.alerts_so_far(spark, folder).collect()}
+    assert {(1, 4, "x", "z"), (None, 5, "a", "b")} <= alerts and all(i != 3 for _, i, _, _ in alerts)
+
+
 def test_deadline_alerts(spark):
     day = dt.date(2026, 1, 10)
     rows = [("o1", day + dt.timedelta(3), None, "analisando"), ("o2", day + dt.timedelta(2), None, "analisando"),

@@ -2,7 +2,9 @@
 
 Numbers, names and units become typed placeholders. Windows of template tokens are joined by hash with
 those of the benchmark; along every run of matching windows the placeholders' values must map one to one
-between benchmark and document, which also holds for questions with other values put in.
+between benchmark and document, which also holds for questions with other values put in. Runs of names and
+of numbers with units are also taken as one placeholder each, so that values of another length match, and
+windows of too few other words for a template are compared as they stand.
 """
 
 from __future__ import annotations
@@ -21,8 +23,7 @@ from bidscope.llm.hashing import PrefixHash, byte_values, mix, slices
 
 WINDOW = 13  # template tokens
 MIN_LITERALS = 6  # tokens of a window that are no placeholders
-MIN_ITEM = 5  # shorter items are not looked for: they would be found everywhere
-MAX_CHANGED = 0.34  # share of a run's tokens that may be slots of another value
+MIN_ITEM = 5  # shorter items count where they are a whole sentence or line: inside others they would be found everywhere
 MAX_ODD = 0.2  # share of a run's slots that may break the one-to-one mapping
 BLOCK_BYTES = 16 << 20  # benchmark text that is held at a time; a longer benchmark is taken in blocks
 
@@ -41,24 +42,54 @@ _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:256] = True
 _INSIDE = np.zeros(256, bool)  # part of a number between two digits
 _INSIDE[[44, 46]] = True
+_BREAK = np.zeros(256, bool)  # ends a sentence or line, where it is not inside a number
+_BREAK[[10, 13, 33, 46, 58, 59, 63]] = True
+
+# How tokens are compared: names and numbers as placeholders; numbers alone, so that copies that differ in
+# case match too; both with runs of placeholders as one; word by word.
+KINDS = ("names", "numbers", "name runs", "number runs", "exact")
 
 
 @dataclass
-class Tokens:
-    """Tokens of several texts: value, kind (0 literal, 1 number, 2 name, 3 unit), and the texts' first tokens."""
+class View:
+    """Texts in one of the ``KINDS``: tokens, which of them are placeholders, their values, the texts' bounds, and
+    each one's first token in the text (with the end of the last)."""
 
-    value: np.ndarray
+    template: np.ndarray
     slot: np.ndarray
+    value: np.ndarray
     bounds: np.ndarray
+    first: np.ndarray
 
-    def template(self, names: bool) -> tuple[np.ndarray, np.ndarray]:
-        """The tokens with placeholders in place of slots, and which are placeholders.
 
-        Without ``names`` capitalised words stay literal in lower case: so copies that differ in case
-        alone match too.
-        """
-        slot = self.slot if names else np.where(self.slot == 2, 0, self.slot)
-        return np.select([slot == 1, slot == 2, slot == 3], [_NUMBER, _NAME, _UNIT], self.value), slot > 0
+@dataclass
+class Tokens:
+    """Tokens of several texts: value, kind (0 literal, 1 number, 2 name, 3 unit), the texts' first tokens, and
+    whether a sentence or line begins with the token (or the end)."""
+
+    value: np.ndarray
+    slot: np.ndarray
+    bounds: np.ndarray
+    fresh: np.ndarray
+
+    def view(self, kind: str) -> View:
+        """The tokens with placeholders in place of slots; in "exact" nothing is one."""
+        n = len(self.value)
+        if kind == "exact":
+            return View(self.value, np.zeros(n, bool), self.value, self.bounds, np.arange(n + 1))
+        slot = self.slot if kind.startswith("name") else np.where(self.slot == 2, 0, self.slot)
+        if not kind.endswith("runs"):
+            template = np.select([slot == 1, slot == 2, slot == 3], [_NUMBER, _NAME, _UNIT], self.value)
+            return View(template, slot > 0, self.value, self.bounds, np.arange(n + 1))
+        slot = np.where(slot == 3, 1, slot)
+        begins = np.ones(n + 1, bool)
+        begins[1:n] = (slot[1:] == 0) | (slot[1:] != slot[:-1])
+        begins[self.bounds] = True
+        first = np.flatnonzero(begins)
+        slot = slot[first[:-1]]
+        value = mix(PrefixHash(self.value).of(first[:-1], first[1:]))
+        template = np.select([slot == 1, slot == 2], [_NUMBER, _NAME], self.value[first[:-1]])
+        return View(template, slot > 0, value, np.searchsorted(first, self.bounds), first)
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
@@ -85,12 +116,17 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     number = digits[ends] > digits[starts]
     name = ((data[starts] >= 65) & (data[starts] <= 90)) | ((data[starts] == 0xC3) & latin[np.minimum(starts + 1, n - 1)]) if len(starts) else number
     bounds = np.searchsorted(starts, offsets)
+    breaks = np.zeros(n + 1, np.int64)
+    np.cumsum(_BREAK[data], out=breaks[1:])
+    fresh = np.ones(len(starts) + 1, bool)
+    fresh[1:-1] = breaks[starts[1:]] > breaks[ends[:-1]]
+    fresh[bounds] = True
     after_number = np.zeros(len(starts), bool)
     after_number[1:] = number[:-1]
     after_number[bounds[:-1][bounds[:-1] < len(starts)]] = False
     unit = after_number & np.isin(value, _UNIT_VALUES) & ~number
     slot = np.where(number, 1, np.where(unit, 3, np.where(name, 2, 0))).astype(np.int8)
-    return Tokens(value, slot, bounds)
+    return Tokens(value, slot, bounds, fresh)
 
 
 _UNIT_VALUES = np.zeros(0, np.uint64)
@@ -100,62 +136,85 @@ _UNIT_VALUES = tokens(_unit_text, np.array([0, len(_unit_text)])).value
 
 @dataclass
 class Benchmark:
-    """Benchmark items with their template windows by length, sorted by hash."""
+    """Benchmark items with their windows by kind and length, sorted by hash."""
 
     ids: list
-    parts: Tokens
-    windows: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]]  # length, names: hashes, first tokens
+    views: dict[str, View]
+    windows: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]  # kind, length: hashes, first tokens
 
 
-def _windows(part: Tokens, length: int, names: bool) -> tuple[np.ndarray, np.ndarray]:
-    """First tokens and hashes of the windows of a length that lie in one text and hold enough literals."""
-    at = np.arange(max(0, len(part.value) - length + 1))
+def _windows(part: Tokens, view: View, kind: str, length: int, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """First tokens and hashes of the windows of a length that lie in one text.
+
+    Templates need enough literals. Of the exact windows, those of full length are the ones that have
+    not enough of them (benchmark: ``own``) or one more, as a unit shows by the number before it; those
+    of items too short for windows are whole sentences or lines.
+    """
+    at = np.arange(max(0, len(view.template) - length + 1))
     if not len(at):
         return at, np.zeros(0, np.uint64)
-    text = np.searchsorted(part.bounds, at, side="right") - 1
-    template, slots = part.template(names)
-    literals = np.concatenate([[0], np.cumsum(~slots)])
-    enough = literals[at + length] - literals[at] >= min(MIN_LITERALS, (length + 1) // 2)
-    at = at[(at + length <= part.bounds[text + 1]) & enough]
-    return at, mix(PrefixHash(template).of(at, at + length))
+    need = min(MIN_LITERALS, (length + 1) // 2)
+    if kind != "exact" or length == WINDOW:
+        slot = view.slot if kind != "exact" else part.view("numbers").slot
+        literals = np.concatenate([[0], np.cumsum(~slot)])
+        literals = literals[at + length] - literals[at]
+        at = at[literals >= need if kind != "exact" else literals < need + (not own)]
+    elif length < MIN_ITEM and not own:
+        at = at[part.fresh[at] & part.fresh[at + length]]
+    text = np.searchsorted(view.bounds, at, side="right") - 1
+    at = at[at + length <= view.bounds[text + 1]]
+    return at, mix(PrefixHash(view.template).of(at, at + length))
 
 
 def benchmark_of(items: list[tuple]) -> Benchmark:
     texts = [(text or "").encode() for _, text in items]
     data = np.frombuffer(b"".join(texts), np.uint8)
     part = tokens(data, np.cumsum([0, *map(len, texts)]))
-    sizes = np.diff(part.bounds)
-    text_of = np.repeat(np.arange(len(items)), sizes)
+    views = {kind: part.view(kind) for kind in KINDS}
     windows = {}
-    lengths = sorted({min(WINDOW, int(n)) for n in sizes if n >= MIN_ITEM})
-    for length, names in product(lengths, (False, True)):
-        at, hashes = _windows(part, length, names)
-        own = np.minimum(sizes[text_of[at]], WINDOW) == length
-        order = np.argsort(hashes[own], kind="stable")
-        windows[length, names] = hashes[own][order], at[own][order]
-    return Benchmark([i for i, _ in items], part, windows)
-
-
-def _consistent(doc: np.ndarray, item: np.ndarray, slot: np.ndarray) -> tuple[bool, int]:
-    """Whether the slots' values map one to one along a run, but for a few, and how many of them differ.
+    for kind, view in views.items():
+        sizes = np.diff(view.bounds)
+        text_of = np.repeat(np.arange(len(items)), sizes)
+        shortest = 1 if kind == "exact" else MIN_ITEM
+        for length in sorted({min(WINDOW, int(n)) for n in sizes if n >= shortest}):
+            at, hashes = _windows(part, view, kind, length, own=True)
+            own = np.minimum(sizes[text_of[at]], WINDOW) == length
+            at, hashes = at[own], hashes[own]
+            if kind == "exact":  # an item's equal windows tell nothing more
+                _, once = np.unique(np.stack([hashes, text_of[at].astype(np.uint64)]), axis=1, return_index=True)
+                at, hashes = at[np.sort(once)], hashes[np.sort(once)]
+            order = np.argsort(hashes, kind="stable")
+            if len(order):
+                windows[kind, length] = hashes[order], at[order]
+    return Benchmark([i for i, _ in items], views, windows)
+
+
+def _consistent(doc: np.ndarray, item: np.ndarray, slot: np.ndarray) -> bool:
+    """Whether the slots' values map one to one along a run, but for a few.
 
     Each value's commonest partner counts as its mapping, in both directions.
     """
-    pairs = Counter(zip(doc[slot > 0].tolist(), item[slot > 0].tolist()))
+    pairs = Counter(zip(doc[slot].tolist(), item[slot].tolist()))
     to_item: dict[int, int] = {}
     to_doc: dict[int, int] = {}
     for (a, b), _ in sorted(pairs.items(), key=lambda x: (-x[1], x[0])):
         to_item.setdefault(a, b)
         to_doc.setdefault(b, a)
     odd = sum(n for (a, b), n in pairs.items() if to_item[a] != b or to_doc[b] != a)
-    return odd <= MAX_ODD * sum(pairs.values()), sum(n for (a, b), n in pairs.items() if a != b)
+    return odd <= MAX_ODD * sum(pairs.values())
 
 
 def matches(part: Tokens, bench: Benchmark) -> list[tuple]:
-    """(text, item, first token, tokens, slots, changed slots) of every accepted run of matching windows."""
+    """(text, item, first token, tokens, slots, changed slots) of every accepted run of matching windows.
+
+    Runs of the later kinds are left out where an earlier kind's run of the same item holds them.
+    """
     found: dict[tuple[int, int, int], tuple] = {}
-    for (length, names), (hashes, places) in bench.windows.items():
-        at, mine = _windows(part, length, names)
+    more: dict[tuple[int, int], list[tuple]] = {}
+    views = {kind: part.view(kind) for kind in {kind for kind, _ in bench.windows}}
+    for (kind, length), (hashes, places) in bench.windows.items():
+        view, items = views[kind], bench.views[kind]
+        at, mine = _windows(part, view, kind, length)
         low, high = np.searchsorted(hashes, mine, "left"), np.searchsorted(hashes, mine, "right")
         hit = np.flatnonzero(high > low)
         counts = (high - low)[hit]
@@ -164,20 +223,37 @@ def matches(part: Tokens, bench: Benchmark) -> list[tuple]:
         item_at = places[np.repeat(low[hit], counts) + step]
         order = np.lexsort((doc_at, doc_at - item_at))
         doc_at, item_at = doc_at[order], item_at[order]
-        text = np.searchsorted(part.bounds, doc_at, side="right") - 1
-        item = np.searchsorted(bench.parts.bounds, item_at, side="right") - 1
+        text = np.searchsorted(view.bounds, doc_at, side="right") - 1
+        item = np.searchsorted(items.bounds, item_at, side="right") - 1
         new = np.ones(len(doc_at), bool)
         new[1:] = (np.diff(doc_at) > length) | (np.diff(doc_at - item_at) != 0) | (np.diff(text) != 0) | (np.diff(item) != 0)
         edges = np.append(np.flatnonzero(new), len(doc_at))
         for a, b in zip(edges[:-1], edges[1:]):
             i, j, size = int(doc_at[a]), int(item_at[a]), int(doc_at[b - 1] - doc_at[a]) + length
-            slot = bench.parts.slot[j : j + size]
-            fits, changed = _consistent(part.value[i : i + size], bench.parts.value[j : j + size], slot)
-            if fits and changed <= MAX_CHANGED * size:
-                t, x = int(text[a]), int(item[a])
-                run = (t, x, i - int(part.bounds[t]), size, int((slot > 0).sum()), changed)
+            slot = items.slot[j : j + size]
+            inner = slot.copy()
+            if kind.endswith("runs"):  # what stands beside the run may be part of its outer placeholders
+                inner[[0, -1]] = False
+            doc_values, item_values = view.value[i : i + size], items.value[j : j + size]
+            if not _consistent(doc_values, item_values, inner):
+                continue
+            t, x = int(text[a]), int(item[a])
+            first, last = int(view.first[i]), int(view.first[i + size])
+            changed = int((doc_values != item_values)[slot].sum())
+            run = (t, x, first - int(part.bounds[t]), last - first, int(slot.sum()), changed)
+            if kind in ("names", "numbers"):
                 found[t, x, i - j] = max(found.get((t, x, i - j), run), run, key=lambda r: r[3])
-    return sorted(found.values())
+            else:
+                more.setdefault((t, x), []).append(run)
+    held: dict[tuple[int, int], list[tuple]] = {}
+    for run in found.values():
+        held.setdefault(run[:2], []).append(run)
+    for key, runs in more.items():
+        known = held.setdefault(key, [])
+        for run in runs:
+            if not any(r[2] <= run[2] and run[2] + run[3] <= r[2] + r[3] for r in known):
+                known.append(run)
+    return sorted(run for runs in held.values() for run in runs)
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple]]:
@@ -203,8 +279,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, item: str = "item_id",
     """``doc_id, item_id, first_token, n_tokens, n_slots, n_changed`` of every run a document shares with an item.
 
     A document without such a run has no row. Null and empty texts match nothing; repeated documents and
-    repeated items give repeated rows; items of fewer than ``MIN_ITEM`` tokens are not looked for. The
-    documents are streamed past each block of the benchmark, without a shuffle.
+    repeated items give repeated rows; items of fewer than ``MIN_ITEM`` tokens are found as a whole sentence or
+    line. The documents are streamed past each block of the benchmark, without a shuffle.
     """
     kind = {c: d.schema[c].dataType.simpleString() for d, c in ((docs, "doc_id"), (benchmark, item))}
     schema = f"doc_id {kind['doc_id']}, item_id {kind[item]}, first_token bigint, n_tokens bigint, n_slots bigint, n_changed bigint"

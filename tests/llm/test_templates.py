@@ -58,3 +58,23 @@ def test_odd_documents_and_blocks(odd_docs, odd_rows, no_docs, spark, monkeypatc
     assert templates.contaminations(no_docs, bench).count() == 0
     assert templates.contaminations(odd_docs, bench.filter("false")).count() == 0
     assert templates.decontaminate(odd_docs, bench.filter("false")).count() == len(odd_rows)
+
+
+def test_number_heavy_and_short_items_and_any_share_of_other_values():
+    series = ((3, "Go on: 3 5 8 13 21 34 55 89 144 233 377 610 987 1597 and so on"), (4, "7 + 5 = 12"), (5, "Sums 1 2 3 4 5 6 7"))
+    assert found(f"A text with this in it. {series[0][1]} 2584, it says.", series)
+    assert not found("A text with 3 5 8 13 21 34 56 89 144 233 377 611 987 1597 in it.", series)
+    assert [r[1] for r in found("Easy: 7 + 5 = 12! Hard is 17 + 5 = 12 here, or 7 + 5 = 12 apples.", series)] == [1]
+    assert [r[1] for r in found("Before, sums 1 2 3 4 5 6 7 8", series)] == [2]
+    trade = ((6, "Ann buys 3 kg of rice for 12 and Bob sells 2 kg of it for 9"),)
+    assert found("So Eve buys 4 lb of rice for 15 and Max sells 5 lb of it for 7 today", trade)
+    assert not found("So Eve buys 4 lb of tea for 15 or Max takes 5 lb of cake for 7 today", trade)
+
+
+def test_values_of_another_number_of_words():
+    other = "Mary Ann Lee has 4 apples and gives 9 apples to Old Tom Ray before she walks 5 feet 3 inches to the old market near the river."
+    rows = found(f"here it goes, {other}")
+    assert [(r[0], r[1], r[2], r[4], r[5]) for r in rows] == [(0, 0, 3, 5, 5)]
+    swapped = ((7, "when Ann met Bob Ray and Ann saw Bob Ray then Ann told Bob Ray that Ann knew Bob Ray and Ann left Bob Ray"),)
+    assert found("when Eve Lu met Kim and Eve Lu saw Kim then Eve Lu told Kim that Eve Lu knew Kim and Eve Lu left Kim", swapped)
+    assert not found("when Eve Lu met Kim and Kim saw Lu then Lu Kim told Eve that Eve Lu knew Kim Lu and Lu Eve left Lu", swapped)

@@ -19,14 +19,15 @@ SYMBOLS = "#*$%&|<>"
 
 UNIT = 100  # vectors are kept as whole numbers of 1 / UNIT
 NAMES = ("x_length", "x_symbols", "x_lines", "x_repeats")
-# Smallest spread taken for each coordinate, in units: a coordinate that is constant for most documents
-# must not turn one stray sign or repeated line into an outlier.
-SMALLEST_SPREAD = (8.0, 50.0, 70.0, 12.0)
+# Smallest spread taken for each coordinate, in units. Word length varies in every group, so only rounding
+# counts. The others are constant for most documents, which must not turn one stray sign or repeated line into
+# an outlier; yet each can reject by itself what the plain rules let pass.
+SMALLEST_SPREAD = (1.0, 25.0, 35.0, 6.0)
 
 SUBSET = 0.75  # share of a group whose covariance has the smallest determinant
 STEPS = 4  # concentration steps
 MIN_GROUP = 200  # smaller groups are pooled by language, then all together
-MAX_DISTANCE = 30.0  # squared distance; the chi-square tail of four coordinates beyond it is 5e-6
+MAX_DISTANCE = 18.467  # squared distance: chi-square (4) quantile at 0.999
 # Chi-square (4) quantiles at 0.75 and 0.975, and what makes covariances of such subsets consistent.
 REWEIGHT, SUBSET_FACTOR, REWEIGHT_FACTOR = 11.143, 1.488, 1.064
 

@@ -110,3 +110,18 @@ def test_odd_documents_are_scored(odd_docs, odd_rows, no_docs, spark):
     assert site_posteriors.score(odd_docs, labels).count() == len(odd_rows)
     assert site_posteriors.score(odd_docs, labels.filter("false")).filter("posterior is null").count() == 0
     assert site_posteriors.score(no_docs, labels).count() == 0
+
+
+def test_repeats_and_repeated_lines_reject_by_themselves(spark):
+    rng = np.random.default_rng(3)
+    draw = lambda n: [f"w{k:04d}" for k in rng.choice(10_000, n, replace=False)]
+    lines = lambda words, n: " ".join(words[n:]) + "".join(f"\n{w}\nx0000" for w in words[:n])
+    texts = [" ".join(draw(100)) for _ in range(300)]
+    phrase = draw(15)
+    texts += [" ".join([*phrase, *draw(20), *phrase, *draw(35), *phrase])]  # 45 of 100 words repeated
+    texts += [lines(draw(90), 10)]  # 9 repeated lines in 100 words
+    texts += [lines(draw(98), 2)]  # one
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string")
+    rows = rules.quality_rules(docs).collect()
+    assert not any(r["base_failed"] for r in rows)
+    assert {r["doc_id"] for r in rows if not r["kept"]} == {300, 301}

@@ -8,6 +8,7 @@ finished wrapper are then judged once, and every page is read through its host's
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -51,6 +52,7 @@ AROUND_WORDS = set(
 )
 
 MAX_LINK_SHARE = 0.5  # of a slot's characters, where a page names no main region
+SAME_PAGES = 3  # pages that differ in the rest and hold the same text in a slot: it is no running text there
 MAX_PERIOD = 4  # tags in a repeated group
 MAX_BROADCAST_BYTES = 8 << 20
 FLUSH_HOSTS = 2_000  # hosts whose partial wrappers a task holds
@@ -59,6 +61,7 @@ SALTS = 32
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>", re.DOTALL
 )
+_DIGITS = re.compile(r"\d+")
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 
 
@@ -134,11 +137,25 @@ def parse(html: str | None) -> list:
     return root
 
 
-# --- wrappers: [label, quantifier, children], or ["#", quantifier, pages, characters, link characters, hash or None]
+# --- wrappers: [label, quantifier, children], or ["#", quantifier, rests, characters, link characters, hash or None]
+#
+# Rests are the smallest SAME_PAGES digests of what else the pages say: copies of a page count as one.
 
 
-def _slot(text: str, link_chars: int) -> list:
-    return ["#", "", 1, len(text), min(link_chars, len(text)), zlib.crc32(text.encode("utf-8", "replace"))]
+def _digest(text: str) -> int:
+    """Of a text without its numbers, so that counters and dates make no other page."""
+    return int.from_bytes(hashlib.blake2b(_DIGITS.sub("", text).encode("utf-8", "replace"), digest_size=8).digest(), "big")
+
+
+def _running(tree: list) -> int:
+    """Sum of the digests of a page's texts, but for those around it and those that are mostly links."""
+    if tree[0] == "#":
+        return _digest(tree[1]) if tree[2] <= MAX_LINK_SHARE * len(tree[1]) else 0
+    return sum(_running(x) for x in tree[1] if x[0] == "#" or not _is_around(x[0]))
+
+
+def _slot(text: str, link_chars: int, rest: int) -> list:
+    return ["#", "", [rest], len(text), min(link_chars, len(text)), zlib.crc32(text.encode("utf-8", "replace"))]
 
 
 def _widen(a: str, b: str) -> str:
@@ -147,11 +164,13 @@ def _widen(a: str, b: str) -> str:
     return "*" if optional and many else "?" if optional else "+" if many else ""
 
 
-def _merge(a: list, b: list, pages: bool) -> list:
-    """One node for two of equal label; ``pages`` if they come from different pages."""
+def _merge(a: list, b: list) -> list:
+    """One node for two of equal label."""
     if a[0] == "#":
-        return ["#", _widen(a[1], b[1]), a[2] + b[2] if pages else max(a[2], b[2]), a[3] + b[3], a[4] + b[4], a[5] if a[5] == b[5] else None]
-    return [a[0], _widen(a[1], b[1]), _align(a[2], b[2], pages)]
+        same = a[5] if a[5] == b[5] else None
+        rests = [] if same is None else a[2] if a[2] == b[2] else sorted({*a[2], *b[2]})[:SAME_PAGES]
+        return ["#", _widen(a[1], b[1]), rests, a[3] + b[3], a[4] + b[4], same]
+    return [a[0], _widen(a[1], b[1]), _align(a[2], b[2])]
 
 
 def _collapse(nodes: list) -> list:
@@ -163,7 +182,7 @@ def _collapse(nodes: list) -> list:
             group, j = nodes[i : i + period], i + period
             names = [x[0] for x in group]
             while len(group) == period and [x[0] for x in nodes[j : j + period]] == names:
-                group = [_merge(x, y, False) for x, y in zip(group, nodes[j : j + period])]
+                group = [_merge(x, y) for x, y in zip(group, nodes[j : j + period])]
                 j += period
             if j > i + period:
                 many = [[x[0], _widen(x[1], "+"), *x[2:]] for x in group]
@@ -176,10 +195,10 @@ def _collapse(nodes: list) -> list:
     return nodes
 
 
-def _align(a: list, b: list, pages: bool) -> list:
+def _align(a: list, b: list) -> list:
     """The longest common order of two lists of siblings; what only one of them has becomes optional."""
     if [x[0] for x in a] == [x[0] for x in b]:
-        return [_merge(x, y, pages) for x, y in zip(a, b)]
+        return [_merge(x, y) for x, y in zip(a, b)]
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
@@ -189,7 +208,7 @@ def _align(a: list, b: list, pages: bool) -> list:
     out, i, j = [], 0, 0
     while i < n or j < m:
         if i < n and j < m and a[i][0] == b[j][0]:
-            out.append(_merge(a[i], b[j], pages))
+            out.append(_merge(a[i], b[j]))
             i, j = i + 1, j + 1
             continue
         if j >= m or (i < n and best[i + 1][j] >= best[i][j + 1]):
@@ -202,13 +221,19 @@ def _align(a: list, b: list, pages: bool) -> list:
 
 def wrapper_of(tree: list) -> list:
     """The wrapper of a single page."""
-    if tree[0] == "#":
-        return _slot(tree[1], tree[2])
-    return [tree[0], "", _collapse([wrapper_of(x) for x in tree[1]])]
+    total = _running(tree)
+
+    def of(node: list, around: bool) -> list:
+        if node[0] == "#":
+            own = _running(node) if not around else 0
+            return _slot(node[1], node[2], (total - own) % 2**64)
+        return [node[0], "", _collapse([of(x, around or (x[0] != "#" and _is_around(x[0]))) for x in node[1]])]
+
+    return of(tree, False)
 
 
 def merge_wrappers(a: list | None, b: list) -> list:
-    return b if a is None else _merge(a, b, True)
+    return b if a is None else _merge(a, b)
 
 
 def expression(wrapper: list) -> str:
@@ -227,6 +252,7 @@ def _is_main(label: str) -> bool:
     return tag in ("article", "main") or ("main" in names and tag in ("div", "section"))
 
 
+@lru_cache(maxsize=1 << 16)
 def _is_around(label: str) -> bool:
     tag, *names = label.split(".")
     return tag in AROUND_TAGS or (tag not in ("html", "body", "article", "main") and not AROUND_WORDS.isdisjoint(names))
@@ -237,19 +263,21 @@ def _holds_main(node: list) -> bool:
 
 
 def judge(wrapper: list) -> dict[str, int]:
-    """Per slot, by the labels above it: 2 in the main region, 1 other running text, 0 what stands around it.
+    """Per slot, by the labels above it: 2 in the main region, 1 other running text, 0 what stands around it, and
+    -1 what the host repeats, where no page names a main region.
 
     A container named like a menu or notice is not one if it holds the main region. Slots that are the
-    same on three pages or more, or mostly links, are no running text; inside the main region only the
+    same on three pages or more that differ in the rest, or mostly links, are no running text; inside the main region only the
     containers' names count.
     """
     slots: dict[str, int] = {}
+    order = (0, -1, 1, 2).index
 
     def walk(node: list, path: str, main: bool, around: bool) -> None:
         if node[0] == "#":
-            _, _, pages, chars, links, same = node
-            plain = links <= MAX_LINK_SHARE * chars and not (same is not None and pages >= 3)
-            slots[path] = max(slots.get(path, 0), 0 if around else 2 if main else int(plain))
+            _, _, rests, chars, links, same = node
+            plain = 0 if links > MAX_LINK_SHARE * chars else -1 if same is not None and len(rests) >= SAME_PAGES else 1
+            slots[path] = max(slots.get(path, 0), 0 if around else 2 if main else plain, key=order)
             return
         label = node[0]
         if label != "()":
@@ -265,6 +293,8 @@ def judge(wrapper: list) -> dict[str, int]:
 
     articles = [x for x in _labels(wrapper) if x.split(".")[0] == "article"]
     walk(wrapper, "", False, False)
+    if 2 in slots.values():
+        slots = {path: max(kind, 0) for path, kind in slots.items()}
     if articles:  # where a host has articles, what stands beside them in its main element is no article
         for path, kind in slots.items():
             if kind == 2 and not any(x.split(".")[0] == "article" for x in path.split("/")):
@@ -280,7 +310,8 @@ def _labels(node: list) -> Iterator[str]:
 
 
 def extract(html: str | None, slots: dict[str, int]) -> str:
-    """The texts of a page's main slots, or of its running-text slots if it has no main region."""
+    """The texts of a page's main slots, or of its running-text slots if it has no main region; what its host
+    repeats is left out, unless the page has nothing else."""
     found: list[tuple[int, str]] = []
 
     def walk(node: list, path: str) -> None:
@@ -292,7 +323,8 @@ def extract(html: str | None, slots: dict[str, int]) -> str:
 
     tree = parse(html)
     walk(tree, "/" + tree[0])
-    wanted = 2 if any(kind == 2 for kind, _ in found) else 1
+    kinds = {kind for kind, _ in found}
+    wanted = next((kind for kind in (2, 1) if kind in kinds), -1)
     return "\n".join(text for kind, text in found if kind == wanted)
 
 

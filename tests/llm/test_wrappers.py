@@ -66,3 +66,30 @@ def test_repeated_groups_and_broken_markup():
     tree = wrappers.parse("<dl><dt>a<dd>b<dt>c<dd>d</dl><p>x<p>y</i></b></zzz><!-- <p>no --> z <p title='>'>w <script>if (a < b) '<p>'</script")
     assert wrappers.expression(wrappers.wrapper_of(tree)) == "(<>(<dl>((<dt>#</>)(<dd>#</>))+</>)(<p>#</>)+</>)"
     assert wrappers.extract("a < b &amp;&nbsp;c <p", {}) == "a < b & c <p"
+
+
+def texts_of(htmls):
+    whole = None
+    for h in htmls:
+        whole = wrappers.merge_wrappers(whole, wrappers.wrapper_of(wrappers.parse(h)))
+    return [wrappers.extract(h, wrappers.judge(whole)) for h in htmls]
+
+
+def test_texts_do_not_depend_on_the_number_of_copies(spark):
+    short = "<body><div class=text><h1>T</h1><p>One paragraph</p></div></body>"
+    longer = "<body><div class=text><h1>A title</h1><p>One</p><p>Two</p><blockquote>Said so</blockquote></div><div class=seen>Seen {} times</div></body>"
+    for copies in (1, 2, 3, 7):
+        assert set(texts_of([short] * copies)) == {"T\nOne paragraph"}
+        for k, text in enumerate(texts_of([longer.format(k) for k in range(copies)])):
+            assert text == f"A title\nOne\nTwo\nSaid so\nSeen {k} times"
+    pages = spark.createDataFrame([(k, None, short) for k in range(6)], "page_id bigint, url string, html string").repartition(3)
+    assert {r["text"] for r in wrappers.main_text(pages).collect()} == {"T\nOne paragraph"}
+
+
+def test_what_a_host_repeats_goes_unless_a_page_has_nothing_else():
+    stories = ["a story about a river", "another about hills", "a tale of two towns"]
+    htmls = [f"<body><div class=text><p>{t}</p></div><div class=foot>Always the same</div></body>" for t in stories]
+    assert texts_of([*htmls, htmls[0], htmls[0]]) == [*stories, stories[0], stories[0]]
+    assert texts_of([*htmls, "<body><div class=foot>Always the same</div></body>"])[-1] == "Always the same"
+    named = [h.replace("div class=text", "article").replace("</p></div>", "</p></article>") for h in htmls]
+    assert texts_of([*named, "<body><article></article><div class=foot>Always the same</div></body>"]) == [*stories, ""]

@@ -25,7 +25,9 @@ def directory(rows: DataFrame, limit: int) -> DataFrame:
 
     A pass sums the bytes by the next bits of every bucket that is still too large, and takes for each
     of these cells the shortest prefix that fits; what fits nowhere goes into the next pass. A pass moves
-    one row per task and cell. Rows that agree in all bits cannot be split and form a bucket alone.
+    one row per task and cell. It goes up ``LEVELS`` at a time: so many bits above a cell stand at most
+    2 ** LEVELS cells together, and what fits there is added up to one cell for the bits above. Rows that
+    agree in all bits cannot be split and form a bucket alone.
     """
     total = rows.agg(F.sum("_bytes")).first()[0] or 0
     depth = max(0, (max(1, total) // limit).bit_length() - 1)
@@ -35,16 +37,22 @@ def directory(rows: DataFrame, limit: int) -> DataFrame:
         cells = open_rows.groupBy(F.substring("_path", 1, high).alias("_cell")).agg(
             F.sum("_bytes").alias("_bytes"), F.count(F.lit(1)).alias("_rows")
         )
-        levels = range(low, high + 1)
-        inside = {d: Window.partitionBy(F.substring("_cell", 1, d)) for d in levels}
-        sums = [F.struct(F.lit(d).alias("depth"), F.sum("_bytes").over(inside[d]).alias("n_bytes"), F.sum("_rows").over(inside[d]).alias("n_rows")) for d in levels]
-        fits = F.filter("_sums", lambda x: (x["n_bytes"] <= limit) | (x["n_rows"] == 1) | (x["depth"] == MAX_DEPTH))
-        cells = cells.withColumn("_sums", F.array(*sums)).withColumn("_leaf", F.get(fits, 0))
-        cells = stage(cells.select("_cell", "_leaf"), "directory")
-        leaf = F.substring(F.col("_cell"), F.lit(1), F.col("_leaf.depth"))
-        found = cells.filter("_leaf is not null").select(leaf.alias("bucket"), "_leaf.depth", "_leaf.n_bytes", "_leaf.n_rows").distinct()
-        done = found if done is None else done.unionByName(found)
-        large = cells.filter("_leaf is null").select("_cell")
+        bottom, large = high, None
+        while large is None or bottom > low:
+            top = max(low, bottom - LEVELS)
+            levels = range(top, bottom + 1)
+            inside = {d: Window.partitionBy(F.substring("_cell", 1, d)) for d in levels}
+            sums = [F.struct(F.lit(d).alias("depth"), F.sum("_bytes").over(inside[d]).alias("n_bytes"), F.sum("_rows").over(inside[d]).alias("n_rows")) for d in levels]
+            fits = F.filter("_sums", lambda x: (x["n_bytes"] <= limit) | (x["n_rows"] == 1) | (x["depth"] == MAX_DEPTH))
+            cells = cells.withColumn("_sums", F.array(*sums)).withColumn("_leaf", F.get(fits, 0))
+            cells = stage(cells.select("_cell", "_bytes", "_rows", "_leaf"), "directory")
+            leaf = F.substring(F.col("_cell"), F.lit(1), F.col("_leaf.depth"))
+            settled = cells.filter((F.col("_leaf.depth") > top) | (F.col("_leaf.depth") == low))
+            found = settled.select(leaf.alias("bucket"), "_leaf.depth", "_leaf.n_bytes", "_leaf.n_rows").distinct()
+            done = found if done is None else done.unionByName(found)
+            large = cells.filter("_leaf is null").select("_cell") if large is None else large
+            cells = cells.groupBy(F.substring("_cell", 1, top).alias("_cell")).agg(F.sum("_bytes").alias("_bytes"), F.sum("_rows").alias("_rows"))
+            bottom = top
         if high == MAX_DEPTH or large.isEmpty():
             return done
         open_rows = open_rows.join(large, F.substring(open_rows["_path"], 1, high) == large["_cell"], "left_semi")

@@ -7,7 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from bidscope.llm import automata, bpe, extendible, robust_rules, set_join, site_posteriors, suffix_sort, templates, warc, wrappers
+from bidscope.llm import (
+    automata,
+    bpe,
+    extendible,
+    periodic,
+    piece_spans,
+    robust_rules,
+    set_join,
+    site_posteriors,
+    spelling,
+    suffix_sort,
+    templates,
+    warc,
+    wrappers,
+)
 from bidscope.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -157,3 +171,18 @@ def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_host_wrappers")
 def host_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op11_spelling_groups")
+def spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.groups(table(spark, sf_dir, "documents"))
+
+
+@query("op12_piece_spans")
+def piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_spans.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op13_periodic_runs")
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(table(spark, sf_dir, "documents"))

@@ -12,18 +12,14 @@ from bidscope.llm import periodic
 
 def plain_runs(words, least):
     """By the definition, every period by itself."""
-    out = []
+    number = {w: k for k, w in enumerate(dict.fromkeys(words))}
+    w, out = np.array([number[x] for x in words], np.int64), []
     for q in range(1, len(words) // 3 + 1):
-        i = q
-        while i < len(words):
-            j = i
-            while j < len(words) and words[j] == words[j - q]:
-                j += 1
-            own = words[i - q : j]
-            shorter = (all(own[t] == own[t - d] for t in range(d, len(own))) for d in range(1, q))
-            if j > i and len(own) >= max(least, 3 * q) and not any(shorter):
-                out.append((i - q, j - i + q, q))
-            i = max(j, i + 1)
+        same = np.concatenate([[0], w[q:] == w[:-q], [0]]).astype(np.int8)
+        for start, end in zip(np.flatnonzero(np.diff(same) == 1), np.flatnonzero(np.diff(same) == -1)):
+            own = w[start : end + q]
+            if len(own) >= max(least, 3 * q) and not any((own[d:] == own[:-d]).all() for d in range(1, q)):
+                out.append((int(start), len(own), q))
     return sorted(out, key=lambda r: (r[0], r[2]))
 
 

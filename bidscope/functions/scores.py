@@ -226,24 +226,31 @@ def _term_points(terms: Column, reference_terms: Column) -> Column:
     return F.when(total > 0, 20 * F.least(shared / total, F.lit(1.0))).otherwise(0.0)
 
 
+def notice_points(same_modality: Column, same_state: Column, terms: Column, reference_terms: Column) -> Column:
+    """Points of a notice apart from its age."""
+    return _flag(same_modality, 20.0) + _flag(same_state, 15.0) + _term_points(terms, reference_terms)
+
+
+def item_points(good_code: Column, same_state: Column, terms: Column, reference_terms: Column, has_unit: Column) -> Column:
+    """Points of an item apart from its age."""
+    return (
+        _flag(good_code, 12.5) + _flag(same_state, 15.0) + _term_points(terms, reference_terms) + _flag(has_unit, 5.0)
+    )
+
+
+def similarity(points: Column, days: Column) -> Column:
+    """Points and age as a similarity of 0 to 100, which never rises with age."""
+    return _rescale(points + _recency_points(days))
+
+
 def notice_similarity(
     same_modality: Column, same_state: Column, terms: Column, reference_terms: Column, days: Column
 ) -> Column:
-    return _rescale(
-        _flag(same_modality, 20.0)
-        + _flag(same_state, 15.0)
-        + _term_points(terms, reference_terms)
-        + _recency_points(days)
-    )
+    return similarity(notice_points(same_modality, same_state, terms, reference_terms), days)
 
 
 def item_similarity(
     code: Column, same_state: Column, terms: Column, reference_terms: Column, unit: Column, days: Column
 ) -> Column:
-    return _rescale(
-        _flag(F.length(code) >= 4, 12.5)
-        + _flag(same_state, 15.0)
-        + _term_points(terms, reference_terms)
-        + _flag(unit != "", 5.0)
-        + _recency_points(days)
-    )
+    points = item_points(F.length(code) >= 4, same_state, terms, reference_terms, unit != "")
+    return similarity(points, days)

@@ -11,6 +11,7 @@ from bidscope.functions.scores import predominant_source, price_of, real_discoun
 from bidscope.operators.groups import group_unit, rank_in_group, redundant_groups
 from bidscope.operators.order_stats import iqr_filter, price_summary, scale_window
 from bidscope.plans import market
+from bidscope.session import stage
 
 STATS = "total, minimum, maximum, mean, median, trimmed_mean, stdev, cv, p25, p50, p75"
 
@@ -382,34 +383,30 @@ def savings(spark, sf):
     )
 
 
-_SELECTIVE = """sel AS (SELECT 'ncm:' || p_brand || p_size AS code_key, 'desc:' || p_name || l_returnflag AS lex_key,
-    'P' || (l_suppkey % 25) AS platform, l_quantity FROM lineitem JOIN part ON p_partkey = l_partkey),
-g AS (SELECT key, list_sort(list(DISTINCT platform)) AS pset FROM (
-    SELECT code_key AS key, platform FROM sel WHERE l_quantity = 1
-    UNION ALL SELECT lex_key, platform FROM sel WHERE l_quantity = 1) GROUP BY key)"""
+_PLATFORM_SETS = """line AS (SELECT l_suppkey % 45 AS platform, 'ncm:' || p_brand || p_size || '/' || l_linenumber AS exact,
+    'ncm4:' || p_brand || p_size AS four, 'desc:' || p_name || l_returnflag || l_linenumber || '/' || year(l_shipdate) AS lex
+  FROM lineitem JOIN part ON p_partkey = l_partkey),
+g AS (SELECT key, bit_or(CAST(1 AS BIGINT) << platform) AS m FROM (
+    SELECT exact AS key, platform FROM line UNION ALL SELECT four, platform FROM line UNION ALL SELECT lex, platform FROM line) GROUP BY key),
+s AS (SELECT *, bit_count(m) AS n, split_part(key, ':', 1) AS kind FROM g),
+probe AS (SELECT DISTINCT kind, m, n FROM s WHERE kind <> 'ncm'), cover AS (SELECT DISTINCT kind, m FROM s WHERE kind <> 'desc' AND n >= 2),
+gone AS (SELECT * FROM probe p WHERE EXISTS (SELECT 1 FROM cover c WHERE bit_count(p.m & c.m) * 2 >= p.n AND (p.kind = 'desc' OR c.kind = 'ncm')))"""
 
 
 @query(
     "J16_redundant_groups",
-    f"""WITH {_SELECTIVE} SELECT a.key, len(a.pset) AS platforms FROM g a WHERE a.key LIKE 'desc:%' AND EXISTS (
-  SELECT 1 FROM g b WHERE b.key LIKE 'ncm:%' AND len(b.pset) >= 2
-    AND len(list_intersect(a.pset, b.pset)) >= 0.5 * len(a.pset))""",
+    f"WITH {_PLATFORM_SETS} SELECT key, CAST(s.n AS INTEGER) AS platforms FROM s JOIN gone USING (kind, m)",
 )
 def redundant(spark, sf):
-    # the lowest quantity stands for a sparse market; all its rows are read
-    rows = table(spark, sf, "lineitem").filter("l_quantity = 1").join(
-        table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")
+    rows = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    size = F.concat("p_brand", F.col("p_size").cast("string"))
+    number = F.col("l_linenumber").cast("string")
+    keys = F.array(
+        F.concat(F.lit("ncm:"), size, F.lit("/"), number), F.concat(F.lit("ncm4:"), size),
+        F.concat(F.lit("desc:"), "p_name", "l_returnflag", number, F.lit("/"), F.year("l_shipdate").cast("string")),
     )
-    keyed = rows.select(
-        F.concat(F.lit("P"), (F.col("l_suppkey") % 25).cast("string")).alias("platform"),
-        F.explode(
-            F.array(
-                F.concat(F.lit("ncm:"), F.col("p_brand"), F.col("p_size").cast("string")),
-                F.concat(F.lit("desc:"), F.col("p_name"), F.col("l_returnflag")),
-            )
-        ).alias("key"),
-    )
-    groups = keyed.groupBy("key").agg(F.collect_set("platform").alias("platforms"))
+    keyed = rows.select(F.concat(F.lit("P"), (F.col("l_suppkey") % 45).cast("string")).alias("platform"), F.explode(keys).alias("key"))
+    groups = stage(keyed.groupBy("key").agg(F.collect_set("platform").alias("platforms")), "platform-groups")
     gone = redundant_groups(groups, [], "key", "platforms")
     return groups.join(gone, "key", "left_semi").select("key", F.size("platforms").alias("platforms"))
 

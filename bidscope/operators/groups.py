@@ -2,11 +2,51 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bidscope.functions.keys import key_kind
 from bidscope.functions.scores import round_to
 from bidscope.functions.units import canonical_unit
+from bidscope.session import stage
+
+
+COVERS = 4_096  # masks that stand in one row
+_WORD = 63  # platforms of one mask word
+
+
+def _masks(sets: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
+    """Platform sets as bit masks: one word for every 63 different platforms there are."""
+    exploded = sets.select(*keys, "_set", F.explode_outer("_set").alias("_platform"))
+    numbered = exploded.filter("_platform IS NOT NULL").select("_platform").distinct()
+    # one row per platform there is, so this order is over a small table
+    numbered = stage(numbered.withColumn("_number", F.row_number().over(Window.orderBy("_platform")) - 1), "platform-numbers")
+    last = numbered.agg(F.max("_number")).first()[0] or 0
+    names = [f"_m{w}" for w in range(last // _WORD + 1)]
+    bit = F.expr(f"shiftleft(1L, cast(_number % {_WORD} as int))")
+    masks = [
+        F.coalesce(F.bit_or(F.when(F.expr(f"_number div {_WORD}") == w, bit)), F.lit(0).cast("long")).alias(name) for w, name in enumerate(names)
+    ]
+    return exploded.join(numbered, "_platform", "left").groupBy(*keys, "_set").agg(*masks), names
+
+
+def _cover_rows(covers: DataFrame, level: list[str], names: list[str]) -> DataFrame:
+    """The covers of a level in rows of ``COVERS``, those of most platforms first."""
+    order = Window.partitionBy(*level, "_covered").orderBy(F.col("_n").desc(), *names)
+    ranked = covers.withColumn("_rank", F.row_number().over(order))
+    return ranked.groupBy(*level, "_covered", F.expr(f"(_rank - 1) div {COVERS}").alias("_row")).agg(
+        F.array_sort(F.collect_list(F.struct("_rank", *names))).alias("_covers")
+    )
+
+
+def _semi(left: DataFrame, rows: DataFrame, level: list[str], test: Column, how: str) -> DataFrame:
+    """Rows of ``left`` for which a cover of their level passes (or none does)."""
+    renamed = rows.select(*[F.col(c).alias(f"_c_{c}") for c in [*level, "_covered"]], "_covers")
+    for name in [*level, "_covered"]:
+        test = F.col(name).eqNullSafe(F.col(f"_c_{name}")) & test
+    return left.join(renamed, test, how)
 
 
 def redundant_groups(groups: DataFrame, level: list[str], key: str, platforms: str) -> DataFrame:
@@ -14,36 +54,34 @@ def redundant_groups(groups: DataFrame, level: list[str], key: str, platforms: s
 
     A term group falls if an exact-code or four-digit-code group on two or more platforms
     covers at least half of its platforms; a four-digit-code group likewise against exact
-    ones. Only platform sets matter, so the comparison runs on the distinct sets: a set with
-    half its platforms in another must share one of its first n - ceil(n/2) + 1 platforms,
-    which gives an equality join, and the semi join emits no pairs.
+    ones. Only platform sets matter, so the test runs on the distinct sets, as bit masks. A set
+    inside another covers nothing that the other doesn't, so only maximal masks are kept, per level and kind
+    that they may cover. Masks stand in rows of ``COVERS``, large ones first; a group reads on only until one
+    covers it. No pairs of groups or sets are made. Null platforms do not count; a group without any platform falls
+    where there is a cover at all.
     """
     tagged = groups.select(
-        *level, key, key_kind(F.col(key)).alias("_kind"), F.array_sort(F.col(platforms)).alias("_set")
-    )
-    sets = tagged.select(*level, "_kind", "_set").distinct()
-    size = F.size("_set")
-    probes = (
-        sets.filter(F.col("_kind").isin("desc", "ncm4"))
-        .withColumn("_half", F.ceil(size / 2))
-        .withColumn("_platform", F.explode(F.expr("slice(_set, 1, cast(size(_set) - _half + 1 as int))")))
+        *level, key, key_kind(F.col(key)).alias("_kind"), F.array_sort(F.array_compact(F.array_distinct(platforms))).alias("_set")
     )
-    covers = (
-        sets.filter(F.col("_kind").isin("ncm", "ncm4") & (size >= 2))
-        .select(
-            *[F.col(c).alias(f"_c_{c}") for c in level],
-            F.col("_kind").alias("_c_kind"),
-            F.col("_set").alias("_c_set"),
-            F.explode("_set").alias("_c_platform"),
-        )
-    )
-    test = F.col("_platform") == F.col("_c_platform")
-    for name in level:
-        test = test & (F.col(name) == F.col(f"_c_{name}"))
-    test = test & ((F.col("_kind") == "desc") | (F.col("_c_kind") == "ncm"))
-    test = test & (F.size(F.array_intersect("_set", "_c_set")) >= F.col("_half"))
-    covered = probes.join(covers, test, "left_semi").select(*level, "_kind", "_set").distinct()
-    return tagged.join(covered, [*level, "_kind", "_set"], "left_semi").select(*level, key)
+    sets, names = _masks(tagged.select(*level, "_kind", "_set").distinct(), [*level, "_kind"])
+    sets = stage(sets.withColumn("_n", F.size("_set")), "platform-sets")
+
+    kinds = F.when(F.col("_kind") == "ncm", F.array(F.lit("desc"), F.lit("ncm4"))).when(F.col("_kind") == "ncm4", F.array(F.lit("desc")))
+    covers = sets.filter("_n >= 2").select(*level, F.explode(kinds).alias("_covered"), "_n", *names).distinct()
+    inside = F.exists("_covers", lambda c: _all(F.col(m).bitwiseAND(c[m]) == F.col(m) for m in names) & ~_all(F.col(m) == c[m] for m in names))
+    largest = _cover_rows(covers, level, names).filter("_row = 0")
+    maximal = stage(_semi(covers, largest, level, inside, "left_anti"), "maximal-sets")
+
+    half = F.ceil(F.col("_n") / 2)
+    shared = lambda c: sum((F.bit_count(F.col(m).bitwiseAND(c[m])) for m in names), F.lit(0))
+    probes = sets.filter(F.col("_kind").isin("desc", "ncm4")).withColumn("_covered", F.col("_kind"))
+    covered = _semi(probes, _cover_rows(maximal, level, names), level, F.exists("_covers", lambda c: shared(c) >= half), "left_semi")
+    on = [tagged[c].eqNullSafe(covered[c]) for c in [*level, "_kind", "_set"]]
+    return tagged.join(covered, on, "left_semi").select(*level, key)
+
+
+def _all(tests: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a & b, tests)
 
 
 def group_unit(items: DataFrame, keys: list[str], unit: str, order: Column | None = None) -> DataFrame:

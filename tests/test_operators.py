@@ -1,9 +1,10 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from bidscope.operators import skew
+from bidscope.operators import groups as group_operators, skew
 from bidscope.operators.groups import redundant_groups
 from bidscope.operators.joins import items_with_awards_nested, notice_items
 from bidscope.operators.matching import keyword_hits
@@ -61,12 +62,15 @@ def test_notice_items_links_once(spark):
     assert got == [("a", "hash"), ("b", "parts"), ("c", "hash")]
 
 
-def test_redundant_groups_match_brute_force(spark):
+@pytest.mark.parametrize(("kinds", "most", "in_a_row"), [(10, 5, 4096), (45, 12, 3), (150, 40, 7)])
+def test_redundant_groups_match_brute_force(spark, monkeypatch, kinds, most, in_a_row):
+    monkeypatch.setattr(group_operators, "COVERS", in_a_row)
     rng = random.Random(11)
     groups = []
-    for i in range(120):
+    for i in range(160):
         kind = rng.choice(["ncm", "ncm4", "desc"])
-        groups.append((rng.choice("xy"), f"{kind}:{i}", sorted(rng.sample("ABCDEFGHIJ", rng.randint(1, 5)))))
+        groups.append((rng.choice(["x", "y", None]), f"{kind}:{i}", rng.sample([f"P{k}" for k in range(kinds)], rng.randint(0, most))))
+    groups += groups[:9]
     df = spark.createDataFrame(groups, "level string, key string, platforms array<string>")
     got = {(r["level"], r["key"]) for r in redundant_groups(df, ["level"], "key", "platforms").collect()}
 
@@ -78,7 +82,23 @@ def test_redundant_groups_match_brute_force(spark):
             for lv, k, p in groups
         )
 
-    assert got == {(lv, k) for lv, k, p in groups if falls(lv, k, p)}
+    want = {(lv, k) for lv, k, p in groups if falls(lv, k, p)}
+    assert got == want and 0 < len(want) < len(groups)
+    assert redundant_groups(df.filter("false"), ["level"], "key", "platforms").count() == 0
+
+
+def test_redundant_groups_of_many_sets(spark):
+    """8,000 different sets of up to 45 platforms, none of which covers half of a term group's but one."""
+    platforms = F.transform(F.sequence(F.lit(0), F.lit(44)), lambda k: F.when(F.rand(3) < F.rand(4), k.cast("string")))
+    sets = spark.range(8000).select(
+        F.concat(F.when(F.col("id") % 2 == 0, "ncm:").otherwise("desc:"), F.col("id").cast("string")).alias("key"),
+        F.array_compact(platforms).alias("platforms"),
+    )
+    groups = spark.createDataFrame(sets.collect(), sets.schema)
+    got = {r["key"] for r in redundant_groups(groups, [], "key", "platforms").collect()}
+    rows = [(r["key"], sum(1 << int(p) for p in r["platforms"])) for r in groups.collect()]
+    covers = [m for k, m in rows if k.startswith("ncm:") and m.bit_count() >= 2]
+    assert got == {k for k, m in rows if k.startswith("desc:") and any((m & c).bit_count() * 2 >= m.bit_count() for c in covers)}
 
 
 def test_upsert_is_idempotent(spark):

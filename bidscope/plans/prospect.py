@@ -101,6 +101,7 @@ def prospect(
         subject=normalize_text(F.coalesce("subject", F.lit(""))),
         extra_info=normalize_text(F.coalesce("extra_info", F.lit(""))),
     )
+    texts = stage(texts, "prospect-texts")
     fields = F.explode(
         F.array(
             F.struct(F.lit("objeto").alias("field"), F.col("subject").alias("norm")),
@@ -111,9 +112,8 @@ def prospect(
     exclusions = _terms(configs, "exclusions")
     text_hits = keyword_hits(texts.select("notice_id", fields.alias("f")).select("notice_id", "f.*"), org_keywords, ["notice_id", "field"])
     own_items = items.join(wanted, "notice_id", "left_semi")
-    goods = spread(own_items.select("notice_id", "item_id", "item_no", "description"))
-    goods = evaluate_once(goods, norm=normalize_text(F.coalesce("description", F.lit(""))))
-    item_hits = keyword_hits(goods, org_keywords, ["notice_id", "item_id", "item_no"])
+    goods = own_items.select("notice_id", "item_id", "item_no", "description")
+    item_hits = keyword_hits(goods, org_keywords, ["notice_id", "item_id", "item_no"], "description", is_normal=False)
 
     asked = org_keywords.select("org_id", "keyword", "term", "position", "is_high", "is_medium")
     text_found = stage(text_hits.join(asked, "keyword"), "text-hits")

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from bidscope.operators import groups as group_operators, skew
+from bidscope.operators import groups as group_operators, matching, skew
 from bidscope.operators.groups import redundant_groups
 from bidscope.operators.joins import items_with_awards_nested, notice_items
 from bidscope.operators.matching import keyword_hits
@@ -26,14 +26,25 @@ def test_previous_values_equal_a_plain_lag(spark):
     assert got == wanted
 
 
-def test_keyword_hits_agree_for_short_and_long_lists(spark):
-    texts = spark.createDataFrame([(1, "software de gestao"), (2, "carro"), (3, ""), (4, "e mail")], "id int, norm string")
-    words = spark.createDataFrame([("soft",), ("gest",), ("arr",), ("e",), ("ma",), ("",)], "keyword string")
-    short = sorted(map(tuple, keyword_hits(texts, words, ["id"]).collect()))
-    long = sorted(map(tuple, keyword_hits(texts, words, ["id"], max_broadcast=1).collect()))
-    assert short == long == sorted(
-        (i, k) for i, t in ((1, "software de gestao"), (2, "carro"), (4, "e mail")) for k in ("soft", "gest", "arr", "e", "ma") if k in t
-    )
+@pytest.mark.parametrize("shard", [50_000, 1, 3])
+def test_keyword_hits_equal_a_plain_search(spark, monkeypatch, shard):
+    monkeypatch.setattr(matching, "SHARD_KEYWORDS", shard)
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choices("ab ç", k=rng.randint(0, 12)))) for i in range(150)]
+    rows += [(200, "software de gestao"), (201, "e mail"), (202, None), (203, ""), (204, "software de gestao")]
+    words = {"".join(rng.choices("ab ç", k=rng.randint(1, 4))) for _ in range(30)} | {"soft", "gest", "e", "a b", "software de gestao"}
+    texts = spark.createDataFrame(rows, "id int, norm string").repartition(3)
+    keywords = spark.createDataFrame([(w,) for w in [*words, *words, "", None]], "keyword string")
+    got = sorted(map(tuple, keyword_hits(texts, keywords, ["id"]).collect()))
+    assert got == sorted((i, w) for i, t in rows for w in words if t and w in t)
+    assert keyword_hits(texts, keywords.filter("false"), ["id"]).count() == keyword_hits(texts.filter("false"), keywords, ["id"]).count() == 0
+
+
+def test_keyword_hits_of_raw_texts(spark):
+    texts = spark.createDataFrame([(1, "AQUISIÇÃO de Cadeiras"), (2, None)], "id int, description string")
+    keywords = spark.createDataFrame([("aquisicao",), ("cadeira",), ("mesa",)], "keyword string")
+    got = keyword_hits(texts, keywords, ["id"], "description", is_normal=False).collect()
+    assert sorted(map(tuple, got)) == [(1, "aquisicao"), (1, "cadeira")]
 
 
 def test_chunks_hold_every_row_of_a_hot_key(spark):

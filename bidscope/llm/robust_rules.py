@@ -197,9 +197,8 @@ def quality_rules(docs: DataFrame, *others: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents, all columns kept, that the rules keep; rows of one id are told apart by their text."""
-    mark = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    texts = docs.select("doc_id", "lang", "source", "text", mark.alias("_mark"))
-    rejected = quality_rules(texts, "_mark").filter("not kept").select(F.col("doc_id").alias("_rejected"), "_mark").distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("_rejected")) & (mark == F.col("_mark"))
-    return docs.join(rejected, same, "left_anti")
+    """The documents, all columns kept, that the rules keep. Each row travels with its statistics, so that no text is
+    shuffled or looked up again."""
+    row = F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns])
+    judged = quality_rules(docs.select("doc_id", "lang", "source", "text", row.alias("_row")), "_row")
+    return judged.filter("kept").select("_row.*")

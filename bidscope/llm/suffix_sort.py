@@ -19,6 +19,8 @@ from bidscope.llm.repeats import Shard, Windows, identified, removed_mask, repea
 from bidscope.llm.rows import packed, unpacked
 
 BYTES = Windows(unit="bytes", size=400, gram=256, keep_first=False, shard_units=1 << 20)
+# For corpora: passages of 51 words begin at about 285 bytes, so all of them hold such a window.
+PASSAGES = Windows(unit="bytes", size=250, gram=128, keep_first=False, shard_units=1 << 20)
 
 
 class Suffixes:
@@ -200,7 +202,7 @@ def kept_text(text: str, spans: list[dict]) -> str:
     return data[~gone[character]].tobytes().decode()
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, windows: Windows = BYTES) -> DataFrame:
     """The documents, all columns kept, with the repeated bytes cut out of ``text``; a null text stays null."""
     keep = ["doc_id", "text"]
 
@@ -214,5 +216,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "_rest"])
 
     slim = packed(docs, keep)
-    found = find_repeats(slim).select(*keep, "_rest", "spans")
+    found = find_repeats(slim, windows).select(*keep, "_rest", "spans")
     return unpacked(found.mapInArrow(run, slim.schema), docs.columns, keep)

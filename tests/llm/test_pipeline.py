@@ -46,7 +46,7 @@ def test_one_of_each_group(steps):
 
 def test_repeats_are_cut_out(steps):
     before = rows_of(steps[2])
-    want = plain.shared_bytes([(i, r["text"]) for i, r in before.items()], 400)
+    want = plain.shared_bytes([(i, r["text"]) for i, r in before.items()], suffix_sort.PASSAGES.size)
     after = rows_of(steps[3])
     assert set(after) == set(before)
     for (i, text), (_, gone) in want.items():
@@ -58,7 +58,8 @@ def test_repeats_are_cut_out(steps):
 def test_leaks_go(steps, spark):
     before, after = rows_of(steps[3]), rows_of(steps[4])
     found = templates.contaminations(steps[3], spark.read.parquet(f"{SF}/benchmark.parquet"))
-    assert after == {i: r for i, r in before.items() if i not in {x["doc_id"] for x in found.collect()}}
+    leaks = {x["doc_id"] for x in found.collect()}
+    assert after == {i: r for i, r in before.items() if i not in leaks}
 
 
 def test_encoding(steps):

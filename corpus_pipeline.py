@@ -22,9 +22,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Long passages that stand elsewhere too are cut out of the texts."""
+    """Passages of about 50 words or more that stand elsewhere too are cut out of the texts."""
     ship_package(spark)
-    return suffix_sort.without_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return suffix_sort.without_repeats(docs, suffix_sort.PASSAGES).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

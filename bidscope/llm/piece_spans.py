@@ -6,6 +6,7 @@ import hashlib
 import heapq
 import re
 import struct
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -19,11 +20,12 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE_MODEL = 2
 
+NONE = -float("inf")
 SHORT_WORD = 128  # characters; longer words are merged through a heap
-CACHED_WORDS = 1 << 18  # words whose pieces a worker keeps; the store is emptied when full
+CACHED_WORDS = 1 << 19  # words whose pieces a worker keeps; the store is emptied when full
 CHUNK = 1 << 18  # characters of a text that are encoded at a time
 
-Piece = tuple[tuple[int, ...], tuple[int, ...]]  # ids, and how many characters each covers
+Word = tuple[bytes, bytes, bytes]  # ids and how many characters each covers, as <u4, and what the ids decode to
 
 
 def fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -114,7 +116,7 @@ class _Store(dict):
         super().__init__()
         self.make = make
 
-    def __missing__(self, word: str) -> Piece:
+    def __missing__(self, word: str) -> Word:
         value = self.make(word)
         if len(word) <= 64:
             if len(self) >= CACHED_WORDS:
@@ -231,37 +233,38 @@ class Model:
 
     # --- encoding
 
-    def merge(self, word: str) -> Piece:
+    def merge(self, word: str) -> Word:
         """Pieces of a stretch that nothing is merged across: the pair of the best score first, the leftmost of equals."""
         parts = self._merge_long(word) if len(word) > SHORT_WORD else self._merge_short(word)
-        ids: list[int] = []
+        ids = [*map(self.ids.get, parts)]
+        if None not in ids:
+            return array("I", ids).tobytes(), array("I", map(len, parts)).tobytes(), b"".join([self.surface[i] for i in ids])
+        every: list[int] = []
         counts: list[int] = []
-        for p in parts:
-            i = self.ids.get(p)
+        for p, i in zip(parts, ids):
             if i is not None or not self.fallback:
-                ids.append(self.unknown if i is None else i)
+                every.append(self.unknown if i is None else i)
                 counts.append(len(p))
             else:  # the bytes of a character that is no piece; the last one stands for it
                 own = [self.of_byte[b] for b in p.encode()]
-                ids += own
+                every += own
                 counts += [0] * (len(own) - 1) + [len(p)]
-        return tuple(ids), tuple(counts)
+        text = b"".join(Decoder(self, at_start=False).feed(every, True))
+        return array("I", every).tobytes(), array("I", counts).tobytes(), text
 
     def _merge_short(self, word: str) -> list[str]:
-        get, none = self.scores.get, -float("inf")
+        get = self.scores.get
         parts = list(word)
-        scores = [get(a + b, none) for a, b in zip(parts, parts[1:])]
-        while scores:
-            best = max(scores)
-            if best == none:
-                break
+        scores = [get(a + b, NONE) for a, b in zip(parts, parts[1:])]
+        while scores and (best := max(scores)) != NONE:
             i = scores.index(best)
-            parts[i] += parts[i + 1]
-            del parts[i + 1], scores[i]
+            joined = parts[i] + parts[i + 1]
+            parts[i : i + 2] = [joined]
+            del scores[i]
             if i < len(scores):
-                scores[i] = get(parts[i] + parts[i + 1], none)
+                scores[i] = get(joined + parts[i + 1], NONE)
             if i:
-                scores[i - 1] = get(parts[i - 1] + parts[i], none)
+                scores[i - 1] = get(parts[i - 1] + joined, NONE)
         return parts
 
     def _merge_long(self, word: str) -> list[str]:
@@ -289,17 +292,25 @@ class Model:
             offer(i)
         return [p for p in parts if p]
 
+    def stretches(self, text: str | None) -> Iterator[tuple[list[Word], np.ndarray]]:
+        """The words of a text, a stretch at a time, and where each of its characters begins in the source."""
+        for own, source in self.normalise(text or ""):
+            yield list(map(self.words.__getitem__, self.word.findall(own))), source
+
+    @staticmethod
+    def placed(found: list[Word], source: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The begin and end in the source of each piece of a stretch's words."""
+        counts = np.frombuffer(b"".join([x[1] for x in found]), "<u4")
+        at = source[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]
+        return at[:-1], at[1:]
+
     def encode(self, text: str | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Ids, and the begin and end in the source's UTF-8 bytes of each, a stretch of the text at a time.
 
         Only the last byte piece of a character has a range; those before it are empty at its begin.
         """
-        for own, source in self.normalise(text or ""):
-            found = list(map(self.words.__getitem__, self.word.findall(own)))
-            ids = np.fromiter(chain.from_iterable(x[0] for x in found), np.int64)
-            counts = np.fromiter(chain.from_iterable(x[1] for x in found), np.int64)
-            bounds = np.concatenate([[0], np.cumsum(counts)])
-            yield ids, source[bounds[:-1]], source[bounds[1:]]
+        for found, source in self.stretches(text):
+            yield np.frombuffer(b"".join([x[0] for x in found]), "<u4").astype(np.int64), *self.placed(found, source)
 
     # --- decoding
 
@@ -312,9 +323,9 @@ class Model:
 class Decoder:
     """Decodes ids as they come, keeping back the bytes of a character that may not be whole."""
 
-    def __init__(self, model: Model) -> None:
+    def __init__(self, model: Model, at_start: bool = True) -> None:
         self.model = model
-        self.at_start = True
+        self.at_start = at_start
         self.held = bytearray()
 
     def _bytes(self) -> list[bytes]:
@@ -399,15 +410,22 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
             out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "spans_sha256": []}
             for value in batch["text"]:
                 of_ids, of_text, of_spans = hashlib.sha256(), hashlib.sha256(), hashlib.sha256()
-                decoder, n = Decoder(m), len(begin) + len(end)
+                n = len(begin) + len(end)
                 of_ids.update(np.array(begin, "<u4").tobytes())
-                for ids, starts, stops in m.encode(value.as_py()):
-                    n += len(ids)
-                    of_ids.update(ids.astype("<u4").tobytes())
-                    of_spans.update(np.column_stack([starts, stops]).astype("<u8").tobytes())
-                    of_text.update(b"".join(decoder.feed(ids.tolist())))
+                decoder = Decoder(m)
+                for found, source in m.stretches(value.as_py()):
+                    ids = b"".join([x[0] for x in found])
+                    n += len(ids) // 4
+                    of_ids.update(ids)
+                    of_spans.update(np.column_stack(m.placed(found, source)).astype("<u8", copy=False).tobytes())
+                    # byte pieces never leave a word's characters open, so words decode by themselves but for the first
+                    first = 0
+                    while decoder.at_start and first < len(found):
+                        of_text.update(b"".join(decoder.feed(np.frombuffer(found[first][0], "<u4").tolist())))
+                        first += 1
+                    of_text.update(b"".join(decoder.feed([], True)))
+                    of_text.update(b"".join([x[2] for x in found[first:]]))
                 of_ids.update(np.array(end, "<u4").tobytes())
-                of_text.update(b"".join(decoder.feed([], True)))
                 for name, x in zip(out, (n, of_ids.hexdigest(), of_text.hexdigest(), of_spans.hexdigest())):
                     out[name].append(x)
             yield pa.record_batch([batch["doc_id"], *map(pa.array, out.values())], names=["doc_id", *out])

@@ -54,6 +54,8 @@ AROUND_WORDS = set(
 MAX_LINK_SHARE = 0.5  # of a slot's characters, where a page names no main region
 SAME_PAGES = 3  # pages that differ in the rest and hold the same text in a slot: it is no running text there
 MAX_PERIOD = 4  # tags in a repeated group
+MAX_DEPTH = 80  # nesting of a page's tree; texts of deeper blocks stand beside each other there
+ALIGNED = 400  # siblings that are aligned at a time
 MAX_BROADCAST_BYTES = 8 << 20
 FLUSH_HOSTS = 2_000  # hosts whose partial wrappers a task holds
 SALTS = 32
@@ -78,11 +80,14 @@ def parse(html: str | None) -> list:
     """The page as nested ``[label, children]``; a text slot is ``["#", text, characters inside links]``.
 
     Missing and stray end tags, comments, character references and unfinished pages are taken as
-    browsers take them, in one pass with a stack.
+    browsers take them, in one pass with a stack. A text nested deeper than ``MAX_DEPTH`` blocks becomes a
+    child of the block at that depth, labelled by the outermost of its deeper blocks that tells a main region
+    or what stands around it, else by its own; texts keep their order and none is lost.
     """
     source = html or ""
     root: list = ["", []]
     open_nodes, tags = [root], [""]
+    telling = [""]  # of the blocks below MAX_DEPTH
     text: list[str] = []
     in_link, link_chars, at = 0, 0, 0
 
@@ -90,13 +95,16 @@ def parse(html: str | None) -> list:
         nonlocal link_chars
         words = " ".join(entities.unescape("".join(text)).split())
         text.clear()
-        if words:
-            open_nodes[-1][1].append(["#", words, link_chars])
+        slot = ["#", words, link_chars]
+        if words and len(open_nodes) > MAX_DEPTH:
+            open_nodes[MAX_DEPTH - 1][1].append([telling[-1] or open_nodes[-1][0], [slot]])
+        elif words:
+            open_nodes[-1][1].append(slot)
         link_chars = 0
 
     def close(depth: int) -> None:
         end_slot()
-        del open_nodes[depth:], tags[depth:]
+        del open_nodes[depth:], tags[depth:], telling[depth:]
 
     while at < len(source):
         found = _TOKEN.search(source, at)
@@ -112,8 +120,10 @@ def parse(html: str | None) -> list:
         if found.group(1):
             if tag == "a":
                 in_link = max(0, in_link - 1)
+            elif tag == tags[-1]:
+                close(len(tags) - 1)
             elif tag in tags:
-                close(len(tags) - 1 - tags[::-1].index(tag))
+                close(next(i for i in range(len(tags) - 1, -1, -1) if tags[i] == tag))
             continue
         if tag in UNREAD:
             if not found.group(3).endswith("/"):
@@ -129,10 +139,14 @@ def parse(html: str | None) -> list:
                 close(len(tags) - 1)
             end_slot()
             node = [_label(tag, found.group(3)), []]
-            open_nodes[-1][1].append(node)
+            deep = len(open_nodes) >= MAX_DEPTH
+            if not deep:
+                open_nodes[-1][1].append(node)
             if tag not in VOID:
+                own = node[0] if deep and (_is_main(node[0]) or _is_around(node[0])) else ""
                 open_nodes.append(node)
                 tags.append(tag)
+                telling.append(telling[-1] or own)
     end_slot()
     return root
 
@@ -196,9 +210,17 @@ def _collapse(nodes: list) -> list:
 
 
 def _align(a: list, b: list) -> list:
-    """The longest common order of two lists of siblings; what only one of them has becomes optional."""
+    """The longest common order of two lists of siblings, so many at a time that it takes bounded memory and time
+    in proportion to their number; what only one of them has becomes optional."""
     if [x[0] for x in a] == [x[0] for x in b]:
         return [_merge(x, y) for x, y in zip(a, b)]
+    out: list = []
+    for at in range(0, max(len(a), len(b)), ALIGNED):
+        out += _common_order(a[at : at + ALIGNED], b[at : at + ALIGNED])
+    return _collapse(out)
+
+
+def _common_order(a: list, b: list) -> list:
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
@@ -216,7 +238,7 @@ def _align(a: list, b: list) -> list:
         else:
             x, j = b[j], j + 1
         out.append([x[0], _widen(x[1], "?"), *x[2:]])
-    return _collapse(out)
+    return out
 
 
 def wrapper_of(tree: list) -> list:

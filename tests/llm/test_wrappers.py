@@ -93,3 +93,33 @@ def test_what_a_host_repeats_goes_unless_a_page_has_nothing_else():
     assert texts_of([*htmls, "<body><div class=foot>Always the same</div></body>"])[-1] == "Always the same"
     named = [h.replace("div class=text", "article").replace("</p></div>", "</p></article>") for h in htmls]
     assert texts_of([*named, "<body><article></article><div class=foot>Always the same</div></body>"]) == [*stories, ""]
+
+
+DEEP = [
+    ("<html><body>" + "<div>" * 50_000 + "hello", "hello"),
+    ("<html><body>" + "<div>" * 5_000 + "a<p>b</p>c" + "</div>" * 5_000 + "d", "a\nb\nc\nd"),
+    ("<body>" + "<section><p>x</p><p>y</p>" * 900 + "<nav>menu</nav><p>end</p>", "\n".join(["x", "y"] * 900 + ["end"])),
+    ("<body>" + "<div>" * 300 + "<nav><ul><li><p>menu</p></ul></nav><p>text</p>", "text"),
+    ("<body>" + "<p>one</p><h2>two</h2>" * 3_000, "\n".join(["one", "two"] * 3_000)),
+    ("<body><article>" + "<p>long " * 20_000 + "</article>", "\n".join(["long"] * 20_000)),
+]
+
+
+def test_deep_and_long_pages(spark):
+    rows = [(i, f"http://h{i}.example/{i}", html) for i, (html, _) in enumerate(DEEP)]
+    rows += [(100 + i, f"http://h{i}.example/b{i}", html.replace("<body>", "<body><h1>T</h1>")) for i, (html, _) in enumerate(DEEP)]
+    got = {r["page_id"]: r["text"] for r in wrappers.main_text(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    for i, (_, text) in enumerate(DEEP):
+        assert got[i] == text
+        assert got[100 + i] == (text if "<article>" in DEEP[i][0] else "T\n" + text)
+
+
+def test_siblings_are_aligned_some_at_a_time(monkeypatch):
+    rng = random.Random(6)
+    pages = ["<body>" + "".join(rng.choice(["<p>a</p>", "<h2>b</h2>", "<ul><li>c</ul>"]) for _ in range(60)) for _ in range(4)]
+    monkeypatch.setattr(wrappers, "ALIGNED", 7)
+    whole = None
+    for html in pages:
+        whole = wrappers.merge_wrappers(whole, wrappers.wrapper_of(wrappers.parse(html)))
+    labels = set(wrappers._labels(whole))
+    assert {"body", "p", "h2", "ul", "li"} <= labels

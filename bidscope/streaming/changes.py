@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -117,6 +119,68 @@ def incremental_collect(stream: DataFrame, time: str, keys: list[str], lateness:
     return timed.withWatermark(time, lateness).dropDuplicatesWithinWatermark(keys)
 
 
+def _in_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], folder: str) -> StreamingQuery:
+    """Hands over everything there is, a batch at a time. What a batch writes under its number is replaced when the
+    batch is repeated after a failure, and never touched by another batch."""
+    return (
+        stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    )
+
+
+def collect_into(stream: DataFrame, time: str, keys: list[str], folder: str, lateness: str = "2 days") -> StreamingQuery:
+    """Appends the new rows of overlapping collection windows to ``folder``, each key once within ``lateness``.
+
+    Rows more than ``lateness`` behind the newest one of earlier batches come too late to be compared with the
+    few rows that are read back: they are listed under ``late`` and placed by ``collected``, so none is lost. A
+    batch reads back the rows of that stretch of time only and writes nothing but its own.
+    """
+    spark = stream.sparkSession
+    kept = stream.schema
+
+    def handle(batch: DataFrame, number: int) -> None:
+        rows = batch.persist()
+        newest = F.max(F.col(time).cast("timestamp")).alias("newest")
+        before = spark.read.schema("newest timestamp").parquet(f"{folder}/newest/batch={number - 1}").first()[0] if number else None
+        bound = F.lit(before).cast("timestamp") - F.expr(f"interval {lateness}")
+        is_late = F.coalesce(F.col(time).cast("timestamp") < bound, F.lit(False))
+        rows.filter(is_late).write.mode("overwrite").parquet(f"{folder}/late/batch={number}")
+        fresh = rows.filter(~is_late)
+        if number:
+            known = spark.read.schema(kept).option("basePath", f"{folder}/rows").parquet(f"{folder}/rows")
+            known = known.filter((F.col("batch") < number) & (F.col(time).cast("timestamp") >= bound))
+            fresh = insert_ignore(known, fresh, keys, [F.col(time)])
+        else:
+            fresh = first_per_key(fresh, keys, [F.col(time)])
+        fresh.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+        top = rows.agg(newest).select(F.greatest("newest", F.lit(before).cast("timestamp")).alias("newest"))
+        top.write.mode("overwrite").parquet(f"{folder}/newest/batch={number}")
+        rows.unpersist()
+
+    return _in_batches(stream, handle, folder)
+
+
+def collected(spark: SparkSession, folder: str, time: str, keys: list[str]) -> DataFrame:
+    """All that ``collect_into`` has gathered, late rows at their place: the first row of each key."""
+    read = lambda part: spark.read.parquet(f"{folder}/{part}").drop("batch")
+    return first_per_key(read("rows").unionByName(read("late")), keys, [F.col(time)])
+
+
+def count_days_into(stream: DataFrame, time: str, keys: list[str], folder: str) -> StreamingQuery:
+    """Appends each batch's counts per day and key. Counts add up, so a batch needs no state, writes only days that
+    it has rows of, and a row counts however late it comes."""
+
+    def handle(batch: DataFrame, number: int) -> None:
+        collection_by_day(batch, time, keys).write.mode("overwrite").parquet(f"{folder}/counts/batch={number}")
+
+    return _in_batches(stream, handle, folder)
+
+
+def days_so_far(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
+    """The counts of all batches of ``count_days_into``."""
+    counts = spark.read.parquet(f"{folder}/counts")
+    return counts.groupBy("day", *keys).agg(F.sum("rows_n").alias("rows_n"))
+
+
 def scrape_log_rows(runs: DataFrame) -> DataFrame:
     """Log rows of portal runs: status, rows found, message and duration per municipality and run."""
     ended = F.unix_millis(F.col("ended_at").cast("timestamp"))

@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -123,3 +124,32 @@ def test_first_snapshot_alerts_with_empty_old_value(spark):
     assert [(r["watch_id"], r["old_value"], r["new_value"]) for r in rows] == [(1, None, "aberta")]
     moved = changes.updated_snapshots(watches, current, ["status"])
     assert changes.detect_changes(moved, current, ["status"]).count() == 0
+
+
+def test_streams_over_late_files_equal_the_batch(spark, tmp_path):
+    rng = random.Random(9)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(rng.randrange(6), start + dt.timedelta(hours=rng.randrange(24 * 20)), k) for k in range(300)]
+    schema, keys, folder = "user int, at timestamp, k int", ["user", "day"], str(tmp_path)
+    days = {k: (at - start).days // 5 for _, at, k in rows}
+    day = F.col("at").cast("date")
+    for part in (3, 0, 1, 2, 9):  # the last one delivers nothing new
+        again = [r for r in rows if days[r[2]] == part or (part == 9 and r[2] % 7 == 0)]
+        spark.createDataFrame(again, schema).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
+        changes.collect_into(stream.withColumn("day", day), "at", keys, f"{folder}/c").awaitTermination()
+        if part != 9:
+            changes.count_days_into(stream, "at", ["user"], f"{folder}/d").awaitTermination()
+    got = sorted((r["user"], r["at"]) for r in changes.collected(spark, f"{folder}/c", "at", keys).collect())
+    first = {}
+    for user, at, _ in rows:
+        first[user, at.date()] = min(at, first.get((user, at.date()), at))
+    assert got == sorted((user, at) for (user, _), at in first.items())
+    assert spark.read.parquet(f"{folder}/c/late").count() > 100
+    counts = {(r["user"], r["day"]): r["rows_n"] for r in changes.days_so_far(spark, f"{folder}/d", ["user"]).collect()}
+    want = {}
+    for user, at, _ in rows:
+        want[user, at.date()] = want.get((user, at.date()), 0) + 1
+    assert counts == want
+    written = spark.read.parquet(f"{folder}/d/counts").groupBy("batch").agg(F.sum("rows_n").alias("n")).collect()
+    assert sum(r["n"] for r in written) == len(rows) and len(written) >= 4

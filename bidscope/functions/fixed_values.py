@@ -525,3 +525,10 @@ DEADLINE_KINDS = [
 ]
 
 SECONDARY_FILE_WORDS = ["anexo", "aviso", "extrato", "minuta", "ata", "errata"]
+
+# Display names of the notice report.
+REPORT_COLUMNS = {
+    "relevance": "Relevância", "municipality": "Município", "state": "UF", "org_tax_id": "CNPJ Órgão",
+    "subject": "Objeto", "modality": "Modalidade", "estimate": "Valor Estimado", "awarded": "Valor Homologado",
+    "status": "Situação", "published_at": "Data Publicação", "closes_at": "Encerramento Proposta",
+}

@@ -15,16 +15,10 @@ from bidscope.operators.joins import not_yet_opportunity
 from bidscope.operators.order_stats import HOT_ROWS, price_summary
 from bidscope.operators.skew import first_per_key, top_k
 
-REPORT_COLUMNS = {
-    "relevance": "Relevância", "municipality": "Município", "state": "UF", "org_tax_id": "CNPJ Órgão",
-    "subject": "Objeto", "modality": "Modalidade", "estimate": "Valor Estimado", "awarded": "Valor Homologado",
-    "status": "Situação", "published_at": "Data Publicação", "closes_at": "Encerramento Proposta",
-}
-
 
 def report_export(notices: DataFrame, path: str, file_format: str = "csv") -> None:
     """Write the notice list under its display names."""
-    shown = notices.select(*[F.col(c).alias(label) for c, label in REPORT_COLUMNS.items()])
+    shown = notices.select(*[F.col(c).alias(label) for c, label in fixed.REPORT_COLUMNS.items()])
     shown.write.mode("overwrite").format(file_format).option("header", "true").save(path)
 
 

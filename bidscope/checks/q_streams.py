@@ -10,7 +10,7 @@ from bidscope.checks.q_insight import OPP_SQL, user_opportunities
 from bidscope.checks.registry import query
 from bidscope.checks.star import AS_OF, NOTICE_SQL, as_of, notices, table
 from bidscope.session import shared_folder
-from bidscope.streaming import changes
+from bidscope.streaming import changes, ordered
 
 
 def _folder(spark, name):
@@ -31,6 +31,18 @@ def _deliveries(spark, sf, folder):
         yield spark.readStream.schema(events.schema).parquet(f"{folder}/in")
 
 
+def _ordered(spark, sf, observed, fields):
+    """Placed and mended rows of the event log, delivered by the week; every seventh event comes a week late."""
+    events, folder = table(spark, sf, "events"), _folder(spark, "ordered")
+    source, part = observed(events), F.expr("datediff(ts, date '2024-01-01') div 7 + if(event_id % 7 = 0, 1, 0)")
+    names = ["user_id", "ts", "event_id", fields]
+    for k in range(6):
+        observed(events.filter(part == k)).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(source.schema).parquet(f"{folder}/in")
+        ordered.place_into(stream, *names, folder).awaitTermination()
+    return ordered.mended_rows(source, spark.read.parquet(f"{folder}/placed"), *names)
+
+
 _OBS = "obs AS (SELECT user_id, ts, event_id, event_type AS status, CAST(CAST(floor(value / 10) AS BIGINT) AS VARCHAR) AS level FROM events)"
 
 
@@ -59,6 +71,13 @@ def change_stream(spark, sf):
     return changes.alerts_so_far(spark, folder).select("user_id", "event_id", "field", "old_value", "new_value")
 
 
+@query("C1_detect_changes_ordered", _HISTORY)
+def ordered_change_stream(spark, sf):
+    rows = _ordered(spark, sf, _observed, ["status", "level"])
+    alerts = changes.alerts_of(rows, "user_id", "ts", "event_id", ["status", "level"])
+    return alerts.select("user_id", "event_id", "field", "old_value", "new_value")
+
+
 @query(
     "C1_snapshot_alerts",
     f"""WITH {NOTICE_SQL}, w AS (SELECT *, CASE WHEN status = 'P' THEN 'O' WHEN modality_id = 5 THEN '' ELSE status END AS ls, CASE WHEN small_business THEN estimate ELSE estimate + 1 END AS le FROM notice)
@@ -107,15 +126,38 @@ def deadline_alerts(spark, sf):
 
 
 @query(
-    "C4_status_history",
-    """WITH l AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)
-SELECT user_id, event_id, p AS old_status, event_type AS new_status FROM l WHERE p IS NOT NULL AND p <> event_type""",
+    "C3_deadline_alerts_stream",
+    f"""WITH {_ALERTS} SELECT DISTINCT opportunity_id, user_id, kind, k AS days_left FROM d, (VALUES (3), (1), (0)) AS t(k)
+WHERE status NOT IN ('ganha', 'perdida', 'descartada') AND CAST(due AS DATE) - CAST(k AS INTEGER) IN (SELECT CAST(o_orderdate AS DATE) FROM orders)""",
 )
+def deadline_alert_stream(spark, sf):
+    """A run on every day with orders, in four deliveries; each repeats the last days of the one before."""
+    folder, opps = _folder(spark, "deadlines"), user_opportunities(spark, sf)
+    runs = table(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("day")).distinct()
+    for year in (1995, 1997, 1999, 2001):
+        delivered = f"day >= make_date({year}, 1, 1) - interval 5 days and day < make_date({year + 2}, 1, 1)"
+        runs.filter(delivered if year > 1995 else "day < date '1997-01-01'").write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(runs.schema).parquet(f"{folder}/in")
+        changes.run_once(changes.deadline_alert_stream(stream, "day", opps), f"{folder}/sent", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/sent").select("opportunity_id", "user_id", "kind", "days_left")
+
+
+_STATUS_CHANGES = """WITH l AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)
+SELECT user_id, event_id, p AS old_status, event_type AS new_status FROM l WHERE p IS NOT NULL AND p <> event_type"""
+
+
+@query("C4_status_history", _STATUS_CHANGES)
 def status_history(spark, sf):
     rows = changes.status_history(table(spark, sf, "events"), "user_id", "ts", "event_id", "event_type")
     return rows.select("user_id", "event_id", "old_status", "new_status")
 
 
+@query("C4_status_history_stream", _STATUS_CHANGES)
+def status_history_stream(spark, sf):
+    rows = _ordered(spark, sf, lambda events: events.select("user_id", "ts", "event_id", "event_type"), ["event_type"])
+    return changes.status_changes(rows, "user_id", "ts", "event_id", "event_type").select("user_id", "event_id", "old_status", "new_status")
+
+
 @query(
     "C5_config_change_flag",
     "SELECT r_regionkey AS org_id, r_regionkey IN (0, 2) AS pending, CASE WHEN r_regionkey IN (0, 2) THEN TIMESTAMP '2001-08-01' END AS changed_at FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)",

@@ -64,6 +64,11 @@ def change_history(
     The first observation of a key alerts with an empty old value.
     """
     rows = previous_values(observations, [key], F.date_trunc(bucket, F.col(time)), [time, tie], fields)
+    return alerts_of(rows, key, time, tie, fields)
+
+
+def alerts_of(rows: DataFrame, key: str, time: str, tie: str, fields: list[str]) -> DataFrame:
+    """Alerts of rows that stand beside their previous values, from a batch or a stream of placed rows."""
     return _alerts(rows, [key, time, tie], fields)
 
 
@@ -78,6 +83,11 @@ def open_flag_changes(observations: DataFrame, key: str, time: str, tie: str, cl
 def status_history(updates: DataFrame, key: str, time: str, tie: str, status: str) -> DataFrame:
     """One row per status change; the first status of a key is not a change."""
     rows = previous_values(updates, [key], F.date_trunc("day", F.col(time)), [time, tie], [status])
+    return status_changes(rows, key, time, tie, status)
+
+
+def status_changes(rows: DataFrame, key: str, time: str, tie: str, status: str) -> DataFrame:
+    """Status changes of rows that stand beside their previous status, from a batch or a stream of placed rows."""
     changed = F.col("has_previous") & ~F.col(f"previous_{status}").eqNullSafe(F.col(status))
     return rows.filter(changed).select(key, time, tie, F.col(f"previous_{status}").alias("old_status"), F.col(status).alias("new_status"))
 
@@ -87,17 +97,40 @@ def deadline_alerts(opportunities: DataFrame, today: Column, sent: DataFrame | N
 
     opportunities: opportunity_id, user_id, notice_id, status, internal_due (date), closes_at.
     """
+    rows = _due_dates(opportunities)
+    rows = rows.withColumn("days_left", F.datediff("due_date", today)).filter(F.col("days_left").isin(fixed.ALERT_DAYS))
+    if sent is None:
+        return first_per_key(rows, _ALERT_KEY, [F.col("due_date")])
+    return insert_ignore(sent, rows, _ALERT_KEY, [F.col("due_date")])
+
+
+_ALERT_KEY = ["opportunity_id", "kind", "days_left"]
+
+
+def _due_dates(opportunities: DataFrame) -> DataFrame:
+    """The deadlines of both kinds of the opportunities that are not closed."""
     active = opportunities.filter(~F.col("status").isin(fixed.CLOSED_STATUSES))
     dates = F.array(
         F.struct(F.lit("prazo_interno").alias("kind"), F.col("internal_due").cast("date").alias("due_date")),
         F.struct(F.lit("encerramento_proposta").alias("kind"), F.col("closes_at").cast("date").alias("due_date")),
     )
-    rows = active.select("opportunity_id", "user_id", "notice_id", F.inline(dates))
-    rows = rows.withColumn("days_left", F.datediff("due_date", today)).filter(F.col("days_left").isin(fixed.ALERT_DAYS))
-    key = ["opportunity_id", "kind", "days_left"]
-    if sent is None:
-        return first_per_key(rows, key, [F.col("due_date")])
-    return insert_ignore(sent, rows, key, [F.col("due_date")])
+    return active.select("opportunity_id", "user_id", "notice_id", F.inline(dates))
+
+
+def deadline_alert_stream(days: DataFrame, day: str, opportunities: DataFrame, memory: str = "10 days") -> DataFrame:
+    """Deadline alerts of a stream of run days, each once however often a day is run.
+
+    Every deadline becomes a row per day on which it alerts, so runs meet deadlines by an equal day. What was
+    alerted is remembered in the state store for ``memory`` after the run day; it must outlast the days on which
+    a run may be repeated. A run day behind the newest one by more than that is dropped, as its alerts are overdue.
+    Opportunities are read anew by each start of the stream.
+    """
+    ahead = F.explode(F.array(*map(F.lit, sorted(fixed.ALERT_DAYS)))).alias("days_left")
+    due = _due_dates(opportunities).filter("due_date is not null").select("*", ahead)
+    due = due.withColumn("_alert_day", F.date_sub("due_date", F.col("days_left")))
+    runs = days.select(F.col(day).cast("date").cast("timestamp").alias("_run")).withWatermark("_run", memory)
+    rows = runs.join(due, F.col("_run").cast("date") == F.col("_alert_day"))
+    return rows.dropDuplicatesWithinWatermark(_ALERT_KEY).drop("_run", "_alert_day")
 
 
 def config_change_flags(old: DataFrame, new: DataFrame, now: Column) -> DataFrame:

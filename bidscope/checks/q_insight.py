@@ -8,8 +8,9 @@ from bidscope.checks.q_joins import AWARD_SQL, award_rows, hashed_notices, item_
 from bidscope.checks.q_market import _GROUPS_SELECT, _groups_dedup
 from bidscope.checks.q_scalars import trigram_sql
 from bidscope.checks.registry import query
-from bidscope.checks.star import AS_OF, ITEM_SQL, MUNICIPALITY_SQL, NOTICE_SQL, as_of, items, municipalities, notices, r, rsum, stats_sql, table
+from bidscope.checks.star import AS_OF, ITEM_SQL, MUNICIPALITY_SQL, NOTICE_SQL, as_of, index_folder, items, municipalities, notices, r, rsum, stats_sql, table
 from bidscope.functions.scores import round_to
+from bidscope.operators import text_index
 from bidscope.plans import dossier, insight, market, session
 from bidscope.plans.pricing import best_awards
 
@@ -43,14 +44,21 @@ _ALIKE = f"""alike AS (SELECT d FROM (SELECT DISTINCT description AS d FROM item
   len(list_intersect({trigram_sql('d')}, {trigram_sql("'red widgets'")})) / len(list_distinct(list_concat({trigram_sql('d')}, {trigram_sql("'red widgets'")}))) >= 0.3)"""
 
 
-@query(
-    "D17_price_lookup_by_text",
-    f"""WITH {_BASE}, {_FLAT}, {_ALIKE} SELECT platform, {r('avg(reference)')} AS mean_unit, count(*) AS items FROM flat JOIN alike ON d = description GROUP BY platform""",
-)
+_BY_TEXT = f"""WITH {_BASE}, {_FLAT}, {_ALIKE} SELECT platform, {r('avg(reference)')} AS mean_unit, count(*) AS items FROM flat JOIN alike ON d = description GROUP BY platform"""
+
+
+@query("D17_price_lookup_by_text", _BY_TEXT)
 def price_lookup_by_text(spark, sf):
     return _lookup(spark, sf, text="red widgets").platforms
 
 
+@query("D17_price_lookup_by_index", _BY_TEXT)
+def price_lookup_by_index(spark, sf):
+    path = index_folder(spark, "descriptions")
+    text_index.write_trigram_index(items(spark, sf), "description", path)
+    return _lookup(spark, sf, text="red widgets", index=path).platforms
+
+
 @query(
     "D17_cheapest_items",
     f"""WITH {_BASE}, {_FLAT}, {_ALIKE} SELECT item_id, {r('reference')} AS reference, state FROM flat JOIN alike ON d = description

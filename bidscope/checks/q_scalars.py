@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from bidscope.checks.registry import query
 from bidscope.checks.star import (
-    AS_OF, ITEM_SQL, MUNICIPALITY_SQL, NOTICE_SQL, PLAIN_ITEM_SQL, as_of, items, municipalities, notices, r, table,
+    AS_OF, ITEM_SQL, MUNICIPALITY_SQL, NOTICE_SQL, PLAIN_ITEM_SQL, as_of, index_folder, items, municipalities, notices, r, table,
 )
 from bidscope.functions import fixed_values as fixed
 from bidscope.functions import keys, parsing, scores, text, units
+from bidscope.operators import text_index
 from bidscope.operators.matching import match_fields
 
 _SOURCE_HASH = "sha256('PNCP:' || org_tax_id || ':' || year || ':' || sequence)[1:32]"
@@ -633,6 +634,23 @@ def trigram_similarity(spark, sf):
     return table(spark, sf, "part").select("p_partkey", scores.round_to(value, 4).alias("similarity"))
 
 
+@query(
+    "H32_similar_texts",
+    f"""WITH {ITEM_SQL}, t AS (SELECT DISTINCT description AS d, {trigram_sql('description')} AS a FROM item),
+q AS (SELECT DISTINCT p_name || ' ' || lower(p_type) AS question, {trigram_sql("p_name || ' ' || lower(p_type)")} AS b FROM part),
+s AS (SELECT question, d, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) AS x FROM q, t)
+SELECT question, d AS description, {r('x', 6)} AS similarity FROM s WHERE x >= 0.3""",
+)
+def similar_texts(spark, sf):
+    """All names with their types against the stored index of the items' descriptions."""
+    path, described = index_folder(spark, "descriptions"), items(spark, sf).select("description").distinct()
+    text_index.write_trigram_index(described, "description", path)
+    asked = table(spark, sf, "part").select(F.concat_ws(" ", "p_name", F.lower("p_type")).alias("question"))
+    found = text_index.similar_texts(spark, path, asked, "question")
+    named = described.withColumn("key", text_index.text_key(F.col("description")))
+    return found.join(named, "key").select("question", "description", scores.round_to(F.col("similarity"), 6).alias("similarity"))
+
+
 _TOKENS = f"string_split_regex({_NORM}, '[^a-z0-9]+')"
 
 
@@ -650,6 +668,20 @@ def text_match(spark, sf):
     )
 
 
+@query(
+    "X1_text_index",
+    f"""SELECT doc_id, 'all' AS mode FROM documents WHERE len(list_intersect(list_distinct({_TOKENS}), ['the', 'with', 'from'])) = 3
+UNION ALL SELECT doc_id, 'any' FROM documents WHERE len(list_intersect({_TOKENS}, ['der', 'und'])) > 0""",
+)
+def text_by_index(spark, sf):
+    """The same searches answered by a stored index of all words."""
+    path, tokens = index_folder(spark, "words"), F.split(text.normalize_text(F.col("text")), "[^a-z0-9]+")
+    text_index.write_index(table(spark, sf, "documents"), F.col("doc_id"), tokens, path)
+    every = text_index.keys_with_terms(spark, path, ["the", "with", "from"])
+    either = text_index.keys_with_terms(spark, path, ["der", "und"], "any")
+    return every.withColumn("mode", F.lit("all")).unionByName(either.withColumn("mode", F.lit("any"))).withColumnRenamed("key", "doc_id")
+
+
 @query("X2_substring_match", f"SELECT doc_id, contains({_NORM}, 'tion d') AS hit FROM documents")
 def substring_match(spark, sf):
     return table(spark, sf, "documents").select(

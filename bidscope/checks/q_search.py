@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from bidscope.checks.registry import query
 from bidscope.checks.star import (
-    AS_OF, ITEM_SQL, MUNICIPALITY_SQL, NOTICE_SQL, as_of, items, municipalities, notices, r, table,
+    AS_OF, ITEM_SQL, MUNICIPALITY_SQL, NOTICE_SQL, as_of, index_folder, items, municipalities, notices, r, table,
 )
 from bidscope.functions import scores
 from bidscope.functions.keys import place_label
-from bidscope.operators import search
+from bidscope.functions.text import normalize_text, words
+from bidscope.operators import search, text_index
 
 _RANK = "CASE relevance WHEN 'ALTA' THEN 0 WHEN 'MEDIA' THEN 1 ELSE 2 END"
 _DEFAULT_ORDER = f"{_RANK}, published_at DESC, notice_id"
@@ -88,19 +89,30 @@ def org_domain_guard(spark, sf):
     return rows.select("notice_id", "modality_id", "status_id")
 
 
-@query(
-    "P9_search_notices_flexible",
-    f"""WITH {NOTICE_SQL} SELECT notice_id, estimate FROM notice WHERE is_open AND estimate BETWEEN 100000 AND 300000
-  AND list_contains(string_split(lower(subject), ' '), 'furniture') AND contains(lower(subject), 'urg') ORDER BY estimate DESC, notice_id LIMIT 50""",
-)
-def search_notices_flexible(spark, sf):
+_P9 = f"""WITH {NOTICE_SQL} SELECT notice_id, estimate FROM notice WHERE is_open AND estimate BETWEEN 100000 AND 300000
+  AND list_contains(string_split(lower(subject), ' '), 'furniture') AND contains(lower(subject), 'urg') ORDER BY estimate DESC, notice_id LIMIT 50"""
+
+
+def _flexible(spark, sf, index=None):
     rows = search.search_notices_flexible(
         _scored(spark, sf), ["furniture"], is_open=True, min_value=100000.0, max_value=300000.0,
-        keyword="URG", order="value", limit=50,
+        keyword="URG", order="value", limit=50, index=index,
     )
     return rows.select("notice_id", "estimate")
 
 
+@query("P9_search_notices_flexible", _P9)
+def search_notices_flexible(spark, sf):
+    return _flexible(spark, sf)
+
+
+@query("P9_search_notices_indexed", _P9)
+def search_notices_indexed(spark, sf):
+    path = index_folder(spark, "subjects")
+    text_index.write_index(notices(spark, sf), F.col("notice_id"), words(normalize_text(F.col("subject"))), path)
+    return _flexible(spark, sf, path)
+
+
 @query(
     "P10_search_items",
     f"""WITH {ITEM_SQL} SELECT notice_id, item_no, part_id, supplier_id, estimate, {r('coalesce(award, 0)')} AS award FROM item

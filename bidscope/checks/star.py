@@ -7,8 +7,12 @@ award. ``*_SQL`` hold the same views for the SQL side of the checks.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from bidscope.session import shared_folder
+
 AS_OF = "2001-08-01"
 
 
@@ -189,3 +193,8 @@ def stats_sql(source: str, keys: str, value: str, trim: bool = True) -> str:
         FROM {source} WHERE {value} IS NOT NULL))
     WHERE {keep})
   GROUP BY {k}"""
+
+
+def index_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a stored index."""
+    return f"{shared_folder(spark).rstrip('/')}/bidscope/{name}-{uuid.uuid4().hex}"

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from bidscope.functions.keys import relevance_rank
 from bidscope.functions.text import normalize_text, text_match, words
+from bidscope.operators.text_index import keys_with_terms
 from bidscope.sources.payloads import unit_ibge_code
 
 
@@ -135,9 +136,12 @@ def search_notices_flexible(
     notices: DataFrame, text_terms: list[str] | None = None, state: str | None = None,
     modality: str | None = None, relevance: str | None = None, is_open: bool | None = None,
     small_business: bool | None = None, min_value: float | None = None, max_value: float | None = None,
-    keyword: str | None = None, order: str = "relevance", limit: int = 20,
+    keyword: str | None = None, order: str = "relevance", limit: int = 20, index: str | None = None,
 ) -> DataFrame:
-    """Free-form search; every filter, the keyword one included, comes before the limit."""
+    """Free-form search; every filter, the keyword one included, comes before the limit.
+
+    ``index`` is the folder of a word index of the subjects by notice; with it the subjects are not searched.
+    """
     rows = notices
     for column, wanted in (("state", state), ("modality", modality), ("relevance", relevance),
                            ("is_open", is_open), ("small_business", small_business)):
@@ -147,7 +151,10 @@ def search_notices_flexible(
         rows = rows.filter(F.col("estimate") >= min_value)
     if max_value is not None:
         rows = rows.filter(F.col("estimate") <= max_value)
-    if text_terms:
+    if text_terms and index is not None:
+        found = keys_with_terms(rows.sparkSession, index, text_terms)
+        rows = rows.join(found.withColumnRenamed("key", "notice_id"), "notice_id", "left_semi")
+    elif text_terms:
         rows = rows.filter(text_match(words(normalize_text(F.col("subject"))), text_terms))
     if keyword:
         rows = rows.filter(F.exists("keywords", lambda k: F.contains(F.lower(k), F.lower(F.lit(keyword)))))

@@ -11,6 +11,7 @@ from bidscope.functions import fixed_values as fixed
 from bidscope.functions.keys import place_label
 from bidscope.functions.scores import money_sum, round_to
 from bidscope.functions.text import trigram_similarity, trigrams
+from bidscope.operators import text_index
 from bidscope.operators.joins import not_yet_opportunity
 from bidscope.operators.order_stats import HOT_ROWS, price_summary
 from bidscope.operators.skew import first_per_key, top_k
@@ -122,8 +123,14 @@ class PriceLookup:
     cheapest: DataFrame
 
 
-def similar_descriptions(items: DataFrame, text: str, threshold: float = 0.3) -> DataFrame:
-    """Items whose description is similar to a text; each distinct description is compared once."""
+def similar_descriptions(items: DataFrame, text: str, threshold: float = 0.3, index: str | None = None) -> DataFrame:
+    """Items whose description is similar to a text; each distinct description is compared once.
+
+    ``index`` is the folder of a trigram index of the descriptions; with it only the text's trigrams are read.
+    """
+    if index is not None:
+        alike = text_index.texts_like(items.sparkSession, index, text, threshold)
+        return items.join(alike, text_index.text_key(items["description"]) == alike["key"], "left_semi")
     distinct = items.select("description").distinct()
     wanted = trigrams(F.lit(text))
     alike = distinct.filter(trigram_similarity(trigrams(F.col("description")), wanted) >= threshold)
@@ -132,15 +139,15 @@ def similar_descriptions(items: DataFrame, text: str, threshold: float = 0.3) ->
 
 def price_lookup(
     items: DataFrame, awards: DataFrame, order: list[str], code: str | None = None, text: str | None = None,
-    state: str | None = None, since: Column | None = None, hot_rows: int = HOT_ROWS,
+    state: str | None = None, since: Column | None = None, hot_rows: int = HOT_ROWS, index: str | None = None,
 ) -> PriceLookup:
-    """Prices of items by exact code, or by similar description when no code is given."""
+    """Prices of items by exact code, or by similar description when no code is given (through ``index``, if there is one)."""
     rows = items.filter(F.col("estimate") > 0)
     if since is not None:
         rows = rows.filter(F.col("created_at") >= since)
     if state is not None:
         rows = rows.filter(F.col("state") == state)
-    rows = rows.filter(F.col("code") == code) if code is not None else similar_descriptions(rows, text or "")
+    rows = rows.filter(F.col("code") == code) if code is not None else similar_descriptions(rows, text or "", index=index)
     flat = rows.join(awards.select("item_id", "award_seq", "unit_award", "discount"), "item_id", "left")
     flat = flat.withColumn("reference", F.coalesce("unit_award", "estimate"))
     one = flat.withColumn("all", F.lit(0))

@@ -223,6 +223,19 @@ def page(spark, sf):
     return search.page(rows, search.order_columns("published"), 50, 100).select("notice_id").withColumn("total", total)
 
 
+@query(
+    "O2_seek_pages",
+    f"WITH {NOTICE_SQL} SELECT notice_id, published_at FROM notice WHERE is_open ORDER BY published_at DESC, notice_id LIMIT 50 OFFSET 100",
+)
+def seek_pages(spark, sf):
+    """The third page, each found behind the last row of the page before."""
+    rows = notices(spark, sf).filter("is_open").select("notice_id", "published_at")
+    order, after = [("published_at", True), ("notice_id", False)], None
+    for _ in range(2):
+        after = search.seek_page(rows, order, 50, after).tail(1)[0]
+    return search.seek_page(rows, order, 50, after)
+
+
 @query(
     "O3_prospect_order",
     f"WITH {_SCORED} SELECT notice_id, score, CAST(row_number() OVER (ORDER BY score DESC NULLS LAST, published_at DESC, notice_id) AS INTEGER) AS position FROM scored QUALIFY position <= 200",

@@ -14,7 +14,7 @@ from bidscope.functions import fixed_values as fixed
 from bidscope.functions.keys import notice_hash
 from bidscope.functions.scores import money_sum
 from bidscope.operators import tables
-from bidscope.session import shared_folder
+from bidscope.session import shared_folder, stage
 from bidscope.sources import dims, feeds, payloads
 
 
@@ -482,6 +482,24 @@ def portal_card_pages(spark, sf):
     return rows.select("page_id", F.md5("subject").alias("subject"), "url")
 
 
+@query(
+    "S17_portal_heading_pages",
+    f"""WITH {NOTICE_SQL}, h AS (SELECT notice_id, 'Licitação' || subject || 'n. ' || notice_id || '/' || year AS subject, 'https://town.example.org/licitacoes?x=1' AS url FROM notice
+  UNION ALL SELECT notice_id, 'Todos os editais da prefeitura ' || municipality, 'https://town.example.org/e/' || notice_id FROM notice) SELECT * FROM h WHERE length(subject) > 20""",
+)
+def portal_heading_pages(spark, sf):
+    # pages without tables and cards: headings and links that name a procurement, among others that do not;
+    # the pieces of a heading are trimmed and put together without blanks
+    n = notices(spark, sf)
+    html = F.concat(
+        F.lit("<html><body><h1>Editais e licitações desta prefeitura</h1><h3>Notícias da semana passada</h3><h2>Licitação <b>"), F.col("subject"),
+        F.lit("</b> n. "), F.col("notice_id").cast("string"), F.lit("/"), F.col("year").cast("string"), F.lit("</h2><p><a href='/e/"),
+        F.col("notice_id").cast("string"), F.lit("'>Todos os editais da prefeitura "), F.col("municipality"), F.lit("</a><a href='/x'>editais</a></p></body></html>"),
+    )
+    pages = n.select("notice_id", F.lit("https://town.example.org/licitacoes?x=1").alias("url"), html.alias("html"))
+    return feeds.portal_pages_to_notice(pages, "notice_id").select("notice_id", "subject", "url")
+
+
 @query(
     "S18_normalize_portal_row",
     f"""WITH {NOTICE_SQL} SELECT municipality, state, org_name, modality, relevance, source, year, count(*) AS notices, {rsum('estimate')} AS estimate FROM (
@@ -567,6 +585,23 @@ def failures_by_class(spark, sf):
     return payloads.failures_by_class(payloads.check_items(_raw_items(spark, sf)))
 
 
+_REASONS = ["missing number", "number not an integer", "number not positive"]
+
+
+@query(
+    "S22_observed_metrics",
+    f"""WITH {PLAIN_ITEM_SQL} SELECT unnest(['returned', 'valid', 'dropped', 'persisted', 'missing number', 'number not positive', 'number not an integer']) AS metric,
+  unnest([count(*), count(*) FILTER (item_no < 5), count(*) FILTER (item_no >= 5), count(*) FILTER (item_no < 5 AND code = 'SMALL'), count(*) FILTER (item_no = 5),
+    count(*) FILTER (item_no = 6), count(*) FILTER (item_no > 6)]) AS rows_n FROM item""",
+)
+def observed_metrics(spark, sf):
+    """Counts gathered while the valid items are written."""
+    checked = payloads.check_items(_raw_items(spark, sf))
+    rows, seen = payloads.observe_collection(checked, F.col("ncmNbsCodigo") == "SMALL", _REASONS)
+    stage(rows.filter("reject_reason is null").select("notice_id", "numeroItem"), "valid-items")
+    return spark.createDataFrame(list(seen.get.items()), "metric string, rows_n bigint")
+
+
 _EXPIRED = f"(NOT is_open AND awarded > 0 AND closes_at < TIMESTAMP '{AS_OF}' - INTERVAL 90 DAY)"
 
 

@@ -95,6 +95,51 @@ def snapshot_alerts(spark, sf):
     return rows.select("notice_id", "field", "old_value", "new_value")
 
 
+_WATCHED = ["status", "estimate", "awarded", "closes_at"]
+_WATCH_SQL = f"""{NOTICE_SQL}, w AS (SELECT notice_id, modality_id <> 4 AS active, status, CAST(CAST(floor(estimate) AS BIGINT) AS VARCHAR) AS estimate,
+  CASE WHEN modality_id = 1 THEN '' ELSE CAST(CAST(floor(awarded) AS BIGINT) AS VARCHAR) END AS awarded, CAST(CAST(closes_at AS DATE) AS VARCHAR) AS closes_at,
+  CASE WHEN status = 'P' THEN 'O' ELSE status END AS last_status, CASE WHEN modality_id = 2 THEN '1' ELSE CAST(CAST(floor(estimate) AS BIGINT) AS VARCHAR) END AS last_estimate,
+  CASE WHEN modality_id <> 3 THEN '0' END AS last_awarded, CAST(CAST(published_at AS DATE) + (CASE WHEN modality_id = 5 THEN 31 ELSE 30 END) AS VARCHAR) AS last_closes_at FROM notice)"""
+
+
+def _watched(spark, sf):
+    """Watches of all notices, and the notices with the four watched fields as they are now."""
+    n = notices(spark, sf)
+    amount = lambda c: F.floor(c).cast("long").cast("string")
+    day = lambda c: F.col(c).cast("date")
+    kind = F.col("modality_id")
+    current = n.select(
+        "notice_id", "status", amount("estimate").alias("estimate"), F.when(kind == 1, "").otherwise(amount("awarded")).alias("awarded"),
+        day("closes_at").cast("string").alias("closes_at"),
+    )
+    watches = n.select(
+        "notice_id", F.col("notice_id").alias("watch_id"), (kind != 4).alias("active"), F.when(F.col("status") == "P", "O").otherwise(F.col("status")).alias("last_status"),
+        F.when(kind == 2, "1").otherwise(amount("estimate")).alias("last_estimate"), F.when(kind != 3, "0").alias("last_awarded"),
+        F.date_add(day("published_at"), F.when(kind == 5, 31).otherwise(30)).cast("string").alias("last_closes_at"),
+    )
+    return watches, current
+
+
+@query(
+    "C1_watched_fields",
+    f"WITH {_WATCH_SQL} "
+    + " UNION ALL ".join(
+        f"SELECT notice_id, '{f}' AS field, last_{f} AS old_value, {f} AS new_value FROM w WHERE active AND {f} <> '' AND {f} <> coalesce(last_{f}, '')" for f in _WATCHED
+    ),
+)
+def watched_fields(spark, sf):
+    return changes.detect_changes(*_watched(spark, sf), _WATCHED).select("notice_id", "field", "old_value", "new_value")
+
+
+@query(
+    "C1_updated_snapshots",
+    f"WITH {_WATCH_SQL} SELECT notice_id, "
+    + ", ".join(f"CASE WHEN active AND {f} <> '' THEN {f} ELSE last_{f} END AS last_{f}" for f in _WATCHED) + " FROM w",
+)
+def updated_snapshots(spark, sf):
+    return changes.updated_snapshots(*_watched(spark, sf), _WATCHED).select("notice_id", *[f"last_{f}" for f in _WATCHED])
+
+
 @query(
     "C2_open_flag_change",
     """WITH f AS (SELECT user_id, ts, event_id, TIMESTAMP '2024-01-15' + INTERVAL (CAST(floor(value) AS BIGINT)) HOUR > ts AS flag FROM events),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from bidscope.functions.keys import relevance_rank
 from bidscope.functions.text import normalize_text, text_match, words
@@ -59,6 +59,33 @@ def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> Dat
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def seek_page(df: DataFrame, order: list[tuple[str, bool]], limit: int, after: Row | None = None) -> DataFrame:
+    """The page of rows behind the row ``after`` (the last of the page before; None: the first page).
+
+    ``order`` holds column names and whether they descend, and together tells all rows apart; a null is smaller
+    than any value. Every page costs a filter, which reaches the scan, and one page of rows a task, however far
+    down it lies. Rows that come in before ``after`` meanwhile don't shift the pages.
+    """
+    sorts = [F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_first() for c, down in order]
+    if after is not None:
+        beyond, same = F.lit(False), F.lit(True)
+        for c, down in order:
+            beyond, same = beyond | (same & _beyond(c, down, after[c])), same & F.col(c).eqNullSafe(F.lit(after[c]))
+        first, down = order[0]
+        # The first column's own bound is implied; said apart, it can be pushed into the scan.
+        df = df.filter((_beyond(first, down, after[first]) | F.col(first).eqNullSafe(F.lit(after[first]))) & beyond)
+    return df.orderBy(*sorts).limit(limit)
+
+
+def _beyond(column: str, down: bool, value) -> Column:
+    """Whether a row's value comes strictly after another in an order with nulls as the smallest."""
+    if value is None:
+        return F.lit(False) if down else F.col(column).isNotNull()
+    if down:
+        return (F.col(column) < F.lit(value)) | F.col(column).isNull()
+    return F.coalesce(F.col(column) > F.lit(value), F.lit(False))
+
+
 def guarded_code(df: DataFrame, column: str, wanted: int | None, active: list[int]) -> DataFrame:
     """Apply a code filter only if the code is one the organisation works with."""
     return df.filter(F.col(column) == wanted) if wanted is not None and wanted in active else df

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from bidscope.functions import fixed_values as fixed
 from bidscope.functions.keys import notice_hash
@@ -249,3 +249,16 @@ def failures_by_class(checked: DataFrame) -> DataFrame:
         .groupBy("reject_reason")
         .agg(F.count(F.lit(1)).alias("failures"))
     )
+
+
+def observe_collection(checked: DataFrame, persisted: Column, reasons: list[str]) -> tuple[DataFrame, Observation]:
+    """The checked rows, whose counts in total and by reason are gathered while they pass.
+
+    The counts cost no pass of their own: ``Observation.get`` holds them once an action, such as the write of the
+    rows, has run. They count the rows of that action's first run.
+    """
+    valid = F.col("reject_reason").isNull()
+    counts = {"returned": F.lit(True), "valid": valid, "dropped": ~valid, "persisted": valid & persisted}
+    counts |= {reason: F.col("reject_reason") == reason for reason in reasons}
+    seen = Observation()
+    return checked.observe(seen, *[F.count_if(test).alias(name) for name, test in counts.items()]), seen

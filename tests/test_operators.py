@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from bidscope.operators import groups as group_operators, matching, skew
+from bidscope.operators import groups as group_operators, matching, search, skew
 from bidscope.operators.groups import redundant_groups
 from bidscope.operators.joins import items_with_awards_nested, notice_items
 from bidscope.operators.matching import keyword_hits
@@ -126,3 +126,17 @@ def test_replace_partitions_touches_only_its_own(spark, tmp_path):
     replace_partitions(spark.createDataFrame([(9, "x")], "v int, state string"), path, ["state"])
     got = sorted((r["state"], r["v"]) for r in spark.read.parquet(path).collect())
     assert got == [("x", 9), ("y", 2)]
+
+
+def test_seek_pages_walk_all_rows_in_order(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([None, 1.0, 2.0, 2.5]), rng.choice([None, "a", "b"]), k) for k in range(60)]
+    df = spark.createDataFrame(rows, "score double, town string, k int")
+    for order in ([("score", True), ("k", False)], [("score", False), ("town", True), ("k", True)], [("town", True), ("score", False), ("k", False)]):
+        sorts = [F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_first() for c, down in order]
+        want, got, after = [r["k"] for r in df.orderBy(*sorts).collect()], [], None
+        while part := search.seek_page(df, order, 13, after).collect():
+            got += [r["k"] for r in part]
+            after = part[-1]
+        assert got == want
+    assert search.seek_page(df.filter("false"), [("k", False)], 5).count() == 0

@@ -153,3 +153,17 @@ def test_streams_over_late_files_equal_the_batch(spark, tmp_path):
     assert counts == want
     written = spark.read.parquet(f"{folder}/d/counts").groupBy("batch").agg(F.sum("rows_n").alias("n")).collect()
     assert sum(r["n"] for r in written) == len(rows) and len(written) >= 4
+
+
+def test_counts_are_gathered_while_rows_are_written(spark, tmp_path):
+    rows = [(k, [None, "bad", "worse"][k % 3] if k % 2 else None) for k in range(50)]
+    checked = spark.createDataFrame(rows, "k int, reject_reason string").repartition(4)
+    seen_rows, seen = payloads.observe_collection(checked, F.col("k") < 10, ["bad", "worse", "none"])
+    seen_rows.filter("reject_reason is null").write.parquet(str(tmp_path / "out"))
+    reasons = [r for _, r in rows]
+    valid = reasons.count(None)
+    want = {"returned": 50, "valid": valid, "dropped": 50 - valid, "persisted": sum(r is None for r in reasons[:10])}
+    assert seen.get == want | {"bad": reasons.count("bad"), "worse": reasons.count("worse"), "none": 0}
+    empty, none = payloads.observe_collection(checked.filter("false"), F.lit(True), ["bad"])
+    empty.write.parquet(str(tmp_path / "none"))
+    assert set(none.get.values()) == {0}

@@ -25,7 +25,7 @@ NAMES = ("x_length", "x_symbols", "x_lines", "x_repeats")
 SMALLEST_SPREAD = (1.0, 25.0, 35.0, 6.0)
 
 SUBSET = 0.75  # share of a group whose covariance has the smallest determinant
-STEPS = 4  # concentration steps
+FALLING = 1e-6  # a step counts as long as the determinant's logarithm falls by more than this
 MIN_GROUP = 200  # smaller groups are pooled by language, then all together
 MAX_DISTANCE = 18.467  # squared distance: chi-square (4) quantile at 0.999
 # Chi-square (4) quantiles at 0.75 and 0.975, and what makes covariances of such subsets consistent.
@@ -103,10 +103,10 @@ def _beside(rows: DataFrame, few: DataFrame, keys: list[str], small: bool) -> Da
     return rows.join(F.broadcast(few) if small else few, keys, "left")
 
 
-def _quartiles(rows: DataFrame) -> DataFrame:
+def _quartiles(points: DataFrame) -> DataFrame:
     """Median and spread of every coordinate per group, from counts of equal values."""
     each = F.explode(F.array(*[F.struct(F.lit(j).alias("_j"), F.col(x).alias("_x")) for j, x in enumerate(NAMES)]))
-    counts = rows.select("_group", each.alias("_e")).groupBy("_group", "_e._j", "_e._x").agg(F.count(F.lit(1)).alias("_n"))
+    counts = points.select("_group", "_w", each.alias("_e")).groupBy("_group", "_e._j", "_e._x").agg(F.sum("_w").alias("_n"))
     upto = F.sum("_n").over(Window.partitionBy("_group", "_j").orderBy("_x"))
     whole = F.sum("_n").over(Window.partitionBy("_group", "_j"))
     ranked = counts.withColumns({"_upto": upto, "_all": whole})
@@ -122,7 +122,7 @@ def _quartiles(rows: DataFrame) -> DataFrame:
 
 
 def _distance() -> Column:
-    """Squared Mahalanobis distance by forward substitution in the Cholesky factor of the row's group."""
+    """Squared Mahalanobis distance by forward substitution in the Cholesky factor beside the row."""
     z: list[Column] = []
     for j, name in enumerate(NAMES):
         rest = reduce(lambda a, k: a - F.col(f"_l{j}{k}") * z[k], range(j), F.col(name) - F.col(f"_m{j}"))
@@ -130,41 +130,79 @@ def _distance() -> Column:
     return reduce(add, [x * x for x in z])
 
 
-def _estimate(sums: DataFrame, factor: float) -> DataFrame:
-    """Mean and Cholesky factor of the covariance from exact sums; the smallest spreads are added."""
+def _estimate(sums: DataFrame, factor: float, *keys: str) -> DataFrame:
+    """Mean, Cholesky factor of the covariance and ``_det``, its determinant's logarithm, from exact sums.
+
+    A coordinate whose spread is below the smallest one takes that; others are as measured.
+    """
     d, n = len(NAMES), F.col("_n").cast("double")
     mean = [F.col(f"_s{j}").cast("double") / n for j in range(d)]
-    out = sums.select("_group", "_n", *[m.alias(f"_m{j}") for j, m in enumerate(mean)], *[F.col(f"_q{j}{k}") for j in range(d) for k in range(j + 1)])
+    out = sums.select(*keys, "_n", *[m.alias(f"_m{j}") for j, m in enumerate(mean)], *[F.col(f"_q{j}{k}") for j in range(d) for k in range(j + 1)])
     for j in range(d):
         for k in range(j + 1):
             cov = factor * (F.col(f"_q{j}{k}").cast("double") / n - F.col(f"_m{j}") * F.col(f"_m{k}"))
-            cov = cov + F.lit(SMALLEST_SPREAD[j] ** 2 if j == k else 0.0)
+            cov = F.greatest(cov, F.lit(SMALLEST_SPREAD[j] ** 2)) if j == k else cov
             rest = reduce(lambda a, i: a - F.col(f"_l{j}{i}") * F.col(f"_l{k}{i}"), range(k), cov)
+            # Rounding, or coordinates that depend on each other, must not leave a direction without spread.
             out = out.withColumn(f"_l{j}{k}", F.sqrt(F.greatest(rest, F.lit(1.0))) if j == k else rest / F.col(f"_l{k}{k}"))
-    return out.drop("_n", *[f"_q{j}{k}" for j in range(d) for k in range(j + 1)])
+    return _with_determinant(out.drop("_n", *[f"_q{j}{k}" for j in range(d) for k in range(j + 1)]))
+
+
+def _with_determinant(estimate: DataFrame) -> DataFrame:
+    return estimate.withColumn("_det", reduce(add, [2 * F.log(F.col(f"_l{j}{j}")) for j in range(len(NAMES))]))
 
 
 def _moments() -> list[Column]:
-    d, exact = len(NAMES), "decimal(38,0)"
-    first = [F.sum(F.col(NAMES[j]).cast(exact)).cast(exact).alias(f"_s{j}") for j in range(d)]
-    second = [F.sum((F.col(NAMES[j]) * F.col(NAMES[k])).cast(exact)).cast(exact).alias(f"_q{j}{k}") for j in range(d) for k in range(j + 1)]
-    return [F.count(F.lit(1)).alias("_n"), *first, *second]
+    """Exact sums over points, each as often as its rows."""
+    d, exact, n = len(NAMES), "decimal(38,0)", F.col("_w")
+    first = [F.sum((n * F.col(NAMES[j])).cast(exact)).cast(exact).alias(f"_s{j}") for j in range(d)]
+    second = [F.sum((n * F.col(NAMES[j]) * F.col(NAMES[k])).cast(exact)).cast(exact).alias(f"_q{j}{k}") for j in range(d) for k in range(j + 1)]
+    return [F.sum(n).alias("_n"), *first, *second]
 
 
-def _concentrate(rows: DataFrame, small: bool, estimate: DataFrame) -> DataFrame:
-    """One step: the closest share of every group gives the next estimate.
+def _concentrate(points: DataFrame, small: bool, estimate: DataFrame, share: float = SUBSET) -> DataFrame:
+    """One step: the closest share of every group, by each of its estimates, gives the next estimate.
 
-    Rows are counted and summed by narrow bands of distance; the bands up to the wanted share are added
+    Points are counted and summed by narrow bands of distance; the bands up to the wanted share are added
     up, so ties at the edge go in together and no group is ever sorted or held in one place.
     """
+    keys = ["_group", "_start"]
     band = F.floor(32 * F.log1p(_distance())).cast("long")
-    bands = _beside(rows, estimate, ["_group"], small).groupBy("_group", band.alias("_band")).agg(*_moments())
-    below = F.coalesce(F.sum("_n").over(Window.partitionBy("_group").orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    whole = F.sum("_n").over(Window.partitionBy("_group"))
-    kept = bands.withColumns({"_below": below, "_all": whole}).filter(F.col("_below") < SUBSET * F.col("_all"))
-    names = [c for c in bands.columns if c not in ("_group", "_band")]
-    sums = kept.groupBy("_group").agg(*[F.sum(c).alias(c) for c in names])
-    return _estimate(sums, SUBSET_FACTOR)
+    near = points.join(F.broadcast(estimate) if small else estimate, "_group")
+    bands = near.groupBy(*keys, band.alias("_band")).agg(*_moments())
+    before = Window.partitionBy(*keys).orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.coalesce(F.sum("_n").over(before), F.lit(0))
+    whole = F.sum("_n").over(Window.partitionBy(*keys))
+    kept = bands.withColumns({"_below": below, "_all": whole}).filter(F.col("_below") < share * F.col("_all"))
+    names = [c for c in bands.columns if c not in (*keys, "_band")]
+    sums = kept.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in names])
+    return _estimate(sums, SUBSET_FACTOR, *keys)
+
+
+def _smallest(points: DataFrame, small: bool) -> DataFrame:
+    """Per group the estimate with the smallest determinant that steps from three starts lead to: medians with
+    quartile spreads, the half closest by these, and all rows. Each start goes on while its determinant falls;
+    only those that still fall are worked on, and only their number reaches the driver."""
+    named = lambda rows, k: rows.withColumn("_start", F.lit(k))
+    middle = named(_with_determinant(_quartiles(points)), 0)
+    half = _concentrate(points, small, middle, 0.5).withColumn("_start", F.lit(1))
+    whole = named(_estimate(points.groupBy("_group").agg(*_moments()), SUBSET_FACTOR, "_group"), 2)
+    falling = stage(middle.unionByName(half).unionByName(whole), "quality-starts")
+    ended = None
+    # The starts themselves are no estimates of a subset, so the first step counts in any case.
+    falling = stage(_concentrate(points, small, falling), "quality-step")
+    while not falling.isEmpty():
+        after = _concentrate(points, small, falling)
+        old = falling.select("_group", "_start", F.struct(*falling.columns).alias("_old"), F.col("_det").alias("_was"))
+        both = stage(after.join(old, ["_group", "_start"]), "quality-step")
+        rests = both.filter(F.col("_det") >= F.col("_was") - FALLING).select("_old.*")
+        ended = rests if ended is None else ended.unionByName(rests)
+        falling = both.filter(F.col("_det") < F.col("_was") - FALLING).drop("_old", "_was")
+    if ended is None:
+        return falling.drop("_start", "_det")
+    columns = [c for c in ended.columns if c != "_group"]
+    best = ended.groupBy("_group").agg(F.min(F.struct("_det", "_start", F.struct(*columns).alias("_of"))).alias("_best"))
+    return best.select("_group", "_best._of.*").drop("_start", "_det")
 
 
 def quality_rules(docs: DataFrame, *others: str) -> DataFrame:
@@ -184,11 +222,10 @@ def quality_rules(docs: DataFrame, *others: str) -> DataFrame:
     small = rows.select("_lang", "_source").distinct().count() <= MAX_BROADCAST_GROUPS
     groups = stage(_pooled_groups(passed), "quality-groups")
     passed = _beside(passed, groups, ["_lang", "_source"], small)
-    estimate = _quartiles(passed)
-    for _ in range(STEPS):
-        estimate = stage(_concentrate(passed, small, estimate), "quality-estimate")
-    near = _beside(passed, estimate, ["_group"], small).filter(_distance() <= REWEIGHT)
-    estimate = _estimate(near.groupBy("_group").agg(*_moments()), REWEIGHT_FACTOR)
+    points = stage(passed.groupBy("_group", *NAMES).agg(F.count(F.lit(1)).alias("_w")), "quality-points")
+    estimate = stage(_smallest(points, small), "quality-estimate")
+    near = _beside(points, estimate, ["_group"], small).filter(_distance() <= REWEIGHT)
+    estimate = _estimate(near.groupBy("_group").agg(*_moments()), REWEIGHT_FACTOR, "_group")
     judged = _beside(_beside(rows, groups, ["_lang", "_source"], small), stage(estimate, "quality-estimate"), ["_group"], small)
     distance = F.when(~F.col("base_failed"), _distance())
     kept = ~F.col("base_failed") & F.coalesce(distance <= MAX_DISTANCE, F.lit(True))

@@ -31,19 +31,29 @@ def plain_verdicts(rows):
 
         def moments(part, factor):
             m = part.mean(0)
-            return m, np.linalg.cholesky(factor * (part.T @ part / len(part) - np.outer(m, m)) + np.diag(floor**2))
+            cov = factor * (part.T @ part / len(part) - np.outer(m, m))
+            np.fill_diagonal(cov, np.maximum(cov.diagonal(), floor**2))
+            return m, np.linalg.cholesky(cov)
 
         def distance(m, low, rows_x=rows_x):
             return (np.linalg.solve(low, (rows_x - m).T) ** 2).sum(0)
 
-        ordered = np.sort(rows_x, axis=0)
-        at = lambda q, o=ordered: o[int(np.ceil(q * len(o))) - 1]
-        m, low = at(0.5), np.diag(np.maximum((at(0.75) - at(0.25)) / 1.349, floor))
-        for _ in range(rules.STEPS):
+        def step(m, low, share=rules.SUBSET, rows_x=rows_x, moments=moments, distance=distance):
             band = np.floor(32 * np.log1p(distance(m, low)))
             values, counts = np.unique(band, return_counts=True)
             below = np.cumsum(counts) - counts
-            m, low = moments(rows_x[np.isin(band, values[below < rules.SUBSET * len(rows_x)])], rules.SUBSET_FACTOR)
+            return moments(rows_x[np.isin(band, values[below < share * len(rows_x)])], rules.SUBSET_FACTOR)
+
+        ordered = np.sort(rows_x, axis=0)
+        at = lambda q, o=ordered: o[int(np.ceil(q * len(o))) - 1]
+        middle = at(0.5), np.diag(np.maximum((at(0.75) - at(0.25)) / 1.349, floor))
+        ends = []
+        for start in (middle, step(*middle, share=0.5), moments(rows_x, rules.SUBSET_FACTOR)):
+            now, det = step(*start), lambda e: 2 * np.log(e[1].diagonal()).sum()
+            while det(after := step(*now)) < det(now) - rules.FALLING:
+                now = after
+            ends.append(now)
+        m, low = min(ends, key=det)
         m, low = moments(rows_x[distance(m, low) <= rules.REWEIGHT], rules.REWEIGHT_FACTOR)
         distances[member] = distance(m, low)
         kept[member] = distances[member] <= rules.MAX_DISTANCE

@@ -118,8 +118,9 @@ _CONFIDENCE = "CAST(CASE WHEN length(snippet) >= 50 THEN 0.9 WHEN length(snippet
 
 def _cleaned(spark, sf):
     from bidscope.operators.skew import evaluate_once
+    from bidscope.session import spread
 
-    return evaluate_once(tender_docs(spark, sf), clean=ops.clean_doc_text(F.col("text")))
+    return evaluate_once(spread(tender_docs(spark, sf)), clean=ops.clean_doc_text(F.col("text")))
 
 
 def _register_findings(name: str, kind: str) -> None:

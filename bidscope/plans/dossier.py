@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from bidscope.operators.similar import SET
 from bidscope.operators.skew import top_k
+from bidscope.plans.pricing import ReferencePrices, in_scale
 
 
 def _ranked(rows: DataFrame, keys: list[str], order: list[Column], limit: int | None) -> DataFrame:
@@ -65,27 +70,64 @@ def analyzed_status(notices: DataFrame, analyses: DataFrame) -> DataFrame:
     })
 
 
+@dataclass
+class ReferenceDetail:
+    """Reference prices with the lists behind them, each held once for all references that share it.
+
+    refs: ref_id, question, tier, ref_estimate. notice_lists: question, tier, notices. questions: ref_id, profile.
+    profile_lists: profile, items, platforms.
+    """
+
+    prices: DataFrame
+    refs: DataFrame
+    notice_lists: DataFrame
+    questions: DataFrame
+    profile_lists: DataFrame
+    max_notices: int | None = None
+
+    def rows(
+        self, notices: Callable[[Column], Column] = lambda x: x, items: Callable[[Column], Column] = lambda x: x,
+        platforms: Callable[[Column], Column] = lambda x: x,
+    ) -> DataFrame:
+        """One row per reference, with what the functions make of its whole lists.
+
+        A list of notices is narrowed for each reference; what is made of items and platforms is made once per
+        profile. A reference without a list has null, one whose list is narrowed to nothing an empty one.
+        """
+        own = F.filter("notices", lambda x: (x["notice_id"] != F.col("ref_id")) & in_scale(x["value"], "ref_estimate"))
+        if self.max_notices is not None:
+            own = F.slice(own, 1, self.max_notices)
+        listed = self.refs.join(self.notice_lists, SET).select("ref_id", notices(own).alias("notices"))
+        shared = self.profile_lists.select(
+            "profile", items(F.col("items")).alias("items"), platforms(F.col("platforms")).alias("platforms")
+        )
+        shared = self.questions.join(shared, "profile").drop("profile")
+        return (
+            self.prices.withColumnRenamed("notice_id", "ref_id")
+            .join(listed, "ref_id", "left").join(shared, "ref_id", "left")
+        )
+
+
 def reference_price_detail(
-    prices: DataFrame, notice_rows: DataFrame, item_rows: DataFrame, platforms: DataFrame,
-    max_notices: int | None = None, max_items: int | None = None,
-) -> DataFrame:
+    found: ReferencePrices, max_notices: int | None = None, max_items: int | None = None, notice_text: Column | None = None,
+) -> ReferenceDetail:
     """Reference prices with their similar notices, similar items (best first), and platforms.
 
-    notice_rows, item_rows: ref_id, similarity, ...; platforms: ref_id, platform, mean_unit, items.
+    ``notice_text``, of the columns of the similar notices, is a further field ``text`` of theirs, made once per set.
+    A list is one value of a row, in one task's memory.
     """
-    by_score = [F.col("similarity").desc()]
-    similar = _ranked(notice_rows, ["ref_id"], [*by_score, F.col("notice_id")], max_notices).groupBy("ref_id").agg(
-        F.array_sort(F.collect_list(F.struct("_rank", "notice_id", "value", "price_source", "similarity"))).alias("notices")
-    )
-    alike = _ranked(item_rows, ["ref_id"], [*by_score, F.col("item_id")], max_items).groupBy("ref_id").agg(
-        F.array_sort(F.collect_list(F.struct("_rank", "item_id", "value", "price_source", "similarity"))).alias("items")
-    )
-    sold = platforms.groupBy("ref_id").agg(
+    more = [] if notice_text is None else [notice_text.alias("text")]
+    best = lambda key, *fields: F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("_rank"), key, *fields)))
+    notice_lists = found.alike.members.groupBy(*SET).agg(best("notice_id", "value", "price_source", "similarity", *more).alias("notices"))
+    items = found.profile_items
+    if max_items is not None:
+        items = top_k(items, ["profile"], [F.col("similarity").desc(), F.col("item_id")], max_items)
+    items = items.groupBy("profile").agg(best("item_id", "value", "price_source", "similarity").alias("items"))
+    sold = found.profile_platforms.groupBy("profile").agg(
         F.array_sort(F.collect_list(F.struct((-F.col("items")).alias("order"), "platform", "mean_unit", "items"))).alias("platforms")
     )
-    return (
-        prices.withColumnRenamed("notice_id", "ref_id")
-        .join(similar, "ref_id", "left").join(alike, "ref_id", "left").join(sold, "ref_id", "left")
+    return ReferenceDetail(
+        found.prices, found.alike.refs, notice_lists, found.questions, items.join(sold, "profile", "full"), max_notices
     )
 
 

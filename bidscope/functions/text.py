@@ -41,12 +41,25 @@ def _folding() -> tuple[str, str, dict[str, str]]:
     return "".join(source), "".join(target), longer
 
 
+@functools.lru_cache(maxsize=1)
+def _has_longer() -> str:
+    """Pattern of the characters that unfold into several.
+
+    A class of many single characters tests each in turn; the bounds before it settle the common ones at once.
+    """
+    points = sorted(map(ord, _folding()[2]))
+    starts = [p for p in points if p - 1 not in points]
+    ends = [p for p in points if p + 1 not in points]
+    inside = "".join(f"\\u{a:04X}-\\u{b:04X}" for a, b in zip(starts, ends))
+    return f"[[\\u{points[0]:04X}-\\u{points[-1]:04X}]&&[{inside}]]"
+
+
 def normalize_text(text: Column) -> Column:
     """Drop accents and lower-case."""
     source, target, longer = _folding()
     unfold = pair_array(longer.items())
     expanded = F.aggregate(unfold, text, lambda acc, p: F.replace(acc, p["a"], p["b"]))
-    has_longer = F.rlike(text, F.lit("[" + "".join(longer) + "]"))
+    has_longer = F.rlike(text, F.lit(_has_longer()))
     folded = F.translate(F.when(has_longer, expanded).otherwise(text), source, target)
     return F.lower(F.regexp_replace(folded, r"\p{M}+", ""))
 

@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from bidscope.functions.text import trigrams
+from bidscope.operators.skew import evaluate_once
 
 BUCKETS = 64  # folders of terms
 FILES = 4  # files that the postings of a bucket are dealt into at least, so that a frequent term is not one task's
@@ -24,11 +25,7 @@ def _bucket(term: Column, buckets: int) -> Column:
 def write_index(rows: DataFrame, key: Column, terms: Column, path: str, buckets: int = BUCKETS) -> None:
     """Index of the non-empty terms of every row. Rows of an equal key, a null one included, count as one text;
     a row without terms is in no posting."""
-    listed = rows.select(key.alias("key"), terms.alias("_terms")).withColumn("_terms", F.filter("_terms", lambda t: t != ""))
-    once = listed.select("key", F.explode("_terms").alias("term")).distinct()
-    sizes = once.groupBy(F.col("key").alias("_of")).agg(F.count(F.lit(1)).alias("n"))
-    posted = once.join(sizes, F.col("key").eqNullSafe(F.col("_of"))).select("key", "term", "n")
-    posted = posted.withColumn("bucket", _bucket(F.col("term"), buckets))
+    posted = _posted(rows, key, terms).withColumn("bucket", _bucket(F.col("term"), buckets))
     part = F.pmod(F.xxhash64("key"), F.lit(FILES))
     dealt = posted.repartition(F.col("bucket"), part).sortWithinPartitions("bucket", "term")
     dealt.write.partitionBy("bucket").parquet(f"{path}/postings")
@@ -37,6 +34,18 @@ def write_index(rows: DataFrame, key: Column, terms: Column, path: str, buckets:
     counted.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
 
 
+def _posted(rows: DataFrame, key: Column, terms: Column) -> DataFrame:
+    """``term, key, n`` with one row per key and term, n being the key's number of terms.
+
+    Terms are made once per row and stay together until all of a key's are known, so that its number needs no
+    further look at them. Nulls among the terms are left away.
+    """
+    listed = evaluate_once(rows.select(key.alias("key"), terms.alias("_terms")), _terms=F.array_distinct("_terms"))
+    merged = listed.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("_terms"))).alias("_terms"))
+    merged = evaluate_once(merged, _terms=F.filter("_terms", lambda t: t != ""))
+    return merged.select(F.explode("_terms").alias("term"), "key", F.size("_terms").cast("long").alias("n"))
+
+
 def _postings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(spark.read.parquet(f"{path}/schema").schema).parquet(f"{path}/postings")
 

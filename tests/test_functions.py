@@ -128,3 +128,10 @@ def test_reliability_bands(one):
 def test_trigram_similarity(one):
     got = one(text.trigram_similarity(text.trigrams(lit("word")), text.trigrams(lit("two words"))))
     assert got == pytest.approx(4 / 11)
+
+
+def test_characters_that_unfold_into_several_are_found_by_ranges(spark):
+    longer = text._folding()[2]
+    points = spark.range(0x10000).filter("id < 55296 or id > 57343").select(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c"))
+    assert {r["c"] for r in points.filter(F.rlike("c", F.lit(text._has_longer()))).collect()} == set(longer)
+    assert len(text._has_longer()) < len(longer) * 12  # neighbours share a range

@@ -68,3 +68,12 @@ def test_an_empty_table_has_an_empty_index(spark, texts, tmp_path):
 def test_a_threshold_of_nothing_is_refused(spark, index):
     with pytest.raises(ValueError):
         text_index.texts_like(spark, index, "red", 0.0)
+
+
+def test_terms_are_made_once_and_moved_once(texts):
+    posted = text_index._posted(texts, F.col("term"), F.split("description", "[^a-z0-9]+"))
+    plan = posted._jdf.queryExecution().optimizedPlan().toString()
+    once = plan.count("split(")
+    assert once == 1 and "Join" not in plan and plan.count("Aggregate") == 1
+    got = {(r["key"], r["term"]): r["n"] for r in posted.collect()}
+    assert got and all(n == sum(k == key for k, _ in got) for (key, _), n in got.items())

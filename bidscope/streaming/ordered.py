@@ -7,8 +7,10 @@ stream stops) is found by a job over the source, which also mends the rows that
 
 from __future__ import annotations
 
+import bisect
 import pickle
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -18,54 +20,76 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from bidscope.operators.skew import previous_values
 
 HELD_ROWS = 100_000  # rows of one key that its state holds; beyond it the oldest half leaves early
+GROUPS = 1024  # states that the keys are dealt over: a call of the engine and a value of the store are for many keys
+OUT_ROWS = 100_000  # rows that leave at a time
 
 
 def _placer(names: list[str], fields: int, held_rows: int):
-    """Function of (key, rows, state) that holds rows and lets them go in order.
+    """Function of (group, rows, state) that holds the rows of a group's keys and lets them go in order.
 
-    Rows are tuples (microseconds, tie, *fields). The state is the last row that left and the held ones.
+    Rows are tuples (microseconds, tie, *fields). The state is each key's last row that left, and its held ones.
     """
+    read = names[: 3 + fields]
 
-    def leave(key: tuple, rows: list[tuple], last: tuple | None) -> pd.DataFrame:
-        before = [last, *rows[:-1]]
-        values = [
-            (key[0], *row, old is not None, *(old[2:] if old is not None else (None,) * fields)) for row, old in zip(rows, before)
-        ]
-        return pd.DataFrame(values, columns=names, dtype=object)
+    def leave(key: object, rows: list[tuple], last: tuple | None) -> Iterator[tuple]:
+        for row in rows:
+            yield (key, *row, last is not None, *(last[2:] if last is not None else (None,) * fields))
+            last = row
+
+    def place(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, held = pickle.loads(state.get[0]) if state.exists else ({}, {})
+        out: list[tuple] = []
+
+        def let_go(key: object, n: int) -> None:
+            rows = held[key]
+            out.extend(leave(key, rows[:n], last.get(key)))
+            last[key] = rows[n - 1]
+            held[key] = rows[n:]
 
-    def place(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, held = pickle.loads(state.get[0]) if state.exists else (None, [])
         if not state.hasTimedOut:
             for part in parts:
-                rows = part[names[1 : 3 + fields]].astype(object)
-                held += [row for row in rows.where(rows.notna(), None).itertuples(index=False, name=None) if row[0] is not None]
-                held = [row for row in held if last is None or row[:2] > last[:2]]
-                if len(held) > held_rows:
-                    held.sort(key=lambda row: row[:2])
-                    gone, held = held[: len(held) // 2], held[len(held) // 2 :]
-                    yield leave(key, gone, last)
-                    last = gone[-1]
+                rows = part[read].astype(object)
+                touched = set()
+                for key, *row in zip(*[c.tolist() for _, c in rows.where(rows.notna(), None).items()]):
+                    old = last.get(key)
+                    if row[0] is not None and (old is None or (row[0], row[1]) > old[:2]):
+                        held.setdefault(key, []).append(tuple(row))
+                        touched.add(key)
+                for key in touched:
+                    if len(held[key]) > held_rows:
+                        held[key].sort(key=_place)
+                        let_go(key, len(held[key]) // 2)
+                if len(out) >= OUT_ROWS:
+                    yield pd.DataFrame(out, columns=names, dtype=object)
+                    out.clear()
         mark = state.getCurrentWatermarkMs()
-        held.sort(key=lambda row: row[:2])
-        gone = [row for row in held if row[0] <= mark * 1000]
-        if gone:
-            yield leave(key, gone, last)
-            last, held = gone[-1], held[len(gone) :]
-        state.update((pickle.dumps((last, held)),))
+        for key, rows in held.items():
+            rows.sort(key=_place)
+            if n := bisect.bisect_right(rows, mark * 1000, key=lambda row: row[0]):
+                let_go(key, n)
+        if out:
+            yield pd.DataFrame(out, columns=names, dtype=object)
+        held = {key: rows for key, rows in held.items() if rows}
+        state.update((pickle.dumps((last, held), pickle.HIGHEST_PROTOCOL),))
         if held:
-            state.setTimeoutTimestamp(max(held[0][0] // 1000, mark + 1))
+            state.setTimeoutTimestamp(max(min(rows[0][0] for rows in held.values()) // 1000, mark + 1))
 
     return place
 
 
+_place = itemgetter(0, 1)
+
+
 def placed_rows(
-    stream: DataFrame, key: str, time: str, tie: str, fields: list[str], lateness: str = "2 days", held_rows: int = HELD_ROWS
+    stream: DataFrame, key: str, time: str, tie: str, fields: list[str], lateness: str = "2 days", held_rows: int = HELD_ROWS,
+    groups: int = GROUPS,
 ) -> DataFrame:
     """``key, time, tie, fields, has_previous, previous_<field>`` of a stream, in the columns of ``previous_values``.
 
     A row is placed once the newest row seen is ``lateness`` ahead of it. ``tie`` tells rows of equal time apart and
     is not null. A key's state holds its rows of that stretch; when they are more than ``held_rows``, the oldest half
     leaves early. Rows without a time, and rows older than the last placed one of their key, are not placed here.
+    Keys are dealt over ``groups`` states, the null key apart; the number stays the same as long as a checkpoint is used.
     """
     kinds = {f.name: f.dataType for f in stream.schema}
     timed = stream.select(key, F.col(time).cast("timestamp").alias("_time"), tie, *fields).withWatermark("_time", lateness)
@@ -74,7 +98,9 @@ def placed_rows(
     names = ["_key", "_micros", "_tie", *values, "has_previous", *[f"_p{i}" for i in range(len(fields))]]
     types = [kinds[key].simpleString(), "bigint", kinds[tie].simpleString(), *[kinds[f].simpleString() for f in fields], "boolean", *[kinds[f].simpleString() for f in fields]]
     schema = ", ".join(f"{n} {t}" for n, t in zip(names, types))
-    placed = rows.groupBy("_key").applyInPandasWithState(
+    # nulls beside whole numbers would turn them into floating-point ones in pandas
+    group = F.when(F.col("_key").isNull(), -1).otherwise(F.pmod(F.xxhash64("_key"), F.lit(groups))).cast("int")
+    placed = rows.withColumn("_group", group).groupBy("_group").applyInPandasWithState(
         _placer(names, len(fields), held_rows), schema, "kept binary", "append", GroupStateTimeout.EventTimeTimeout
     )
     return placed.select(
@@ -85,10 +111,11 @@ def placed_rows(
 
 
 def place_into(
-    stream: DataFrame, key: str, time: str, tie: str, fields: list[str], folder: str, lateness: str = "2 days", held_rows: int = HELD_ROWS
+    stream: DataFrame, key: str, time: str, tie: str, fields: list[str], folder: str, lateness: str = "2 days", held_rows: int = HELD_ROWS,
+    groups: int = GROUPS,
 ) -> StreamingQuery:
     """Appends placed rows to ``folder/placed`` until everything available is read; nothing is written twice."""
-    rows = placed_rows(stream, key, time, tie, fields, lateness, held_rows)
+    rows = placed_rows(stream, key, time, tie, fields, lateness, held_rows, groups)
     return (
         rows.writeStream.format("parquet").option("path", f"{folder}/placed").option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(availableNow=True).start()

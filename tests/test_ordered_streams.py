@@ -75,3 +75,18 @@ def test_repeated_runs_alert_once(spark, tmp_path):
         for k in range(3) for r in changes.deadline_alerts(opps, F.lit(day + dt.timedelta(k))).collect()
     ]
     assert sorted(got) == sorted(want) and len(got) == 5
+
+
+def test_many_keys_share_a_state(spark, tmp_path):
+    big = 2**60 + 1  # stays whole beside null keys and null values
+    rows = [(k if k else None, START + dt.timedelta(hours=h), big + k, "a" if h else None) for k in range(200) for h in (0, 50, 90)]
+    schema, names = "k bigint, t timestamp, i bigint, status string", ["k", "t", "i", ["status"]]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/in")
+    run = ordered.place_into(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), *names, str(tmp_path), groups=5)
+    run.awaitTermination()
+    states = [o["numRowsTotal"] for p in run.recentProgress for o in p["stateOperators"]]
+    assert states and max(states) <= 6  # five groups and the null key
+    source, placed = spark.read.parquet(f"{tmp_path}/in"), spark.read.parquet(f"{tmp_path}/placed")
+    want = previous_values(source, ["k"], F.date_trunc("day", F.col("t")), ["t", "i"], ["status"])
+    show = lambda df: sorted(map(tuple, df.select("k", "t", "i", "status", "has_previous", "previous_status").collect()), key=repr)
+    assert show(ordered.mended_rows(source, placed, *names)) == show(want) and placed.count() == 200

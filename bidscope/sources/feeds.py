@@ -341,8 +341,11 @@ def portal_pages_to_notice(
 ) -> DataFrame:
     """Listing rows of each page: tables, else cards, else headings; optionally by published day.
 
-    The table rows also decide which pages go on to the cards, so they are staged.
+    The table rows also decide which pages go on to the cards, so they are staged. Pages of few files are dealt
+    over all cores first, as the work is in their texts.
     """
+    if len(pages.inputFiles()) < pages.sparkSession.sparkContext.defaultParallelism:
+        pages = pages.repartition(key)
     from_tables = stage(table_listings(pages, [key]).drop("table_no", "row_no"), "table-listings")
     has_cards = F.rlike(
         "html",

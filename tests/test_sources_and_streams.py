@@ -167,3 +167,11 @@ def test_counts_are_gathered_while_rows_are_written(spark, tmp_path):
     empty, none = payloads.observe_collection(checked.filter("false"), F.lit(True), ["bad"])
     empty.write.parquet(str(tmp_path / "none"))
     assert set(none.get.values()) == {0}
+
+
+def test_pages_of_one_file_are_dealt_over_all_cores(spark, tmp_path):
+    html = "<html><body><h2>Licitação de material de escritório n. 1/2024</h2></body></html>"
+    spark.createDataFrame([(i, "https://x.org/a", html) for i in range(40)], "page_id int, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages")
+    rows = feeds.portal_pages_to_notice(spark.read.parquet(f"{tmp_path}/pages"), "page_id")
+    assert "REPARTITION_BY_COL" in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["page_id"] for r in rows.collect()) == list(range(40))

@@ -55,13 +55,17 @@ def _has_longer() -> str:
 
 
 def normalize_text(text: Column) -> Column:
-    """Drop accents and lower-case."""
+    """Drop accents and lower-case.
+
+    A text with as many bytes as characters has nothing to fold.
+    """
     source, target, longer = _folding()
     unfold = pair_array(longer.items())
     expanded = F.aggregate(unfold, text, lambda acc, p: F.replace(acc, p["a"], p["b"]))
     has_longer = F.rlike(text, F.lit(_has_longer()))
     folded = F.translate(F.when(has_longer, expanded).otherwise(text), source, target)
-    return F.lower(F.regexp_replace(folded, r"\p{M}+", ""))
+    plain = F.octet_length(text) == F.char_length(text)
+    return F.lower(F.when(plain, text).otherwise(F.regexp_replace(folded, r"\p{M}+", "")))
 
 
 def normalized(value: str) -> str:
@@ -86,9 +90,15 @@ def synonym_map(synonyms: dict[str, str] | None = None) -> Column:
 
 
 def apply_synonyms(terms: Column, synonyms: dict[str, str] | None = None) -> Column:
-    """Map every term to its canonical form; one step, never chained."""
+    """Map every term to its canonical form; one step, never chained.
+
+    The map is read entry by entry, so only terms that are in it are looked up.
+    """
+    known = list(fixed.SYNONYMS if synonyms is None else synonyms)
+    if not known:
+        return terms
     mapping = synonym_map(synonyms)
-    return F.transform(terms, lambda t: F.coalesce(F.element_at(mapping, t), t))
+    return F.transform(terms, lambda t: F.when(t.isin(known), F.element_at(mapping, t)).otherwise(t))
 
 
 def extract_terms(
@@ -105,7 +115,7 @@ def extract_terms(
     )
     if min_len > 2:
         valid = F.filter(valid, lambda t: F.length(t) >= min_len)
-    kept = F.array_except(valid, text_array(fixed.STOP_WORDS))
+    kept = F.filter(valid, lambda t: ~t.isin(fixed.STOP_WORDS))
     terms = F.array_sort(F.array_distinct(apply_synonyms(kept, synonyms)))
     return terms if max_terms is None else F.slice(terms, 1, max_terms)
 

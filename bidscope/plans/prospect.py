@@ -20,7 +20,7 @@ from bidscope.operators.matching import keyword_hits, match_fields
 from bidscope.operators.search import in_target_area
 from bidscope.operators.skew import evaluate_once, first_per_key
 from bidscope.sources.payloads import flatten_notice
-from bidscope.session import spread, stage
+from bidscope.session import stage
 
 CONFIG_FIELDS = [
     "states", "max_population", "keywords", "modalities", "high_terms", "medium_terms", "exclusions",
@@ -77,6 +77,19 @@ def in_own_area(pairs: DataFrame, located: DataFrame, areas: DataFrame) -> DataF
     return pairs.join(located, "notice_id").join(areas, ["org_id", "state"]).filter(inside).select("org_id", "notice_id")
 
 
+def notices_with_code(items: DataFrame, targets: DataFrame) -> DataFrame:
+    """(org_id, notice_id) of notices with an item whose code starts with a target of the organisation.
+
+    A code gives its prefixes of the lengths that targets have, so that "starts with" becomes an equality join;
+    what is no target falls at the join, before notices are made distinct.
+    """
+    lengths = targets.agg(F.collect_set(F.length("target")).alias("lengths"))
+    codes = items.select("notice_id", "code").filter("code IS NOT NULL").crossJoin(F.broadcast(lengths))
+    fitting = F.filter("lengths", lambda n: n <= F.length("code"))
+    prefixes = codes.select("notice_id", F.explode(F.transform(fitting, lambda n: F.substring("code", F.lit(1), n))).alias("target"))
+    return prefixes.join(targets, "target").select("org_id", "notice_id").distinct()
+
+
 def prospect(
     notices: DataFrame, items: DataFrame, municipalities: DataFrame, configs: DataFrame, as_of: Column, days: int = 7
 ) -> Prospects:
@@ -95,22 +108,20 @@ def prospect(
         .select("notice_id", "state", "population", "microregion_id")
     )
     wanted = located.select("notice_id").distinct()
-    texts = spread(notices.join(wanted, "notice_id", "left_semi"))
-    texts = evaluate_once(
-        texts.select("notice_id", "subject", "extra_info"),
-        subject=normalize_text(F.coalesce("subject", F.lit(""))),
-        extra_info=normalize_text(F.coalesce("extra_info", F.lit(""))),
+    texts = notices.join(wanted, "notice_id", "left_semi").select(
+        "notice_id", F.coalesce("subject", F.lit("")).alias("subject"), F.coalesce("extra_info", F.lit("")).alias("extra_info")
     )
     texts = stage(texts, "prospect-texts")
     fields = F.explode(
         F.array(
-            F.struct(F.lit("objeto").alias("field"), F.col("subject").alias("norm")),
-            F.struct(F.lit("complementar").alias("field"), F.col("extra_info").alias("norm")),
+            F.struct(F.lit("objeto").alias("field"), F.col("subject").alias("text")),
+            F.struct(F.lit("complementar").alias("field"), F.col("extra_info").alias("text")),
         )
     )
     org_keywords = _org_keywords(configs)
     exclusions = _terms(configs, "exclusions")
-    text_hits = keyword_hits(texts.select("notice_id", fields.alias("f")).select("notice_id", "f.*"), org_keywords, ["notice_id", "field"])
+    written = texts.select("notice_id", fields.alias("f")).select("notice_id", "f.*")
+    text_hits = keyword_hits(written, org_keywords, ["notice_id", "field"], "text", is_normal=False)
     own_items = items.join(wanted, "notice_id", "left_semi")
     goods = own_items.select("notice_id", "item_id", "item_no", "description")
     item_hits = keyword_hits(goods, org_keywords, ["notice_id", "item_id", "item_no"], "description", is_normal=False)
@@ -120,8 +131,8 @@ def prospect(
     item_found = stage(item_hits.join(asked, "keyword"), "item-hits")
     pair = ["org_id", "notice_id"]
     pairs = text_found.select(*pair).unionByName(item_found.select(*pair)).distinct()
-    whole = texts.select("notice_id", F.concat_ws(" ", "subject", "extra_info").alias("norm"))
-    barred = keyword_hits(whole, exclusions, ["notice_id"]).join(exclusions.select("org_id", "keyword"), "keyword").select(*pair)
+    whole = texts.select("notice_id", F.concat_ws(" ", "subject", "extra_info").alias("text"))
+    barred = keyword_hits(whole, exclusions, ["notice_id"], "text", is_normal=False).join(exclusions.select("org_id", "keyword"), "keyword").select(*pair)
     eligible = stage(in_own_area(pairs, located, areas).join(barred, pair, "left_anti"), "eligible")
     text_found, item_found = (found.join(eligible, pair, "left_semi") for found in (text_found, item_found))
 
@@ -155,13 +166,7 @@ def prospect(
     )
     totals = own_items.groupBy("notice_id").agg(F.count(F.lit(1)).alias("total_items"))
     targets = configs.select("org_id", F.explode("target_codes").alias("target")).filter("target <> ''")
-    codes = own_items.select("notice_id", "code").filter("code IS NOT NULL").distinct()
-    # every prefix of a code, so that "code starts with target" becomes an equality join
-    prefixes = codes.select(
-        "notice_id",
-        F.explode(F.expr("transform(sequence(1, greatest(length(code), 1)), n -> substring(code, 1, n))")).alias("target"),
-    ).distinct()
-    with_code = prefixes.join(targets, "target").select("org_id", "notice_id").distinct().withColumn("has_code", F.lit(True))
+    with_code = notices_with_code(own_items, targets).withColumn("has_code", F.lit(True))
 
     base = notices.select("notice_id", "closes_at", F.coalesce("small_business", F.lit(False)).alias("small_business"))
     counts = configs.select("org_id", F.size("keywords").alias("keyword_count"))

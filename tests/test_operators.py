@@ -9,6 +9,7 @@ from bidscope.operators.groups import redundant_groups
 from bidscope.operators.joins import items_with_awards_nested, notice_items
 from bidscope.operators.matching import keyword_hits
 from bidscope.operators.tables import replace_partitions, upsert_by_key
+from bidscope.plans.prospect import notices_with_code
 
 
 def test_previous_values_equal_a_plain_lag(spark):
@@ -140,3 +141,13 @@ def test_seek_pages_walk_all_rows_in_order(spark):
             after = part[-1]
         assert got == want
     assert search.seek_page(df.filter("false"), [("k", False)], 5).count() == 0
+
+
+def test_code_targets(spark):
+    items = spark.createDataFrame(
+        [(1, "ABCDE"), (1, "ABX"), (2, "AB"), (3, ""), (4, None), (5, "ÁBC"), (6, "A")], "notice_id INT, code STRING"
+    )
+    targets = spark.createDataFrame([(7, "AB"), (7, "ABX"), (8, "ABCDEF"), (8, "Á"), (9, "A")], "org_id INT, target STRING")
+    found = sorted(map(tuple, notices_with_code(items, targets).collect()))
+    assert found == [(7, 1), (7, 2), (8, 5), (9, 1), (9, 2), (9, 6)]
+    assert notices_with_code(items, targets.limit(0)).count() == 0

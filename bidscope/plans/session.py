@@ -45,12 +45,10 @@ def session_item_view(rows: DataFrame) -> DataFrame:
     groups = market.group_table(base)
     redundant = redundant_groups(groups, ["level"], "key", "platform_set")
     groups = groups.join(redundant, market.GROUP, "left_anti").filter("n_platforms >= 2")
-    members = keyed.join(groups.select(*market.GROUP), market.GROUP, "left_semi")
     sizes = base.select(*market.GROUP, "platform", "n")
-    stats = price_summary(members, [*market.GROUP, "platform"], "value", sizes=sizes)
-    ranked = rank_in_group(stats, market.GROUP, "mean", "platform")
+    stats = price_summary(keyed, [*market.GROUP, "platform"], "value", sizes=sizes, listed="levels")
     described = groups.select(*market.GROUP, "description", "unit", "total_observations")
-    return ranked.join(described, market.GROUP).select(
+    return rank_in_group(stats.join(described, market.GROUP), market.GROUP, "mean", "platform").select(
         "key", "description", "unit", "total_observations", "platform", "rank", "mean", "median", "total", "cv",
         F.col("saving_vs_dearest").alias("saving"),
     )

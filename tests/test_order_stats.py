@@ -3,8 +3,9 @@ import random
 import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
-from bidscope.operators.order_stats import fences, iqr_filter, price_summary, scale_window
+from bidscope.operators.order_stats import HOT_ROWS, fences, iqr_filter, price_summary, scale_window
 
 
 def expected(values):
@@ -80,3 +81,16 @@ def test_scale_window(spark):
     data = spark.createDataFrame([("a", v) for v in (1.0, 100.0, 110.0, 5000.0)] + [("b", 1.0)], "k string, v double")
     got = sorted((r["k"], r["v"]) for r in scale_window(data, ["k"], "v").collect())
     assert got == [("a", 100.0), ("a", 110.0), ("b", 1.0)]
+
+
+@pytest.mark.parametrize("hot_rows", [None, 0, 4, 30, HOT_ROWS])
+def test_rows_that_count_for_several_keys(spark, hot_rows):
+    rng = random.Random(11)
+    levels = [["*"], ["*", "A"], ["*", "B"], ["*", "*"], ["*", "C"]]
+    data = [(rng.choice(levels), rng.choice(["k1", "k2", None]), rng.choice([None, -1.0, 0.0, 5.0, 7.5, 900.0, rng.random() * 9])) for _ in range(160)]
+    rows = spark.createDataFrame(data, "levels array<string>, k string, v double")
+    each = rows.select(F.explode("levels").alias("level"), "k", "v")
+    plain = [tuple(r) for r in price_summary(each, ["level", "k"], "v", hot_rows=0).collect()]
+    got = [tuple(r) for r in price_summary(rows, ["level", "k"], "v", hot_rows=hot_rows, listed="levels").collect()]
+    order = lambda r: (r[0], r[1] or "")
+    assert sorted(got, key=order) == sorted(plain, key=order) and len(got) == 12

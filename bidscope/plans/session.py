@@ -13,6 +13,11 @@ from bidscope.plans import market
 from bidscope.session import stage
 
 
+VIEWED = [
+    "item_id", "notice_id", "excluded", "platform", "description", "code", "unit", "estimate", "state", "municipality", "subject", "relevance",
+]
+
+
 def session_items(
     notices: DataFrame, items: DataFrame, session_notices: DataFrame, excluded_items: DataFrame
 ) -> DataFrame:
@@ -26,6 +31,11 @@ def session_items(
     return rows.join(marks, "item_id", "left").withColumn("excluded", F.coalesce("excluded", F.lit(False)))
 
 
+def shared_items(rows: DataFrame) -> DataFrame:
+    """The session's items with what the item and the notice view read, staged for both: items meet notices once."""
+    return stage(rows.select(*VIEWED), "session-rows")
+
+
 def in_reading_order(rows: DataFrame) -> DataFrame:
     return rows.orderBy(relevance_rank(F.col("relevance")), "subject", "item_no", "item_id")
 

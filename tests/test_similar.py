@@ -136,3 +136,15 @@ def test_a_limit_keeps_the_best_items(spark, limit):
         per_profile.setdefault(profile, []).append((-score, -at[i].timestamp(), i, tier))
     want = {(p, i): (-s, t) for p, own in per_profile.items() for s, _, i, t in sorted(own)[:limit]}
     assert items_found(spark, limit=limit) == want
+
+
+def test_texts_of_items_are_read_once_per_class(spark):
+    known = similar.prepare_notices(spark.createDataFrame([notice(0, "trator", keywords=["trator"], is_open=True)], NOTICE))
+    texts = ["trator", "TRATOR", "tr\u00e1tor ", "  trator azul", None]
+    rows = [(i, t, "1234", "un", "SP", "M", 10.0, None, "P1", AS_OF) for i, t in enumerate(texts)]
+    goods = similar.prepare_items(spark.createDataFrame(rows, ITEM))
+    out = similar.similar_items(similar.item_questions(known), goods, F.lit(AS_OF))
+    # spellings of one text count together, and four of the same state are enough for the first tier
+    assert sorted((r["item_id"], r["tier"]) for r in out.collect()) == [(0, 1), (1, 1), (2, 1), (3, 1)]
+    # rows meet their class by the text as it stands: what is left to do for each row takes no words from it
+    assert "regexp_extract_all" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -695,7 +695,7 @@ def backfill_geo(spark, sf):
         "state": F.lit(None).cast("string"),
         "municipality": F.lit(None).cast("string"),
     })
-    filled = tables.backfill_geo(rows, n, municipalities(spark, sf))
+    filled = tables.backfill_geo(rows, n, municipalities(spark, sf), spread=["notice_id", "item_no"])
     return filled.select("item_no", "part_id", "supplier_id", "notice_id", "ibge_code", "state")
 
 

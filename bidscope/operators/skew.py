@@ -57,6 +57,21 @@ def previous_values(
     )
 
 
+def lookup(df: DataFrame, found: DataFrame, key: str, needed: Column, spread: list[str] | None = None, salts: int = 1 << 16) -> DataFrame:
+    """Left join on ``key`` that deals the rows that look nothing up over all tasks.
+
+    Rows with a null key, or for which ``needed`` does not hold, match nothing. A plain left join sends all null keys to
+    one task; here such rows go by a hash of the ``spread`` columns instead (default: all, which keeps the engine from
+    leaving unused ones behind). ``found`` has one row per key.
+    """
+    asks = F.col(key).isNotNull() & F.coalesce(needed, F.lit(False))
+    salt = F.pmod(F.xxhash64(*(spread or df.columns)), F.lit(salts))
+    # the first sign tells keys from salts, so none meets the other
+    own = F.when(asks, F.concat(F.lit("="), F.col(key).cast("string"))).otherwise(F.concat(F.lit("#"), salt.cast("string")))
+    keyed = found.filter(F.col(key).isNotNull()).withColumn("_key", F.concat(F.lit("="), F.col(key).cast("string")))
+    return df.withColumn("_key", own).join(keyed.drop(key), "_key", "left").drop("_key")
+
+
 def collect_in_chunks(
     df: DataFrame, keys: list[str], value: Column, name: str, spread: Column, chunk_rows: int = 1000
 ) -> DataFrame:

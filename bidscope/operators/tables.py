@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bidscope.functions.keys import notice_hash
-from bidscope.operators.skew import first_per_key
+from bidscope.operators.skew import first_per_key, lookup
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -66,11 +66,15 @@ def backfill_hash(items: DataFrame, source: str = "PNCP") -> DataFrame:
     return items.withColumn("notice_hash", F.coalesce("notice_hash", filled))
 
 
-def backfill_geo(items: DataFrame, notices: DataFrame, municipalities: DataFrame) -> DataFrame:
+def backfill_geo(
+    items: DataFrame, notices: DataFrame, municipalities: DataFrame, spread: list[str] | None = None
+) -> DataFrame:
     """Fill ibge_code, state and municipality of items from their notice's municipality.
 
     First by notice hash; items still without a code take the municipality of the
     organisation's notice with the smallest (published_at, notice_hash).
+    Items that have a code, or neither hash nor organisation, look nothing up; ``spread`` names columns by which they are
+    dealt over the tasks (default: all).
     """
     places = notices.filter(F.col("municipality_id").isNotNull()).join(
         municipalities.select(
@@ -86,9 +90,10 @@ def backfill_geo(items: DataFrame, notices: DataFrame, municipalities: DataFrame
     by_org = places.groupBy("org_tax_id").agg(
         F.min_by(place, F.struct("published_at", "notice_hash")).alias("_by_org")
     )
-    joined = items.join(by_hash, "notice_hash", "left").join(by_org, "org_tax_id", "left")
-    found = F.coalesce("_by_hash", "_by_org")
     missing = F.col("ibge_code").isNull()
+    linked = lookup(items, by_hash, "notice_hash", missing, spread)
+    joined = lookup(linked, by_org, "org_tax_id", missing & F.col("_by_hash").isNull(), spread or items.columns)
+    found = F.coalesce("_by_hash", "_by_org")
     return joined.select(
         *[c for c in items.columns if c not in ("ibge_code", "state", "municipality")],
         F.when(missing, found["_code"]).otherwise(F.col("ibge_code")).alias("ibge_code"),

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from bidscope.operators import groups as group_operators, matching, search, skew
+from bidscope.operators import groups as group_operators, matching, search, skew, tables
 from bidscope.operators.groups import redundant_groups
 from bidscope.operators.joins import items_with_awards_nested, notice_items
 from bidscope.operators.matching import keyword_hits
@@ -151,3 +151,43 @@ def test_code_targets(spark):
     found = sorted(map(tuple, notices_with_code(items, targets).collect()))
     assert found == [(7, 1), (7, 2), (8, 5), (9, 1), (9, 2), (9, 6)]
     assert notices_with_code(items, targets.limit(0)).count() == 0
+
+
+def _geo(spark, items):
+    schema = "item_no int, notice_hash string, org_tax_id string, ibge_code string, state string, municipality string"
+    notices = spark.createDataFrame(
+        [("h1", "A", 1, 5), ("h2", "A", 2, 3), ("h3", "B", 2, 1), (None, "C", 1, 1), ("h4", "B", None, 0)],
+        "notice_hash string, org_tax_id string, municipality_id int, published_at int",
+    )
+    places = spark.createDataFrame([(1, "10", "SP", "x"), (2, "20", "RJ", "y")], "municipality_id int, ibge_code string, state string, name string")
+    return tables.backfill_geo(spark.createDataFrame(items, schema), notices, places)
+
+
+def test_geo_by_hash_then_by_organisation(spark):
+    items = [
+        (1, "h1", "A", None, None, None), (2, None, "A", None, "MG", None), (3, "#1", "A", None, None, None), (4, None, None, None, None, None),
+        (5, "h1", "A", "?", None, None), (6, "h2", None, None, None, "z"), (7, "h4", "B", None, None, None), (8, None, "C", None, None, None),
+        (9, None, "none", None, None, None),
+    ]
+    got = {r["item_no"]: (r["ibge_code"], r["state"], r["municipality"]) for r in _geo(spark, items).collect()}
+    assert got == {
+        1: ("10", "SP", "x"), 2: ("20", "MG", "y"), 3: ("20", "RJ", "y"), 4: (None, None, None), 5: ("?", None, None),
+        6: ("20", "RJ", "z"), 7: ("20", "RJ", "y"), 8: ("10", "SP", "x"), 9: (None, None, None),
+    }
+
+
+def test_items_that_look_nothing_up_are_dealt_over_the_tasks(spark):
+    items = [(i, None, None if i % 2 else "A", None if i % 2 else "?", None, None) for i in range(2000)]
+    held = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        # a join whose columns nobody reads would be left out
+        task = F.spark_partition_id().alias("task")
+        rows = _geo(spark, items).groupBy(task).agg(F.count(F.lit(1)).alias("n"), F.max("ibge_code"), F.max("state")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(r["n"] for r in rows) == 2000
+    assert max(r["n"] for r in rows) < 700  # of 4 tasks

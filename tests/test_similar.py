@@ -1,6 +1,8 @@
 import datetime as dt
+import itertools
 import random
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +150,29 @@ def test_texts_of_items_are_read_once_per_class(spark):
     assert sorted((r["item_id"], r["tier"]) for r in out.collect()) == [(0, 1), (1, 1), (2, 1), (3, 1)]
     # rows meet their class by the text as it stands: what is left to do for each row takes no words from it
     assert "regexp_extract_all" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_of_a_notice_are_written_together(spark, tmp_path):
+    """As many rows as pairs are only bearable in columns if a set's pairs stand together, notice by notice."""
+    sets, own = 60, 12
+    rng = random.Random(4)
+    refs = [(i * 7_919_000_003, f"q{i % sets}", 1) for i in range(sets * own)]
+    # a notice is in many sets, and two rows are references as well
+    members = [(f"q{q}", 1, i, float(i)) for i in [refs[0][0], refs[7][0], *range(1, 14)] for q in range(sets) if rng.random() < 0.9]
+    rng.shuffle(members)
+    found = similar.SimilarNotices(
+        spark.createDataFrame(refs, "ref_id long, question string, tier int"),
+        spark.createDataFrame(members, "question string, tier int, notice_id long, value double"),
+    )
+    rows = found.rows()
+    assert rows.columns == ["question", "tier", "ref_id", "notice_id", "value"]
+    rows.write.parquet(str(tmp_path / "pairs"))
+    by_set, got = {}, []
+    for ref, q, _ in refs:
+        by_set.setdefault(q, []).append(ref)
+    for file in (tmp_path / "pairs").glob("*.parquet"):
+        pairs = [(r["question"], r["notice_id"], r["ref_id"]) for r in pq.read_table(file).to_pylist()]
+        got += pairs
+        for runs in ([q for q, _, _ in pairs], [(q, n) for q, n, _ in pairs]):
+            assert len(list(itertools.groupby(runs))) == len(set(runs))
+    assert sorted(got) == sorted((m[0], m[2], ref) for m in members for ref in by_set[m[0]] if ref != m[2])

@@ -7,9 +7,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from bidscope.operators.list_digests import list_digests
 from bidscope.operators.similar import SET
 from bidscope.operators.skew import top_k
-from bidscope.plans.pricing import ReferencePrices, in_scale
+from bidscope.plans.pricing import ReferencePrices, scale_bounds
 
 
 def _ranked(rows: DataFrame, keys: list[str], order: list[Column], limit: int | None) -> DataFrame:
@@ -74,30 +75,35 @@ def analyzed_status(notices: DataFrame, analyses: DataFrame) -> DataFrame:
 class ReferenceDetail:
     """Reference prices with the lists behind them, each held once for all references that share it.
 
-    refs: ref_id, question, tier, ref_estimate. notice_lists: question, tier, notices. questions: ref_id, profile.
-    profile_lists: profile, items, platforms.
+    refs: ref_id, question, tier, ref_estimate. listed: the rows of the lists of notices, notice_lists: the same as
+    question, tier, notices. questions: ref_id, profile. profile_lists: profile, items, platforms.
     """
 
     prices: DataFrame
     refs: DataFrame
+    listed: DataFrame
     notice_lists: DataFrame
     questions: DataFrame
     profile_lists: DataFrame
     max_notices: int | None = None
 
     def rows(
-        self, notices: Callable[[Column], Column] = lambda x: x, items: Callable[[Column], Column] = lambda x: x,
+        self, notices: Callable[[Column], Column] | DataFrame = lambda x: x, items: Callable[[Column], Column] = lambda x: x,
         platforms: Callable[[Column], Column] = lambda x: x,
     ) -> DataFrame:
         """One row per reference, with what the functions make of its whole lists.
 
         A list of notices is narrowed for each reference; what is made of items and platforms is made once per
-        profile. A reference without a list has null, one whose list is narrowed to nothing an empty one.
+        profile. A reference without a list has null, one whose list is narrowed to nothing an empty one. In place of a
+        function, ``notices`` may be a table (ref_id, notices) of what was made of the lists otherwise.
         """
-        own = F.filter("notices", lambda x: (x["notice_id"] != F.col("ref_id")) & in_scale(x["value"], "ref_estimate"))
-        if self.max_notices is not None:
-            own = F.slice(own, 1, self.max_notices)
-        listed = self.refs.join(self.notice_lists, SET).select("ref_id", notices(own).alias("notices"))
+        if isinstance(notices, DataFrame):
+            listed = notices
+        else:
+            own = F.filter("notices", lambda x: (x["notice_id"] != F.col("ref_id")) & x["value"].between(F.col("low"), F.col("high")))
+            if self.max_notices is not None:
+                own = F.slice(own, 1, self.max_notices)
+            listed = self._asking().join(self.notice_lists, SET).select("ref_id", notices(own).alias("notices"))
         shared = self.profile_lists.select(
             "profile", items(F.col("items")).alias("items"), platforms(F.col("platforms")).alias("platforms")
         )
@@ -107,6 +113,19 @@ class ReferenceDetail:
             .join(listed, "ref_id", "left").join(shared, "ref_id", "left")
         )
 
+    def notice_digests(self) -> DataFrame:
+        """(ref_id, notices): the MD5 of each reference's whole list of notices, as their texts with a space between them.
+
+        The same as a digest made in ``rows``, but no list is copied for a reference. Needs ``notice_text``.
+        """
+        order = [-F.col("similarity"), F.col("notice_id"), F.col("value"), F.col("price_source")]
+        return list_digests(self.listed, self._asking(), SET, "ref_id", "notice_id", order, "notices", self.max_notices)
+
+    def _asking(self) -> DataFrame:
+        """The references with the least and largest value that they admit, made once for a whole list."""
+        low, high = scale_bounds("ref_estimate")
+        return self.refs.withColumns({"low": low, "high": high})
+
 
 def reference_price_detail(
     found: ReferencePrices, max_notices: int | None = None, max_items: int | None = None, notice_text: Column | None = None,
@@ -118,7 +137,9 @@ def reference_price_detail(
     """
     more = [] if notice_text is None else [notice_text.alias("text")]
     best = lambda key, *fields: F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("_rank"), key, *fields)))
-    notice_lists = found.alike.members.groupBy(*SET).agg(best("notice_id", "value", "price_source", "similarity", *more).alias("notices"))
+    listed = found.alike.members.select(*SET, "notice_id", "value", "price_source", "similarity", *more)
+    text = [] if notice_text is None else ["text"]
+    notice_lists = listed.groupBy(*SET).agg(best("notice_id", "value", "price_source", "similarity", *text).alias("notices"))
     items = found.profile_items
     if max_items is not None:
         items = top_k(items, ["profile"], [F.col("similarity").desc(), F.col("item_id")], max_items)
@@ -127,7 +148,7 @@ def reference_price_detail(
         F.array_sort(F.collect_list(F.struct((-F.col("items")).alias("order"), "platform", "mean_unit", "items"))).alias("platforms")
     )
     return ReferenceDetail(
-        found.prices, found.alike.refs, notice_lists, found.questions, items.join(sold, "profile", "full"), max_notices
+        found.prices, found.alike.refs, listed, notice_lists, found.questions, items.join(sold, "profile", "full"), max_notices
     )
 
 

@@ -15,9 +15,12 @@ from bidscope.operators.tables import latest_per_key
 _ITEM_ID = "notice_id || '-' || item_no || '-' || part_id || '-' || supplier_id"
 
 
+def _item_id():
+    return F.concat_ws("-", "notice_id", "item_no", "part_id", "supplier_id").alias("item_id")
+
+
 def item_rows(spark, sf, with_state=False):
-    rows = items(spark, sf, with_state=with_state)
-    return rows.withColumn("item_id", F.concat_ws("-", "notice_id", "item_no", "part_id", "supplier_id"))
+    return items(spark, sf, with_state=with_state).select("*", _item_id())
 
 
 def award_rows(spark, sf):
@@ -93,9 +96,14 @@ def hashed_notices(spark, sf):
 
 def linked_items(spark, sf, with_state=False):
     """Items that carry the notice hash, or for unit 'un' only its parts."""
-    link = hashed_notices(spark, sf).select("notice_id", "notice_hash", "org_tax_id", "year", "sequence")
-    rows = item_rows(spark, sf, with_state).join(link, "notice_id").drop("notice_id")
-    return rows.withColumn("notice_hash", F.when(F.col("unit") != "un", F.col("notice_hash")))
+    rows = items(spark, sf, with_state=with_state)
+    shown = [c for c in rows.columns if c != "notice_id"]
+    # ids and hashes are made behind the join, so that they don't cross the network
+    parts = notices(spark, sf).select("notice_id", "source", "org_tax_id", "year", "sequence")
+    own = notice_hash(F.col("source"), F.col("org_tax_id"), F.col("year"), F.col("sequence"))
+    return rows.join(parts, "notice_id").select(
+        *shown, _item_id(), F.when(F.col("unit") != "un", own).alias("notice_hash"), "org_tax_id", "year", "sequence"
+    )
 
 
 @query(

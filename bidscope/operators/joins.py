@@ -37,27 +37,44 @@ def awards_with_items(awards: DataFrame, items: DataFrame) -> DataFrame:
 def notice_items(notices: DataFrame, items: DataFrame) -> DataFrame:
     """Items of notices, linked by notice hash or by (tax id, year, sequence).
 
-    The two links run as separate equality joins and are united, since one join on either
-    condition has no key to shuffle by. ``link`` tells which one held; a pair linked both
-    ways is kept once, by excluding it from the second join.
+    A join on either condition has no key to shuffle by, so every row goes once by each link it has and all meet in one
+    join, for which both inputs are read once. ``link`` tells which one held; a pair linked both ways is kept once,
+    as linked by hash: it is the one found by its parts.
     """
-    theirs = [c for c in items.columns if c not in ("notice_hash", "org_tax_id", "year", "sequence")]
+    theirs = [c for c in items.columns if c not in _LINKING]
     ours = [c for c in notices.columns if c not in theirs]
-    n = notices.select(*[F.col(c).alias(f"n_{c}") if c in ("notice_hash", "org_tax_id", "year", "sequence") else F.col(c) for c in ours])
-    output = [F.col(c) for c in theirs] + [F.col(f"n_{c}").alias(c) if c in ("notice_hash", "org_tax_id", "year", "sequence") else F.col(c) for c in ours]
-    by_hash = items.join(n, F.col("notice_hash") == F.col("n_notice_hash"))
-    same_parts = (
-        (F.col("org_tax_id") == F.col("n_org_tax_id"))
-        & (F.col("year") == F.col("n_year"))
-        & (F.col("sequence") == F.col("n_sequence"))
-        & (F.col("n_org_tax_id") != "")
-    )
-    by_parts = items.join(n, same_parts).filter(
-        ~F.coalesce(F.col("notice_hash") == F.col("n_notice_hash"), F.lit(False))
-    )
-    return by_hash.select(*output, F.lit("hash").alias("link")).union(
-        by_parts.select(*output, F.lit("parts").alias("link"))
+    kinds = dict(notices.dtypes)
+    alike = items.withColumns({c: F.col(c).try_cast(kinds[c]) for c in _LINKING if dict(items.dtypes)[c] != kinds[c]})
+    n = _by_link(notices.select(*ours), "n").select(
+        *[F.col(c).alias(f"n_{c}") if c in _LINKING else F.col(c) for c in ours], "n_key", "n_hash", "n_parts"
     )
+    pairs = _by_link(alike, "i").drop(*_LINKING).join(n, F.col("i_key") == F.col("n_key"))
+    same = lambda what: F.coalesce(F.col(f"i_{what}") == F.col(f"n_{what}"), F.lit(False))
+    by_hash = F.startswith("i_key", F.lit(_HASH)) | same("hash")
+    return pairs.filter(~same("parts")).select(
+        *theirs, *[F.col(f"n_{c}").alias(c) if c in _LINKING else F.col(c) for c in ours],
+        F.when(by_hash, "hash").otherwise("parts").alias("link"),
+    )
+
+
+_LINKING = ("notice_hash", "org_tax_id", "year", "sequence")
+_HASH = "#"
+
+
+def _by_link(rows: DataFrame, side: str) -> DataFrame:
+    """Every row under its hash, along with its parts, and again under its parts, along with its hash.
+
+    Keys are short texts. A hash has its sign ahead and parts begin with a number, so that they never meet.
+    """
+    tax_id = F.nullif("org_tax_id", F.lit(""))
+    pieces = [F.length(tax_id), F.lit(":"), tax_id, F.lit(":"), F.col("year"), F.lit(":"), F.col("sequence")]
+    parts = F.concat(*[piece.cast("string") for piece in pieces])  # null without one of them
+    hash_, none = F.col("notice_hash"), F.lit(None).cast("string")
+    link = lambda key, own, other: F.when(key.isNotNull(), F.struct(key.alias("key"), own.alias("hash"), other.alias("parts")))
+    links = F.array_compact(F.array(link(F.concat(F.lit(_HASH), hash_), none, parts), link(parts, hash_, none)))
+    # the outer form keeps the engine from making the links again in an inferred filter
+    found = rows.select("*", F.inline_outer(links).alias(f"{side}_key", f"{side}_hash", f"{side}_parts"))
+    return found.filter(F.col(f"{side}_key").isNotNull())
 
 
 def not_yet_opportunity(notices: DataFrame, opportunities: DataFrame, user, org) -> DataFrame:

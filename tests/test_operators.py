@@ -191,3 +191,28 @@ def test_items_that_look_nothing_up_are_dealt_over_the_tasks(spark):
             spark.conf.set(k, v)
     assert sum(r["n"] for r in rows) == 2000
     assert max(r["n"] for r in rows) < 700  # of 4 tasks
+
+
+def test_notice_items_of_both_links_read_their_inputs_once(spark):
+    rng = random.Random(2)
+    kinds = "notice_hash string, org_tax_id string, year int, sequence long"
+
+    def some(n):
+        return [(i, rng.choice(["h1", "h2", "1:t:1:1", None]), rng.choice(["t", "t:1", "", None]), rng.choice([1, 11, None]), rng.choice([1, 2, None])) for i in range(n)]
+
+    notices, items = some(60), some(80)
+    found = notice_items(
+        spark.createDataFrame(notices, f"notice_id int, {kinds}"),
+        spark.createDataFrame([(f"i{i}", *r) for i, *r in items], f"item_id string, {kinds.replace('int', 'long')}"),
+    )
+    assert found.columns == ["item_id", "notice_id", "notice_hash", "org_tax_id", "year", "sequence", "link"]
+    want = []
+    for i, h, *parts in items:
+        for n, nh, *nparts in notices:
+            by_hash, by_parts = h is not None and h == nh, None not in parts and parts == nparts and parts[0] != ""
+            if by_hash or by_parts:
+                want.append((f"i{i}", n, nh, *nparts, "hash" if by_hash else "parts"))
+    assert {r[-1] for r in want} == {"hash", "parts"}
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
+    # one shuffle of the items and one of the notices
+    assert found.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2

@@ -383,10 +383,9 @@ st AS ({stats_sql('obs', 'key, platform', 'value')}), rk AS (SELECT *, CAST(row_
   max(mean) OVER (PARTITION BY key) AS hi, count(*) OVER (PARTITION BY key) AS n FROM st)"""
 
 
-def _item_view(spark, sf, rows=None):
-    rows = _session(spark, sf)[0] if rows is None else rows
+def _item_view(spark, sf):
     best = best_awards(award_rows(spark, sf)).select("item_id", "best_award")
-    return session.session_item_view(rows.filter("NOT excluded").join(best, "item_id", "left"))
+    return session.session_item_view(_session(spark, sf)[0].filter("NOT excluded").join(best, "item_id", "left"))
 
 
 @query(
@@ -403,9 +402,8 @@ nv AS (SELECT notice_id, count(*) AS items, {rsum('estimate')} AS sum_unit_estim
 nvs AS (SELECT *, CASE WHEN sum_unit_estimates > 0 AND sum_unit_awards > 0 THEN {r('(1 - sum_unit_awards / sum_unit_estimates) * 100', 1)} END AS saving FROM nv)"""
 
 
-def _notice_view(spark, sf, rows=None):
-    rows = _session(spark, sf)[0] if rows is None else rows
-    return session.session_notice_view(rows, award_rows(spark, sf))
+def _notice_view(spark, sf):
+    return session.session_notice_view(_session(spark, sf)[0], award_rows(spark, sf))
 
 
 @query("D26_session_notice_view", f"WITH {_NOTICE_VIEW} SELECT notice_id, items, sum_unit_estimates, sum_unit_awards, place, saving FROM nvs")
@@ -448,8 +446,9 @@ def notice_insights(spark, sf):
     f"""WITH {_NOTICE_VIEW} SELECT count(*) AS notices, {r('avg(saving) FILTER (saving > 0)', 1)} AS mean_saving FROM nvs""",
 )
 def session_summary(spark, sf):
-    rows = session.shared_items(_session(spark, sf)[0])
-    return session.session_summary(_item_view(spark, sf, rows), _notice_view(spark, sf, rows)).select("notices", "mean_saving")
+    rows = session.shared_items(_session(spark, sf)[0], best_awards(award_rows(spark, sf)))
+    views = session.session_item_view(rows.filter("NOT excluded")), session.session_notice_view(rows)
+    return session.session_summary(*views).select("notices", "mean_saving")
 
 
 # ---------------------------------------------------------------- dossiers

@@ -31,9 +31,15 @@ def session_items(
     return rows.join(marks, "item_id", "left").withColumn("excluded", F.coalesce("excluded", F.lit(False)))
 
 
-def shared_items(rows: DataFrame) -> DataFrame:
-    """The session's items with what the item and the notice view read, staged for both: items meet notices once."""
-    return stage(rows.select(*VIEWED), "session-rows")
+def shared_items(rows: DataFrame, best: DataFrame | None = None) -> DataFrame:
+    """The session's items with what the item and the notice view read, staged for both: items meet notices once.
+
+    With ``best`` (``best_awards``) they have best_award and won, so that neither view looks for awards again.
+    """
+    if best is None:
+        return stage(rows.select(*VIEWED), "session-rows")
+    awarded = rows.select(*VIEWED).join(best.select("item_id", "best_award", "won"), "item_id", "left")
+    return stage(awarded.select(*VIEWED, "best_award", "won"), "session-rows")
 
 
 def in_reading_order(rows: DataFrame) -> DataFrame:
@@ -47,9 +53,7 @@ def session_item_view(rows: DataFrame) -> DataFrame:
     feed several aggregations and are staged.
     """
     named = rows.withColumn("platform", F.coalesce(F.nullif("platform", F.lit("")), F.lit("desconhecida")))
-    observed = market.observe_items(named).select(
-        "state", "platform", "description", "code", "keys", "value", "price_source", "discount"
-    )
+    observed = market.observe_items(named).select("platform", "description", "code", "keys", "value", "price_source", "discount")
     keyed = market.key_items(stage(observed, "session-items"), per_state=False)
     base = stage(market.platform_base(keyed), "session-base")
     groups = market.group_table(base)
@@ -64,13 +68,15 @@ def session_item_view(rows: DataFrame) -> DataFrame:
     )
 
 
-def session_notice_view(rows: DataFrame, awards: DataFrame) -> DataFrame:
+def session_notice_view(rows: DataFrame, awards: DataFrame | None = None) -> DataFrame:
     """Per notice: items, sums of unit estimates and unit awards, and the saving in percent.
 
-    The sums add unit prices, not line totals.
+    The sums add unit prices, not line totals. Without ``awards`` the rows have the sum ``won`` of their item's.
     """
-    won = awards.filter(F.col("unit_award") > 0).groupBy("item_id").agg(F.sum("unit_award").alias("won"))
-    joined = rows.join(won, "item_id", "left")
+    joined = rows
+    if awards is not None:
+        won = awards.filter(F.col("unit_award") > 0).groupBy("item_id").agg(F.sum("unit_award").alias("won"))
+        joined = rows.join(won, "item_id", "left")
     estimates = money_sum(F.when(F.col("estimate") > 0, F.col("estimate")))
     totals = joined.groupBy("notice_id").agg(
         F.count(F.lit(1)).alias("items"),

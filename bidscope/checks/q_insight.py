@@ -446,7 +446,7 @@ def notice_insights(spark, sf):
     f"""WITH {_NOTICE_VIEW} SELECT count(*) AS notices, {r('avg(saving) FILTER (saving > 0)', 1)} AS mean_saving FROM nvs""",
 )
 def session_summary(spark, sf):
-    rows = session.shared_items(_session(spark, sf)[0], best_awards(award_rows(spark, sf)))
+    rows = session.shared_items(_session(spark, sf)[0], best_awards(award_rows(spark, sf)), described=False)
     views = session.session_item_view(rows.filter("NOT excluded")), session.session_notice_view(rows)
     return session.session_summary(*views).select("notices", "mean_saving")
 

@@ -16,6 +16,7 @@ from bidscope.session import stage
 VIEWED = [
     "item_id", "notice_id", "excluded", "platform", "description", "code", "unit", "estimate", "state", "municipality", "subject", "relevance",
 ]
+COUNTED = ["notice_id", "excluded", "platform", "description", "code", "unit", "estimate"]
 
 
 def session_items(
@@ -31,15 +32,18 @@ def session_items(
     return rows.join(marks, "item_id", "left").withColumn("excluded", F.coalesce("excluded", F.lit(False)))
 
 
-def shared_items(rows: DataFrame, best: DataFrame | None = None) -> DataFrame:
+def shared_items(rows: DataFrame, best: DataFrame | None = None, described: bool = True) -> DataFrame:
     """The session's items with what the item and the notice view read, staged for both: items meet notices once.
 
     With ``best`` (``best_awards``) they have best_award and won, so that neither view looks for awards again.
+    ``described=False`` leaves out ids and notices' texts, for callers that read figures only: a staged column is
+    written whether it is read or not.
     """
-    if best is None:
-        return stage(rows.select(*VIEWED), "session-rows")
-    awarded = rows.select(*VIEWED).join(best.select("item_id", "best_award", "won"), "item_id", "left")
-    return stage(awarded.select(*VIEWED, "best_award", "won"), "session-rows")
+    shown = VIEWED if described else COUNTED
+    if best is not None:
+        rows = rows.join(best.select("item_id", "best_award", "won"), "item_id", "left")
+        shown = [*shown, "best_award", "won"]
+    return stage(rows.select(*shown), "session-rows")
 
 
 def in_reading_order(rows: DataFrame) -> DataFrame:
@@ -52,7 +56,10 @@ def session_item_view(rows: DataFrame) -> DataFrame:
     rows: selected items with best_award (smallest positive award or null). The observed items
     feed several aggregations and are staged.
     """
-    named = rows.withColumn("platform", F.coalesce(F.nullif("platform", F.lit("")), F.lit("desconhecida")))
+    named = rows.withColumns({
+        "platform": F.coalesce(F.nullif("platform", F.lit("")), F.lit("desconhecida")),
+        "state": F.lit(None).cast("string"),  # groups are over all states
+    })
     observed = market.observe_items(named).select("platform", "description", "code", "keys", "value", "price_source", "discount")
     keyed = market.key_items(stage(observed, "session-items"), per_state=False)
     base = stage(market.platform_base(keyed), "session-base")
@@ -71,20 +78,24 @@ def session_item_view(rows: DataFrame) -> DataFrame:
 def session_notice_view(rows: DataFrame, awards: DataFrame | None = None) -> DataFrame:
     """Per notice: items, sums of unit estimates and unit awards, and the saving in percent.
 
-    The sums add unit prices, not line totals. Without ``awards`` the rows have the sum ``won`` of their item's.
+    The sums add unit prices, not line totals. Without ``awards`` the rows have the sum ``won`` of their item's. Rows without
+    the notices' texts give a view without subject, place and relevance.
     """
     joined = rows
     if awards is not None:
         won = awards.filter(F.col("unit_award") > 0).groupBy("item_id").agg(F.sum("unit_award").alias("won"))
         joined = rows.join(won, "item_id", "left")
     estimates = money_sum(F.when(F.col("estimate") > 0, F.col("estimate")))
+    texts = [
+        F.min("subject").alias("subject"),
+        F.min(place_label(F.col("municipality"), F.col("state"))).alias("place"),
+        F.min("relevance").alias("relevance"),
+    ] if "subject" in rows.columns else []
     totals = joined.groupBy("notice_id").agg(
         F.count(F.lit(1)).alias("items"),
         F.coalesce(estimates, F.lit(0.0)).alias("sum_unit_estimates"),
         F.coalesce(money_sum(F.col("won")), F.lit(0.0)).alias("sum_unit_awards"),
-        F.min("subject").alias("subject"),
-        F.min(place_label(F.col("municipality"), F.col("state"))).alias("place"),
-        F.min("relevance").alias("relevance"),
+        *texts,
     )
     both = (F.col("sum_unit_estimates") > 0) & (F.col("sum_unit_awards") > 0)
     saving = F.when(

@@ -45,3 +45,8 @@ def test_shared_items_with_awards_need_no_further_lookup(spark):
         assert sorted(map(str, got.collect())) == sorted(map(str, of.collect())) != []
     # the awards were joined ahead of the staged rows, once for both
     assert "Join" not in views[1]._jdf.queryExecution().optimizedPlan().toString()
+    # of rows without texts the summary is the same
+    few = session.shared_items(rows, best, described=False)
+    assert not {"subject", "municipality", "state", "relevance", "item_id"} & set(few.columns)
+    counted = session.session_summary(session.session_item_view(few.filter("NOT excluded")), session.session_notice_view(few))
+    assert counted.collect() == session.session_summary(*want).collect()
